@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octavo.llm import packing, secrets, toxicity
+from octavo.llm import packing, secrets, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, lexicon).withColumn("held_out", toxicity.in_fold(F.col("doc_id")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_read(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
+        "op4_warc": op4_warc,
         "op6_secret_scans": op6_secret_scans,
         "op8_packing": op8_packing,
     }
