@@ -116,8 +116,7 @@ class Packer:
         waiting, shorter = self.waiting, [0, *self.tiers]
         for tier, below in zip(reversed(self.tiers), reversed(shorter[:-1]), strict=True):
             while waiting.lengths and waiting.lengths[-1] > below and waiting.ids >= tier:
-                window = [waiting.largest(tier)]
-                gap = tier - len(window[0])
+                window, gap = [], tier
                 while gap:
                     part = waiting.largest(gap)
                     if part is None:
