@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octavo.llm import packing, secrets, toxicity, warc
+from octavo.llm import packing, quality, secrets, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_read(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
         "op4_warc": op4_warc,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_secret_scans": op6_secret_scans,
         "op8_packing": op8_packing,
     }
