@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octavo.llm import jaccard, packing, quality, secrets, toxicity, warc
+from octavo.llm import jaccard, packing, quality, secrets, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": op5_quality_classifier,
         "op6_secret_scans": op6_secret_scans,
         "op8_packing": op8_packing,
+        "op10_exact_top_k": op10_exact_top_k,
     }
 
 
@@ -56,4 +61,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": jaccard.oracle_sql(3, 90),
         "op6_secret_scans": secrets.oracle_sql(),
+        "op10_exact_top_k": topk.oracle_sql(100, 10),
     }
