@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octavo.llm import jaccard, packing, quality, secrets, topk, toxicity, warc
+from octavo.llm import jaccard, neardup, packing, quality, secrets, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, lexicon).withColumn("held_out", toxicity.in_fold(F.col("doc_id")))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_read(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_toxicity": op2_toxicity,
+        "op3_embedding_near_dedup": op3_embedding_near_dedup,
         "op4_warc": op4_warc,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_secret_scans": op6_secret_scans,
