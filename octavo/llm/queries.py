@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octavo.llm import jaccard, neardup, packing, quality, secrets, topk, toxicity, warc
+from octavo.llm import gumbel, jaccard, neardup, packing, quality, secrets, separators, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,10 +41,18 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_read(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gumbel.sample_segmentations(_read(spark, sf_dir, "documents"), k=2, digest=True)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(_read(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
@@ -57,7 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": op4_warc,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_secret_scans": op6_secret_scans,
+        "op7_sentencepiece_sampling": op7_sentencepiece_sampling,
         "op8_packing": op8_packing,
+        "op9_token_counts": op9_token_counts,
         "op10_exact_top_k": op10_exact_top_k,
     }
 
