@@ -444,6 +444,29 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, id_col: str =
     ).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, all columns, with one document of each group: that with the smallest id.
+
+    Ids that go are broadcast up to BROADCAST_IDS and else joined by shuffle, so texts are shuffled
+    only then. Rows with a null id stay; of rows that share an id, one stays.
+    """
+    groups = materialize(jaccard_groups(docs, width, num, id_col, text).where("doc_id IS NOT NULL"), "jaccard-kept")
+    repeated = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("octavo_id"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("octavo_id")).distinct()
+    ids = F.col(f"`{id_col}`").cast("long")
+
+    def minus(rows: DataFrame, out: DataFrame, how: str) -> DataFrame:
+        return rows.join(out, ids == F.col("octavo_id"), how)
+
+    few = lambda x, n: F.broadcast(x) if n <= BROADCAST_IDS else x
+    kept = minus(docs, few(gone, gone.count()), "left_anti")
+    many = repeated.count()
+    if not many:
+        return kept
+    once = minus(kept, few(repeated, many), "left_semi").dropDuplicates([id_col])
+    return minus(kept, few(repeated, many), "left_anti").unionByName(once)
+
+
 def oracle_sql(width: int, num: int) -> str:
     """DuckDB SQL for jaccard_groups(documents)."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
