@@ -51,7 +51,10 @@ SAMPLE_DOCS = 8192
 ORDER_TOKENS = 1_000_000
 BROADCAST_IDS = 1_000_000
 BLOCK = 256
-BINS = 32
+#: Lists up to so many sets give pairs; shingles with longer lists are worth a place at the order's end.
+SHORT = 32
+#: Bins of a set's binned counts: a power of two, about one for BIN_SIZE shingles.
+BIN_SIZE, BINS_LEAST = 8, 32
 #: Largest size that may be small, and the cost of a posting in subset keys.
 SMALL_MOST = 40
 POSTING_COST = 6.0
@@ -139,6 +142,19 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
 
 SCAN = "id long, n long, s1 long, s2 long, bins binary, post array<long>, keys array<long>, sides array<tinyint>"
 
+def binned(tokens: np.ndarray) -> bytes:
+    """Counts of a set's hashes in bins, a byte each; half as many bins are their sums in pairs."""
+    k = BINS_LEAST
+    while k * BIN_SIZE < len(tokens):
+        k *= 2
+    counts = np.bincount((tokens >> np.uint64(7)) % np.uint64(k), minlength=k)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _folded(bins: np.ndarray, k: int) -> np.ndarray:
+    return np.minimum(bins.reshape(len(bins), -1, k).sum(axis=1), 255)
+
+
 
 def scan_sets(docs: DataFrame, width: int, num: int, small: int, late: np.ndarray) -> DataFrame:
     """One row per document of docs (id, text): its class, binned counts, prefix and subset keys.
@@ -156,8 +172,7 @@ def scan_sets(docs: DataFrame, width: int, num: int, small: int, late: np.ndarra
                     n.append(size)
                     s1.append(a)
                     s2.append(b)
-                    counts = np.bincount((t >> np.uint64(7)) % np.uint64(BINS), minlength=BINS)
-                    bins.append(np.minimum(counts, 65535).astype("<u2").tobytes())
+                    bins.append(binned(t))
                     if size and 100 * size // num > small:
                         at = np.searchsorted(late, t)
                         is_late = late[np.minimum(at, len(late) - 1)] == t if len(late) else np.zeros(size, dtype=bool)
@@ -291,14 +306,20 @@ def _near_enough(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x, y = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, BINS).astype(np.int64)
-                for i in (4, 5)
-            )
-            ok = np.abs(x - y).sum(axis=1) <= na + nb - 2 * least_overlap(na, nb, num)
+            raw = [batch.column(i).to_pylist() for i in (4, 5)]
+            shape = np.array([[len(x), len(y)] for x, y in zip(*raw, strict=True)]).reshape(-1, 2)
+            ok = np.zeros(len(na), dtype=bool)
+            for ka, kb in np.unique(shape, axis=0):
+                at = np.flatnonzero((shape[:, 0] == ka) & (shape[:, 1] == kb))
+                for part in np.array_split(at, -(-len(at) * int(max(ka, kb)) // (4 << 20))):
+                    x, y = (
+                        np.frombuffer(b"".join([r[i] for i in part]), dtype=np.uint8).reshape(len(part), -1).astype(np.int64)
+                        for r in raw
+                    )
+                    k = int(min(ka, kb))
+                    far = np.abs(_folded(x, k) - _folded(y, k)).sum(axis=1)
+                    ok[part] = far <= na[part] + nb[part] - 2 * least_overlap(na[part], nb[part], num)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb")
