@@ -166,7 +166,7 @@ def scan_sets(docs: DataFrame, width: int, num: int, small: int, late: np.ndarra
         for batch in batches:
             n, s1, s2, bins, post, keys, sides = [], [], [], [], [], [], []
             with np.errstate(over="ignore"):
-                for t in shingle_sets(batch.column(1).to_pylist(), width):
+                for t in shingle_sets(batch.column(1), width):
                     size = len(t)
                     a, b = _signature(t)
                     n.append(size)
@@ -212,7 +212,7 @@ def fit_order(docs: DataFrame, width: int, num: int) -> tuple[np.ndarray, int]:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1).to_pylist(), width))
+            sets = list(shingle_sets(batch.column(1), width))
             with np.errstate(over="ignore"):
                 sums = [_signature(t)[0] for t in sets]
             yield pa.RecordBatch.from_arrays(
@@ -346,7 +346,7 @@ def _resolve(docs: DataFrame, clusters: DataFrame, width: int, num: int) -> Data
         for batch in batches:
             rows, size = [], 0
             ids, comps, blocks = (batch.column(i).to_pylist() for i in range(3))
-            for i, c, k, t in zip(ids, comps, blocks, shingle_sets(batch.column(3).to_pylist(), width), strict=True):
+            for i, c, k, t in zip(ids, comps, blocks, shingle_sets(batch.column(3), width), strict=True):
                 own = int(mix(np.array([i], dtype=np.int64).view(np.uint64))[0] % np.uint64(k))
                 raw = t.tobytes()
                 for other in range(k):

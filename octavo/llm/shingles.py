@@ -39,10 +39,30 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(64)
 
 
-def word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _pieces(b: np.ndarray, limit: int):
+    """Ranges of about ``limit`` bytes that end where a word ends, so that a long text needs little memory."""
+    start = 0
+    while start < len(b):
+        end = min(start + limit, len(b))
+        while end < len(b) and not _BREAK[b[end]]:
+            ahead = np.flatnonzero(_BREAK[b[end : end + limit]])
+            end += int(ahead[0]) if len(ahead) else limit
+        end = min(end, len(b))
+        yield start, end
+        start = end
+
+
+def word_hashes(block: bytes, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(start offset, hash) of each word in a block of bytes."""
+    whole = np.frombuffer(block, dtype=np.uint8)
+    found = [(s + start, h) for start, end in _pieces(whole, limit) for s, h in [_word_hashes(whole[start:end])]]
+    if not found:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    return np.concatenate([s for s, _ in found]), np.concatenate([h for _, h in found])
+
+
+def _word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS
-    b = np.frombuffer(block, dtype=np.uint8)
     inside = ~_BREAK[b]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
@@ -58,10 +78,12 @@ def word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix(sums ^ (lengths.astype(np.uint64) * _SEED))
 
 
-def _groups(texts: list[bytes], limit: int):
-    """Runs of texts of about ``limit`` bytes together, one longer text alone."""
+def _groups(texts, limit: int):
+    """Runs of encoded texts of about ``limit`` bytes together, one longer text alone."""
     run, size = [], 0
     for t in texts:
+        t = t.as_py() if hasattr(t, "as_py") else t
+        t = b"" if t is None else t.encode("utf-8", "surrogatepass")
         if run and size + len(t) > limit:
             yield run
             run, size = [], 0
@@ -71,15 +93,14 @@ def _groups(texts: list[bytes], limit: int):
         yield run
 
 
-def shingle_sets(texts, width: int, limit: int = 4 << 20):
+def shingle_sets(texts, width: int, limit: int = 1 << 20):
     """Yields for each text, in order, its distinct shingle hashes as a sorted uint64 array.
 
     A text with fewer than ``width`` words gives its whole word sequence as one shingle; a text
-    that is None or has no word gives an empty array.
+    that is None or has no word gives an empty array. texts may be an Arrow column.
     """
-    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     with np.errstate(over="ignore"):
-        for run in _groups(raw, limit):
+        for run in _groups(texts, limit):
             sizes = np.fromiter((len(t) + 1 for t in run), dtype=np.int64, count=len(run))
             starts, words = word_hashes(b"\n".join(run) + b"\n")
             owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
