@@ -91,12 +91,13 @@ def merge_headers(headers: DataFrame) -> DataFrame:
 
 
 def density(points: Column, volume: Column) -> Column:
-    return points / volume
+    """Points in a unit of volume; null for a cloud without volume."""
+    return F.try_divide(points.cast("double"), volume)
 
 
 def search_length(points: Column, volume: Column, k: int = NEIGHBOURS) -> Column:
     """Side of a cube that holds k points at the mean density; null for a cloud without volume."""
-    return F.when(volume > 0, F.pow(F.lit(float(k)) / density(points, volume), F.lit(1 / 3.0)))
+    return F.pow(F.try_divide(F.lit(float(k)), density(points, volume)), F.lit(1 / 3.0))
 
 
 def search_summary(points: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

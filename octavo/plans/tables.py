@@ -60,3 +60,15 @@ def _sweep() -> None:
             remove(spark, path)
         except Exception:  # the session may have ended
             return
+
+
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch, so that a Python task's memory does not
+    depend on how long its rows are. A lower limit that is set already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
+    except Exception:  # written with a unit, or unknown to this version
+        now = 1 << 62
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))

@@ -151,7 +151,7 @@ def child_scan(rows: DataFrame, parent: str, digits: str = "01234567") -> DataFr
 def split_composite(rows: DataFrame, column: str, sep: str = "-") -> DataFrame:
     """rows with row_key, family and qualifier of a composite key "row<sep>family<sep>qualifier"."""
     parts = F.split(F.col(column), rf"\Q{sep}\E", 3)
-    return rows.select("*", parts[0].alias("row_key"), parts[1].alias("family"), parts[2].alias("qualifier"))
+    return rows.select("*", *[F.get(parts, i).alias(n) for i, n in enumerate(("row_key", "family", "qualifier"))])
 
 
 def import_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
