@@ -1,62 +1,5 @@
-"""Tables that cut lineage, kept where every executor and the driver can read them."""
+"""Tables that cut lineage, as the library keeps them."""
 
-from __future__ import annotations
+from octavo.plans.tables import bound_batches, discard, materialize, new_path, remove, shared_dir
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="octavo-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/octavo/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_sweep)
-    _written.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back.
-
-    A lost executor costs a reread of files, not a recomputation. The table lives until discard()
-    or the end of the session.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._octavo_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes materialized tables that nothing will read again."""
-    for df in tables:
-        remove(df.sparkSession, df._octavo_path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _written[:] = [x for x in _written if x[1] != path]
-
-
-def _sweep() -> None:
-    for spark, path in list(_written):
-        try:
-            remove(spark, path)
-        except Exception:  # the session may have ended
-            return
+__all__ = ["bound_batches", "discard", "materialize", "new_path", "remove", "shared_dir"]

@@ -13,7 +13,7 @@ Components become integers floor(1024 * x), so scores are exact and ties are rea
 
 Queries are replicated, never data: rows sent are the queries times the cells they need.
 
-Cases: a null vector, or one that holds a null, a non-finite component or one of 2**28 or more after
+Cases: a null or empty vector, or one that holds a null, a non-finite component or one of 2**28 or more after
 scaling (its products would leave 64 bits), takes no part; vectors meet vectors of their own length
 only; a query's own rows (equal vec_id) are no candidates, other equal vectors are and tie; rows with
 a null id take no part; fewer than k candidates give all; a repeated query row is one query; columns
@@ -49,7 +49,7 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
                     continue
                 with np.errstate(over="ignore", invalid="ignore"):
                     x = np.floor(v.values.to_numpy(zero_copy_only=False).astype(np.float64) * SCALE)
-                if np.isfinite(x).all() and (np.abs(x) < LARGEST).all():
+                if len(x) and np.isfinite(x).all() and (np.abs(x) < LARGEST).all():
                     ids.append(i.as_py())
                     size.append(len(x))
                     out.append(x.astype("<i8").tobytes())
@@ -223,7 +223,7 @@ def oracle_sql(every: int, k: int) -> str:
     return f"""
     WITH v AS (
         SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (
         SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
         FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0),
