@@ -246,15 +246,20 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for secret_report(documents); it measures each window's entropy anew."""
+    """DuckDB SQL for secret_report(documents); it measures each window's entropy anew.
+
+    Hex digits and access keys are whole runs, so there the least length can stand in the pattern.
+    """
     q = lambda x: "'" + x.replace("'", "''") + "'"
     bare = lambda p: p.replace(r"\x20", " ")
+    only = {HEX: "[0-9a-f]{16,}", ACCESS: "AKIA[A-Z0-9]{14,}"}
     found = " UNION ALL ".join(
         f"""SELECT doc_id, {KINDS.index(kind)} AS k, unnest(range(1, len(hits) + 1)) AS i, hits, gaps,
             regexp_extract_all(text, {q(bare(pattern))}, {group}) AS measured, {least} AS least
         FROM (SELECT doc_id, text, regexp_extract_all(text, {q(bare(pattern))}) AS hits,
             string_split_regex(text, {q(bare(pattern))}) AS gaps FROM d)"""
         for kind, pattern, group, least, _ in (*BASE, ("entropy", CANDIDATE, 0, WIDTH, ""))
+        for pattern in [only.get(pattern, pattern)]
     )
     bits = " ".join(f"WHEN regexp_matches(c, {q(p)}) THEN {b}" for _, p, b in CLASSES)
     plain = [p for p in ALLOWED if "\\1" not in p]
