@@ -14,10 +14,11 @@ are one class and link without being paired. Steps:
 4. Large sets post the first few shingles of a global order (those that a similar set cannot all
    miss) to inverted lists. Shingles that are frequent in the sample come last in that order, the rest
    is ordered by hash; any order gives the same links, a better one gives shorter lists.
-5. Lists are scanned in blocks. Lists up to BLOCK sets give candidate pairs that pass the size bound
-   and the positional bound; pairs then must pass a bound on the difference of binned counts. A longer
-   list gives no pairs: its sets join one candidate cluster. Where long lists still hold many
-   postings, their shingles are put last as well and the texts are scanned again.
+5. Where lists of more than SHORT sets hold many postings, their shingles are put last as well and the
+   texts are scanned again. Lists up to SHORT sets then give candidate pairs that pass the size bound
+   and the positional bound, and bounds on the difference of binned counts, first few, then more. A longer
+   list of a shingle that is last already (its sets have hardly another) or of more than BLOCK sets
+   gives no pairs: its sets join one candidate cluster.
 6. Candidate clusters (components of candidate pairs and long lists) are resolved from the whole sets:
    a cluster's sets are dealt to block pairs, each block pair counts all overlaps by one matrix
    product and emits a spanning forest of the links it finds. Components of these edges and classes
@@ -55,12 +56,15 @@ BLOCK = 256
 SHORT = 32
 #: Bins of a set's binned counts: a power of two, about one for BIN_SIZE shingles.
 BIN_SIZE, BINS_LEAST = 8, 32
+#: Bins that travel with a posting.
+MINI = 16
 #: Largest size that may be small, and the cost of a posting in subset keys.
 SMALL_MOST = 40
 POSTING_COST = 6.0
-#: Scan again while long lists hold more postings than this share of the sets, so often at most.
+#: Scan again while long lists of shingles not yet last hold more postings than this share of the sets,
+#: so often at most.
 LONG_SHARE = 0.05
-RESCANS = 2
+RESCANS = 1
 
 
 def least_overlap(a, b, num: int):
@@ -140,8 +144,6 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-SCAN = "id long, n long, s1 long, s2 long, bins binary, post array<long>, keys array<long>, sides array<tinyint>"
-
 def binned(tokens: np.ndarray) -> bytes:
     """Counts of a set's hashes in bins, a byte each; half as many bins are their sums in pairs."""
     k = BINS_LEAST
@@ -155,6 +157,8 @@ def _folded(bins: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(bins.reshape(len(bins), -1, k).sum(axis=1), 255)
 
 
+SCAN = "id long, n long, s1 long, s2 long, mini binary, bins binary, post array<long>, keys array<long>, sides array<tinyint>"
+
 
 def scan_sets(docs: DataFrame, width: int, num: int, small: int, late: np.ndarray) -> DataFrame:
     """One row per document of docs (id, text): its class, binned counts, prefix and subset keys.
@@ -164,7 +168,7 @@ def scan_sets(docs: DataFrame, width: int, num: int, small: int, late: np.ndarra
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2, bins, post, keys, sides = [], [], [], [], [], [], []
+            n, s1, s2, mini, bins, post, keys, sides = [], [], [], [], [], [], [], []
             with np.errstate(over="ignore"):
                 for t in shingle_sets(batch.column(1), width):
                     size = len(t)
@@ -173,6 +177,7 @@ def scan_sets(docs: DataFrame, width: int, num: int, small: int, late: np.ndarra
                     s1.append(a)
                     s2.append(b)
                     bins.append(binned(t))
+                    mini.append(_folded(np.frombuffer(bins[-1], dtype=np.uint8)[None], MINI).astype(np.uint8).tobytes())
                     if size and 100 * size // num > small:
                         at = np.searchsorted(late, t)
                         is_late = late[np.minimum(at, len(late) - 1)] == t if len(late) else np.zeros(size, dtype=bool)
@@ -193,6 +198,7 @@ def scan_sets(docs: DataFrame, width: int, num: int, small: int, late: np.ndarra
                     pa.array(n, pa.int64()),
                     pa.array(s1, pa.int64()),
                     pa.array(s2, pa.int64()),
+                    pa.array(mini, pa.binary()),
                     pa.array(bins, pa.binary()),
                     _lists(post, pa.int64()),
                     _lists(keys, pa.int64()),
@@ -238,6 +244,17 @@ def _hashes(tokens: DataFrame) -> np.ndarray:
     return np.sort(got.astype(np.int64).view(np.uint64))
 
 
+def _marked(lists: DataFrame, late: np.ndarray) -> DataFrame:
+    """lists (t, count) with column late: whether t is in the sorted hashes."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            is_late = np.isin(batch.column(0).to_numpy().view(np.uint64), late)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(is_late)], names=["t", "count", "late"])
+
+    return lists.select("t", "count").mapInArrow(marked, "t long, count long, late boolean")
+
+
 def _light_edges(sets: DataFrame) -> DataFrame:
     """Edges among small sets: every set of a bucket whose sets link, to the smallest."""
     keys = sets.select("id", F.explode(F.arrays_zip("keys", "sides")).alias("k")).select(
@@ -254,9 +271,10 @@ def _light_edges(sets: DataFrame) -> DataFrame:
 
 
 def _list_pairs(postings: DataFrame, num: int) -> DataFrame:
-    """Distinct candidate pairs of the inverted lists in (t, id, n, pos), within size and positional bounds."""
+    """Distinct candidate pairs of the inverted lists in (t, id, n, pos, mini), within bounds on size, position
+    and the difference of the few binned counts that a posting carries."""
 
-    def pairs_of(t, ids, n, pos):
+    def pairs_of(t, ids, n, pos, mini):
         """All pairs of rows with the same t; rows are sorted by t."""
         cuts = np.flatnonzero(np.diff(t)) + 1
         starts, sizes = np.concatenate([[0], cuts]), np.diff(np.concatenate([[0], cuts, [len(t)]]))
@@ -274,6 +292,9 @@ def _list_pairs(postings: DataFrame, num: int) -> DataFrame:
                 ok = 100 * np.minimum(na, nb) >= num * np.maximum(na, nb)
                 a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
                 ok = np.minimum(na - pos[a], nb - pos[b]) >= least_overlap(na, nb, num)
+                a, b = a[ok], b[ok]
+                far = np.abs(mini[a].astype(np.int16) - mini[b]).sum(axis=1)
+                ok = far <= n[a] + n[b] - 2 * least_overlap(n[a], n[b], num)
                 x, y = ids[a[ok]], ids[b[ok]]
                 ok = x != y
                 found.append(np.column_stack([np.minimum(x, y)[ok], np.maximum(x, y)[ok]]))
@@ -282,7 +303,8 @@ def _list_pairs(postings: DataFrame, num: int) -> DataFrame:
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
+            now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, MINI))
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
@@ -294,7 +316,7 @@ def _list_pairs(postings: DataFrame, num: int) -> DataFrame:
             out = pairs_of(*held)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
-    dealt = postings.select("t", "id", "n", "pos").repartition("t").sortWithinPartitions("t")
+    dealt = postings.select("t", "id", "n", "pos", "mini").repartition("t").sortWithinPartitions("t")
     return dealt.mapInArrow(paired, "a long, b long").distinct()
 
 
@@ -432,19 +454,20 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, id_col: str =
             "jaccard-reps",
         )
         posted = sets.select("id", "n", F.posexplode("post").alias("pos", "t"))
-        lists = materialize(posted.groupBy("t").count().where("count > 1"), "jaccard-lists")
-        long = lists.where(f"count > {BLOCK}")
+        lists = materialize(_marked(posted.groupBy("t").count().where("count > 1"), late), "jaccard-lists")
+        long = lists.where(f"NOT late AND count > {SHORT}")
         held = long.agg(F.sum("count")).first()[0] or 0
-        if again == RESCANS or held <= LONG_SHARE * sets.count():
+        if again == RESCANS or held <= LONG_SHARE * sets.count() or len(late) >= ORDER_TOKENS:
             break
-        more = _hashes(long.orderBy(F.desc("count"), "t").limit(ORDER_TOKENS))
-        if len(np.setdiff1d(more, late)) == 0:
-            break
-        late = np.union1d(late, more)
+        more = long.orderBy(F.desc("count"), "t").limit(ORDER_TOKENS - len(late))
+        late = np.union1d(late, _hashes(more))
         discard(scanned, classes, sets, lists)
-    met = materialize(posted.join(lists, "t"), "jaccard-postings")
-    pairs = _near_enough(_list_pairs(met.where(f"count <= {BLOCK}"), num), sets, num)
-    crowded = met.where(f"count > {BLOCK}")
+    met = materialize(
+        posted.join(lists, "t").withColumn("crowded", F.expr(f"count > {BLOCK} OR late AND count > {SHORT}")), "jaccard-postings"
+    )
+    short = met.where("NOT crowded").join(sets.select("id", "mini"), "id")
+    pairs = _near_enough(_list_pairs(short, num), sets, num)
+    crowded = met.where("crowded")
     hubs = materialize(crowded.groupBy("t").agg(F.min("id").alias("hub")), "jaccard-hubs")
     candidates = materialize(pairs.union(crowded.join(hubs, "t").select(F.col("id").alias("a"), F.col("hub").alias("b"))), "jaccard-candidates")
     clusters = connected_components(candidates)
@@ -472,12 +495,15 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, id_col: str = "doc_
     only then. Rows with a null id stay; of rows that share an id, one stays.
     """
     groups = materialize(jaccard_groups(docs, width, num, id_col, text).where("doc_id IS NOT NULL"), "jaccard-kept")
-    repeated = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("octavo_id"))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("octavo_id")).distinct()
+    key = "octavo_id"
+    while key in docs.columns:
+        key += "_"
+    repeated = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
     ids = F.col(f"`{id_col}`").cast("long")
 
     def minus(rows: DataFrame, out: DataFrame, how: str) -> DataFrame:
-        return rows.join(out, ids == F.col("octavo_id"), how)
+        return rows.join(out, ids == F.col(key), how)
 
     few = lambda x, n: F.broadcast(x) if n <= BROADCAST_IDS else x
     kept = minus(docs, few(gone, gone.count()), "left_anti")
