@@ -343,3 +343,20 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
     )
+
+
+def oracle_sql(least: float = 0.98) -> str:
+    """DuckDB SQL for near_duplicates(embeddings), by all pairs of a label; ids taken to be unique."""
+    return f"""
+    WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    u AS (
+        SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(v, lambda x: x <> 0)) > 0),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WHERE list_cosine_similarity(a.v, b.v) >= {least} OR a.v = b.v),
+    reach AS (SELECT vec_id AS id, vec_id AS c FROM e UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id),
+    n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(reach.c) AS component_id, min(reach.c) = e.vec_id AS kept
+    FROM e JOIN reach ON reach.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id GROUP BY e.vec_id
+    """

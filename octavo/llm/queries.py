@@ -75,6 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": jaccard.oracle_sql(3, 90),
+        "op3_embedding_near_dedup": neardup.oracle_sql(),
+        "op4_warc": warc.oracle_sql(),
         "op6_secret_scans": secrets.oracle_sql(),
         "op10_exact_top_k": topk.oracle_sql(100, 10),
     }

@@ -267,3 +267,21 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url: str = "ur
     single = materialize(normalise(whole), "warc-members")
     discard(whole)
     return read_records(single).drop("payload", "url")
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for archive_round_trip(pages): five hex digits are four of base32."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    b32 = " || ".join(
+        f"substr('{letters}', CAST((CAST('0x' || substr(s, {5 * g + 1}, 5) AS BIGINT) >> {k}) & 31 AS BIGINT) + 1, 1)"
+        for g in range(8)
+        for k in (15, 10, 5, 0)
+    )
+    return f"""
+    WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS s FROM pages),
+    r AS (SELECT s, max(page_id) AS rep, count(*) AS n FROM d GROUP BY s)
+    SELECT page_id, bytes AS payload_bytes, {b32} AS payload_digest,
+        CASE WHEN n > 1 AND rep IS DISTINCT FROM page_id AND rep IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n > 1 AND rep IS DISTINCT FROM page_id THEN rep END AS refers_to
+    FROM d JOIN r USING (s)
+    """
