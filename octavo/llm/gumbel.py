@@ -42,7 +42,7 @@ from octavo.llm.tokens import default_path
 SPACE = "▁"
 #: Chunks up to so many characters are remembered; nodes after which all are forgotten.
 CACHED_LENGTH = 40
-CACHED_NODES = 1_000_000
+CACHED_NODES = 2_500_000
 #: Characters of a batch's texts that are sampled together.
 BATCH_CHARS = 1 << 20
 
@@ -96,7 +96,6 @@ class Lattice:
         self.log_z = array("d", [0.0])
         self.first = array("q", [0, 0])
         self.arcs = (array("i"), array("i"), array("d"))
-        self.frozen = None
 
     def _spell(self, c: str) -> int:
         """The output that spells a character in byte pieces."""
@@ -172,10 +171,11 @@ class Lattice:
         return [known[c] if c in known else self._chunk(c) for c in chunks]
 
     def tables(self):
-        """first arc of each node, arcs' outputs, next nodes and log probabilities."""
-        if self.frozen is None or len(self.frozen[0]) != len(self.first):
-            self.frozen = tuple(np.array(x) for x in (self.first, *self.arcs))
-        return self.frozen
+        """first arc of each node, arcs' outputs, next nodes and log probabilities, as views of the columns.
+
+        No node can be added while a view is held.
+        """
+        return tuple(np.frombuffer(x, dtype=x.typecode) for x in (self.first, *self.arcs))
 
     def decode(self, ids) -> str:
         """Text of ids; the first space is the one that encoding puts in front."""
@@ -257,9 +257,9 @@ def _sample(lattice, texts, seeds, k):
         cuts = np.searchsorted(path.doc, np.concatenate([which, [n]]))
         ends = np.searchsorted(path.doc, which, side="right")
         lp = log_p[path.arc]
-        total = np.cumsum(lp)
-        base = np.concatenate([[0.0], total])[np.searchsorted(path.doc, path.doc)] if len(lp) else lp
-        before = total - lp - base
+        before = np.empty(len(lp))
+        for a, b in zip(cuts, ends, strict=False):
+            before[a:b] = np.cumsum(lp[a:b]) - lp[a:b]
         aside = np.log(-np.expm1(np.minimum(lp, -1e-300)))
         aside[lp > -1e-12] = -np.inf
         phi = before + aside
@@ -269,7 +269,7 @@ def _sample(lattice, texts, seeds, k):
         value = -np.logaddexp(-bound[path.doc], np.log(wait) - phi)
         for r, d in enumerate(which):
             a, b = cuts[r], ends[r]
-            score = float(total[b - 1] - base[a]) if b > a else 0.0
+            score = float(before[b - 1] + lp[b - 1]) if b > a else 0.0
             found[d].append((path.arc[a:b], score, float(values[r])))
             start = a + begins[r]
             options = []
