@@ -72,3 +72,15 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         now = 1 << 62
     if now <= 0 or now > most:
         spark.conf.set(key, str(most))
+
+
+def tidy() -> None:
+    """Gives memory that a worker process has freed back to the system; called where a task's rows end."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
