@@ -56,8 +56,8 @@ BLOCK = 256
 SHORT = 32
 #: Bins of a set's binned counts: a power of two, about one for BIN_SIZE shingles.
 BIN_SIZE, BINS_LEAST = 8, 32
-#: Bins that travel with a posting.
-MINI = 16
+#: Bins, and first listed shingles of its set, that travel with a posting.
+MINI, HEADS = 16, 4
 #: Largest size that may be small, and the cost of a posting in subset keys.
 SMALL_MOST = 40
 POSTING_COST = 6.0
@@ -271,10 +271,15 @@ def _light_edges(sets: DataFrame) -> DataFrame:
 
 
 def _list_pairs(postings: DataFrame, num: int) -> DataFrame:
-    """Distinct candidate pairs of the inverted lists in (t, id, n, pos, mini), within bounds on size, position
-    and the difference of the few binned counts that a posting carries."""
+    """Distinct candidate pairs of the inverted lists in (t, id, n, pos, mini, heads), within bounds on size,
+    position and the difference of the few binned counts that a posting carries.
 
-    def pairs_of(t, ids, n, pos, mini):
+    heads are the first shingles of the set that have a short list. Where two sets share one of these, the first
+    that they share is the first they share at all, and only its list gives the pair.
+    """
+    none = np.iinfo(np.int64).min
+
+    def pairs_of(t, ids, n, pos, mini, heads):
         """All pairs of rows with the same t; rows are sorted by t."""
         cuts = np.flatnonzero(np.diff(t)) + 1
         starts, sizes = np.concatenate([[0], cuts]), np.diff(np.concatenate([[0], cuts, [len(t)]]))
@@ -295,6 +300,10 @@ def _list_pairs(postings: DataFrame, num: int) -> DataFrame:
                 a, b = a[ok], b[ok]
                 far = np.abs(mini[a].astype(np.int16) - mini[b]).sum(axis=1)
                 ok = far <= n[a] + n[b] - 2 * least_overlap(n[a], n[b], num)
+                a, b = a[ok], b[ok]
+                both = ((heads[a][:, :, None] == heads[b][:, None, :]) & (heads[a] != none)[:, :, None]).any(axis=2)
+                earliest = heads[a][np.arange(len(a)), both.argmax(axis=1)]
+                ok = ~both.any(axis=1) | (earliest == t[a])
                 x, y = ids[a[ok]], ids[b[ok]]
                 ok = x != y
                 found.append(np.column_stack([np.minimum(x, y)[ok], np.maximum(x, y)[ok]]))
@@ -305,6 +314,8 @@ def _list_pairs(postings: DataFrame, num: int) -> DataFrame:
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
             now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, MINI))
+            heads = [x + [none] * (HEADS - len(x)) for x in batch.column(5).to_pylist()]
+            now.append(np.array(heads, dtype=np.int64).reshape(-1, HEADS))
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
@@ -316,7 +327,7 @@ def _list_pairs(postings: DataFrame, num: int) -> DataFrame:
             out = pairs_of(*held)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
-    dealt = postings.select("t", "id", "n", "pos", "mini").repartition("t").sortWithinPartitions("t")
+    dealt = postings.select("t", "id", "n", "pos", "mini", "heads").repartition("t").sortWithinPartitions("t")
     return dealt.mapInArrow(paired, "a long, b long").distinct()
 
 
@@ -465,7 +476,10 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, id_col: str =
     met = materialize(
         posted.join(lists, "t").withColumn("crowded", F.expr(f"count > {BLOCK} OR late AND count > {SHORT}")), "jaccard-postings"
     )
-    short = met.where("NOT crowded").join(sets.select("id", "mini"), "id")
+    short = met.where("NOT crowded")
+    heads = short.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("h"))
+    heads = heads.select("id", "n", F.slice("h", 1, HEADS)["t"].alias("heads")).join(sets.select("id", "n", "mini"), ["id", "n"])
+    short = short.join(materialize(heads, "jaccard-heads"), ["id", "n"])
     pairs = _near_enough(_list_pairs(short, num), sets, num)
     crowded = met.where("crowded")
     hubs = materialize(crowded.groupBy("t").agg(F.min("id").alias("hub")), "jaccard-hubs")
