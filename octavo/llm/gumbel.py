@@ -47,7 +47,6 @@ CACHED_NODES = 2_500_000
 BATCH_CHARS = 1 << 20
 
 _CHUNK = re.compile(f"{SPACE}*[^\\W\\d_]+|{SPACE}*[^\\w\\s{SPACE}]+|{SPACE}*[\\d_]|{SPACE}+|.", re.S)
-_LETTERS = re.compile(r"[^\W\d_]")
 
 _loaded: dict[tuple[str, float], Lattice] = {}
 
