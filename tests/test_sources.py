@@ -126,3 +126,24 @@ def test_lod_keys_are_prefixes(spark):
     p = spark.createDataFrame([(1.0, 2.0, 3.0, i) for i in range(4)], "x double, y double, z double, level int")
     found = [r.node_key for r in lod.with_node_keys(p, (0.0, 0.0, 0.0), 4.0, 3).orderBy("level").collect()]
     assert all(b.startswith(a) and len(b) == len(a) + 1 for a, b in zip(found, found[1:], strict=False))
+
+
+def test_small_files(spark, tmp_path):
+    from octavo.sources import files
+
+    path = f"{tmp_path}/d/cloud.js"
+    files.write_bytes(spark, path, b"{}")
+    files.write_bytes(spark, path, bytes(range(256)), append=True)
+    assert files.read_bytes(spark, path) == b"{}" + bytes(range(256))
+    files.write_bytes(spark, f"{tmp_path}/d/r.hrc", b"\1")
+    assert [(r.path.rsplit("/")[-1], r.length) for r in files.list_files(spark, str(tmp_path), ".hrc").collect()] == [("r.hrc", 1)]
+    with pytest.raises(Exception):
+        files.delete(spark, f"{tmp_path}/d")
+    assert files.delete(spark, f"{tmp_path}/d", recursive=True) and not files.exists(spark, path)
+
+
+def test_interim_records(spark, tmp_path):
+    from octavo.sources import files
+
+    (tmp_path / "a.bin").write_bytes(struct.pack("<3d3B", 1.5, -2.0, 3.25, 255, 0, 7) * 2)
+    assert [tuple(r) for r in files.read_interim(spark, str(tmp_path)).collect()] == [(1.5, -2.0, 3.25, 255, 0, 7)] * 2
