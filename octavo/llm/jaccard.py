@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octavo.llm.components import connected_components
-from octavo.llm.shared import discard, materialize
+from octavo.llm.shared import discard, materialize, tidy
 from octavo.llm.shingles import mix, shingle_sets
 
 SAMPLE_DOCS = 8192
@@ -206,6 +206,7 @@ def scan_sets(docs: DataFrame, width: int, num: int, small: int, late: np.ndarra
                 ],
                 names=[x.split()[0] for x in SCAN.split(", ")],
             )
+        tidy()
 
     return docs.mapInArrow(scanned, SCAN)
 

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from octavo.llm.shared import tidy
 from octavo.llm.tokens import WordTokenizer, default_path
 
 TIERS = (256, 512, 1024, 2048)
@@ -192,6 +193,7 @@ def pack_documents(
             yield packer.rows()
         packer.close()
         yield packer.rows()
+        tidy()
 
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return slim.mapInArrow(packed, SCHEMA)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from octavo.llm.shared import materialize
+from octavo.llm.shared import materialize, tidy
 
 SAMPLE_ROWS = 8000
 BROADCAST_ROWS = 50_000
@@ -159,6 +159,7 @@ def evidence(docs: DataFrame, model: Classifier, text: str = "text", into: str =
         for batch in batches:
             odds = pa.array(model.log_odds(batch.column(at).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, odds], names=[*batch.schema.names, into])
+        tidy()
 
     return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
 

@@ -1,5 +1,5 @@
 """Tables that cut lineage, as the library keeps them."""
 
-from octavo.plans.tables import bound_batches, discard, materialize, new_path, remove, shared_dir
+from octavo.plans.tables import bound_batches, discard, materialize, new_path, remove, shared_dir, tidy
 
-__all__ = ["bound_batches", "discard", "materialize", "new_path", "remove", "shared_dir"]
+__all__ = ["bound_batches", "discard", "materialize", "new_path", "remove", "shared_dir", "tidy"]

@@ -15,7 +15,7 @@ import numpy as np
 
 #: Words up to so many characters are kept; the cache is emptied when it holds so many.
 CACHED_LENGTH = 48
-CACHED_WORDS = 600_000
+CACHED_WORDS = 450_000
 #: Above these characters lower case and composition do not depend on one another's order.
 _BEYOND = re.compile("[\u0130\u0300-\U0010ffff]|<\\|")
 #: A full stop or comma that stands alone between a letter and white space is a word of its own.

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from octavo.llm.shared import tidy
+
 SAMPLE_ROWS = 8000
 MAX_TERMS = 5000
 THRESHOLD = 0.3
@@ -263,6 +265,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
                 ],
                 names=["doc_id", "score", "predicted", "n_hits"],
             )
+        tidy()
 
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -276,5 +279,6 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFra
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([score(t.as_py(), lexicon)[0] < THRESHOLD for t in batch.column(at)], pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(kept, docs.schema)
