@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from octavo.llm.components import connected_components
 from octavo.llm.shared import discard, materialize, tidy
 from octavo.llm.shingles import mix, shingle_sets
+from octavo.llm.tokens import forget
 
 SAMPLE_DOCS = 8192
 ORDER_TOKENS = 1_000_000
@@ -167,6 +168,7 @@ def scan_sets(docs: DataFrame, width: int, num: int, small: int, late: np.ndarra
     """
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             n, s1, s2, mini, bins, post, keys, sides = [], [], [], [], [], [], [], []
             with np.errstate(over="ignore"):

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from octavo.llm.shared import materialize, tidy
+from octavo.llm.tokens import forget
 
 SAMPLE_ROWS = 8000
 BROADCAST_ROWS = 50_000
@@ -156,6 +157,7 @@ def evidence(docs: DataFrame, model: Classifier, text: str = "text", into: str =
     at = docs.columns.index(text)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             odds = pa.array(model.log_odds(batch.column(at).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, odds], names=[*batch.schema.names, into])

@@ -30,6 +30,12 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def forget() -> None:
+    """Empties the caches of this worker process, for tasks that do not tokenize."""
+    for tokenizer in _loaded.values():
+        tokenizer.known = {"": b""}
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
