@@ -66,14 +66,18 @@ class Lattice:
         self.longest = max(map(len, self.pieces))
         low, n = min(plain), len(sp)
         self.weight = {p: -alpha * math.log(2 + i - low) for p, i in self.pieces.items()}
-        #: Lengths of the pieces that begin with two characters, or are one.
+        #: Lengths of the pieces that begin with two characters, or are one; the longest first, which mostly is
+        #: the likeliest and so the one that a draw should try first.
         lengths: dict[str, set[int]] = {}
         for p in self.pieces:
             lengths.setdefault(p[:2], set()).add(len(p))
-        self.lengths = {p: sorted(x) for p, x in lengths.items()}
+        self.lengths = {p: sorted(x, reverse=True) for p, x in lengths.items()}
         self.byte_weight = -alpha * math.log(2 + n)
         #: Arcs' output: rows of flat; one for each piece, later one for each spelled character.
         self.out_start, self.out_size = list(range(n)), [1] * n
+        self.out_weight = [0.0] * n
+        for p, i in self.pieces.items():
+            self.out_weight[i] = self.weight[p]
         self.out_ids = list(range(n))
         self.spelled: dict[str, int] = {}
         self.text_of = [b""] * n
@@ -103,6 +107,7 @@ class Lattice:
             self.spelled[c] = len(self.out_size)
             self.out_start.append(len(self.out_ids))
             self.out_size.append(len(ids))
+            self.out_weight.append(self.byte_weight * len(ids))
             self.out_ids += ids
         return self.spelled[c]
 
@@ -135,23 +140,56 @@ class Lattice:
         self.first.append(len(outs))
         return len(log_z) - 1
 
-    def _chunk(self, chunk: str) -> int:
-        known = self.node_of
+    def _long_chunk(self, chunk: str) -> int:
+        """Adds the nodes of a chunk that is not remembered."""
         n = len(chunk)
-        if n > CACHED_LENGTH:
-            at = [0] * (n + 1)
-            for i in range(n - 1, -1, -1):
-                at[i] = self._node(chunk[i : i + self.longest], at[i : i + self.longest + 1])
-            return at[0]
-        start = 1
-        while chunk[start:] not in known:
-            start += 1
-        after = [known[chunk[i:]] for i in range(start, n + 1)]
-        for i in range(start - 1, -1, -1):
-            rest = chunk[i:]
-            known[rest] = self._node(rest, [0, *after])
-            after.insert(0, known[rest])
-        return known[chunk]
+        at = [0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            at[i] = self._node(chunk[i : i + self.longest], at[i : i + self.longest + 1])
+        return at[0]
+
+    def _grow(self, chunks: list[str]) -> None:
+        """Adds the nodes of many chunks together, shorter suffixes first, with their sums in numpy."""
+        known, pieces, lengths = self.node_of, self.pieces, self.lengths
+        fresh = []
+        for chunk in chunks:
+            for i in range(len(chunk)):
+                rest = chunk[i:]
+                if rest in known:
+                    break
+                known[rest] = -1
+                fresh.append(rest)
+        fresh.sort(key=len)
+        base = len(self.log_z)
+        known.update(zip(fresh, range(base, base + len(fresh)), strict=True))
+        outs, nexts, ends = [], [], []
+        for rest in fresh:
+            head, n = rest[0], len(rest)
+            for i in lengths.get(rest[:2], ()):
+                if 1 < i <= n and (piece := pieces.get(rest[:i])) is not None:
+                    outs.append(piece)
+                    nexts.append(known[rest[i:]])
+            piece = pieces.get(head)
+            outs.append(self._spell(SPACE if head == "\0" else head) if piece is None else piece)
+            nexts.append(known[rest[1:]])
+            ends.append(len(outs))
+        out, after, end = np.array(outs, dtype=np.int32), np.array(nexts, dtype=np.int32), np.array(ends, dtype=np.int64)
+        size = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh))
+        log, z = np.array(self.out_weight)[out], np.concatenate([np.array(self.log_z), np.zeros(len(fresh))])
+        start = np.concatenate([[0], end[:-1]])
+        cuts = np.flatnonzero(np.diff(size, prepend=0, append=1 << 40))
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            a, b = start[first], end[last - 1]
+            v = log[a:b] + z[after[a:b]]
+            segments, counts = start[first:last] - a, end[first:last] - start[first:last]
+            top = np.maximum.reduceat(v, segments)
+            total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, counts)), segments))
+            z[base + first : base + last] = total
+            log[a:b] = v - np.repeat(total, counts)
+        self.log_z.frombytes(z[base:].tobytes())
+        self.first.frombytes((len(self.arcs[0]) + end).tobytes())
+        for column, values in zip(self.arcs, (out, after, log), strict=True):
+            column.frombytes(values.tobytes())
 
     def chunks(self, text: str) -> list[str]:
         if not text:
@@ -164,10 +202,13 @@ class Lattice:
         if len(self.log_z) > CACHED_NODES:
             self._reset()
         known = self.node_of
-        for c in set(chunks).difference(known):
-            if len(c) <= CACHED_LENGTH:
-                self._chunk(c)
-        return [known[c] if c in known else self._chunk(c) for c in chunks]
+        fresh = [c for c in set(chunks).difference(known) if len(c) <= CACHED_LENGTH]
+        if fresh:
+            self._grow(fresh)
+        out = list(map(known.get, chunks))
+        if len(chunks) and max(map(len, chunks)) > CACHED_LENGTH:
+            out = [self._long_chunk(c) if node is None else node for c, node in zip(chunks, out, strict=True)]
+        return out
 
     def tables(self):
         """first arc of each node, arcs' outputs, next nodes and log probabilities, as views of the columns.
@@ -176,6 +217,10 @@ class Lattice:
         """
         return tuple(np.frombuffer(x, dtype=x.typecode) for x in (self.first, *self.arcs))
 
+    def spells(self, ids: np.ndarray, text: str) -> bool:
+        """Whether the ids decode to the text."""
+        return b"".join(map(self.text_of.__getitem__, ids.tolist())) == (b" " + text.encode() if text else b"")
+
     def decode(self, ids) -> str:
         """Text of ids; the first space is the one that encoding puts in front."""
         return b"".join([self.text_of[i] for i in ids]).decode("utf-8", "replace")[1:]
@@ -187,43 +232,34 @@ def _uniform(seed: np.ndarray, a: np.ndarray, b) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
 
 
-class _Paths:
-    """Paths of many documents: documents, words and arcs, in order."""
-
-    def __init__(self, doc: np.ndarray, word: np.ndarray, arc: np.ndarray):
-        self.doc, self.word, self.arc = doc, word, arc
-
-
-def _draw(tables, node: np.ndarray, doc: np.ndarray, word: np.ndarray, seed: np.ndarray, salt: int) -> _Paths:
-    """Free draws from the nodes on to their chunks' ends, all in lockstep."""
+def _draw(tables, node: np.ndarray, doc: np.ndarray, word: np.ndarray, seed: np.ndarray, salt: int):
+    """Free draws from the nodes on to their chunks' ends, all in lockstep: arcs in the order of the nodes
+    given, and how many each took."""
     first, _, after, log_p = tables
-    docs, words, arcs, steps = [], [], [], []
-    step = 0
+    taken, counts, step = [], np.zeros(len(node), dtype=np.int64), 0
     live = np.flatnonzero(node > 0)
-    node, doc, word = node[live], doc[live], word[live]
-    while len(node):
-        left = _uniform(seed[doc], word * np.int64(64) + step % 64, salt + 1000 * (step // 64))
+    node = node[live]
+    while len(live):
+        left = _uniform(seed[doc[live]], word[live] * np.int64(64) + step % 64, salt + 1000 * (step // 64))
         arc, last = first[node], first[node + 1] - 1
-        moving = np.arange(len(node))
+        moving = np.arange(len(live))
         while len(moving):
             p = np.exp(log_p[arc[moving]])
             on = (left[moving] >= p) & (arc[moving] < last[moving])
             left[moving[on]] -= p[on]
             moving = moving[on]
             arc[moving] += 1
-        docs.append(doc)
-        words.append(word)
-        arcs.append(arc)
-        steps.append(np.full(len(doc), step))
+        taken.append((live, arc))
+        counts[live] += 1
         node = after[arc]
         go = node > 0
-        node, doc, word = node[go], doc[go], word[go]
+        node, live = node[go], live[go]
         step += 1
-    if not docs:
-        return _Paths(*[np.empty(0, dtype=np.int64)] * 3)
-    d, w, a, s = (np.concatenate(x) for x in (docs, words, arcs, steps))
-    order = np.lexsort((s, w))
-    return _Paths(d[order], w[order], a[order])
+    begin = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), dtype=np.int64)
+    for step, (who, arc) in enumerate(taken):
+        out[begin[who] + step] = arc
+    return out, counts
 
 
 def sample(lattice: Lattice, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -245,31 +281,28 @@ def _sample(lattice, texts, seeds, k):
     owner_first = np.concatenate([[0], np.cumsum(counts)])
 
     gumbel = -np.log(-np.log(_uniform(seeds, np.zeros(n, dtype=np.int64), 1)))
-    path = _draw(tables, roots, doc, local, seeds, 2)
-    order = np.lexsort((path.word, path.doc))
-    path = _Paths(path.doc[order], path.word[order], path.arc[order])
+    arcs, steps = _draw(tables, roots, doc, local, seeds, 2)
     found: list[list] = [[] for _ in range(n)]
     waiting: list[list] = [[] for _ in range(n)]
 
-    def settle(path: _Paths, which: np.ndarray, values: np.ndarray, begins: np.ndarray, barred: list, salt: int):
-        """Emits the paths of documents ``which`` and queues the best subtrees they left aside."""
-        cuts = np.searchsorted(path.doc, np.concatenate([which, [n]]))
-        ends = np.searchsorted(path.doc, which, side="right")
-        lp = log_p[path.arc]
+    def settle(path: np.ndarray, sizes: np.ndarray, which: np.ndarray, values: np.ndarray, begins: np.ndarray, barred: list, salt: int):
+        """Emits the paths of documents ``which``, so many arcs each, and queues the best subtrees they left aside."""
+        ends = np.cumsum(sizes)
+        cuts = ends - sizes
+        owner = np.repeat(np.arange(len(which)), sizes)
+        lp = log_p[path]
         before = np.empty(len(lp))
         for a, b in zip(cuts, ends, strict=False):
             before[a:b] = np.cumsum(lp[a:b]) - lp[a:b]
         aside = np.log(-np.expm1(np.minimum(lp, -1e-300)))
         aside[lp > -1e-12] = -np.inf
         phi = before + aside
-        wait = -np.log(_uniform(seeds[path.doc], np.arange(len(lp)) - np.searchsorted(path.doc, path.doc), 3 + salt))
-        bound = np.full(n, np.inf)
-        bound[which] = values
-        value = -np.logaddexp(-bound[path.doc], np.log(wait) - phi)
+        wait = -np.log(_uniform(seeds[which][owner], np.arange(len(lp)) - cuts[owner], 3 + salt))
+        value = -np.logaddexp(-values[owner], np.log(wait) - phi)
         for r, d in enumerate(which):
             a, b = cuts[r], ends[r]
             score = float(before[b - 1] + lp[b - 1]) if b > a else 0.0
-            found[d].append((path.arc[a:b], score, float(values[r])))
+            found[d].append((path[a:b], score, float(values[r])))
             start = a + begins[r]
             options = []
             if b > start:
@@ -277,7 +310,7 @@ def _sample(lattice, texts, seeds, k):
                 if barred[r]:
                     # At the arc where this path left its elder, what both took is barred.
                     node_first, node_end = barred[r][1]
-                    taken = barred[r][0] | {int(path.arc[start])}
+                    taken = barred[r][0] | {int(path[start])}
                     rest = [x for x in range(node_first, node_end) if x not in taken]
                     mass = np.logaddexp.reduce(log_p[rest]) if rest else -np.inf
                     f = before[start] + mass
@@ -286,10 +319,10 @@ def _sample(lattice, texts, seeds, k):
                 for t in top:
                     if np.isfinite(v[t]):
                         same = barred[r][0] if barred[r] and t == 0 else set()
-                        options.append((float(v[t]), len(found[d]) - 1, int(begins[r] + t), same | {int(path.arc[start + t])}))
+                        options.append((float(v[t]), len(found[d]) - 1, int(begins[r] + t), same | {int(path[start + t])}))
             waiting[d] = sorted(waiting[d] + options, key=lambda x: -x[0])[: k + 1]
 
-    settle(path, np.arange(n), gumbel, np.zeros(n, dtype=np.int64), [None] * n, 10)
+    settle(arcs, np.bincount(doc, steps, n).astype(np.int64), np.arange(n), gumbel, np.zeros(n, dtype=np.int64), [None] * n, 10)
     arc_node = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for rank in range(1, k):
         which = np.array([d for d in range(n) if waiting[d]], dtype=np.int64)
@@ -313,22 +346,23 @@ def _sample(lattice, texts, seeds, k):
             barred.append((taken, (a, b)))
             places.append(w)
         picked, places = np.array(picked), np.array(places)
-        rest_doc = np.repeat(which, counts[which] - places - 1)
-        rest_at = np.arange(len(rest_doc)) - np.repeat(np.cumsum(counts[which] - places - 1) - (counts[which] - places - 1), counts[which] - places - 1)
-        rest_word = rest_at + np.repeat(places + 1, counts[which] - places - 1)
-        start_nodes = np.concatenate([after[picked], roots[owner_first[rest_doc] + rest_word]])
-        free = _draw(
-            tables, start_nodes, np.concatenate([which, rest_doc]), np.concatenate([places, rest_word]), seeds, 50000 * rank + 17
-        )
-        head_doc = np.repeat(which, [len(x) for x, _ in kept])
-        head = np.concatenate([x for x, _ in kept]) if kept else np.empty(0, dtype=np.int64)
-        d = np.concatenate([head_doc, which, free.doc])
-        part = np.concatenate([np.zeros(len(head)), np.ones(len(which)), np.full(len(free.doc), 2)])
-        w = np.concatenate([np.zeros(len(head) + len(which), dtype=np.int64), free.word])
-        arcs = np.concatenate([head, picked, free.arc])
-        order = np.lexsort((w, part, d))
-        path = _Paths(d[order], np.empty(0), arcs[order])
-        settle(path, which, np.array(values), np.array(begins), barred, 20 + rank)
+        # Each path goes on with what is left of its word, then with the words after it.
+        more = counts[which] - places
+        begin = np.cumsum(more) - more
+        owner = np.repeat(np.arange(len(which)), more)
+        on_word = places[owner] + np.arange(len(owner)) - begin[owner]
+        nodes = roots[owner_first[which[owner]] + on_word]
+        nodes[begin] = after[picked]
+        arcs, steps = _draw(tables, nodes, which[owner], on_word, seeds, 50000 * rank + 17)
+        heads, tails = np.array([len(x) for x, _ in kept]), np.bincount(owner, steps, len(which)).astype(np.int64)
+        sizes = heads + 1 + tails
+        at = np.cumsum(sizes) - sizes
+        path = np.empty(int(sizes.sum()), dtype=np.int64)
+        spread = lambda n: np.repeat(np.arange(len(n)), n), lambda n: np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        path[at[spread[0](heads)] + spread[1](heads)] = np.concatenate([x for x, _ in kept])
+        path[at + heads] = picked
+        path[(at + heads + 1)[spread[0](tails)] + spread[1](tails)] = arcs
+        settle(path, sizes, which, np.array(values), np.array(begins), barred, 20 + rank)
 
     out_start, out_size = np.array(lattice.out_start), np.array(lattice.out_size)
     flat = np.array(lattice.out_ids, dtype=np.int64)
@@ -393,7 +427,7 @@ def sample_segmentations(
                     for number, (pieces, score, value, inclusion) in enumerate(rows):
                         if digest:
                             whole = zlib.crc32(pieces.astype("<u4").tobytes())
-                            mid = [len(pieces), whole, lattice.decode(pieces.tolist()) == t]
+                            mid = [len(pieces), whole, lattice.spells(pieces, t)]
                         else:
                             mid = [pieces.astype(np.int32)]
                         for column, v in zip(out, [i, number, *mid, score, value, inclusion], strict=True):
