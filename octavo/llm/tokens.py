@@ -19,7 +19,7 @@ CACHED_WORDS = 450_000
 #: Above these characters lower case and composition do not depend on one another's order.
 _BEYOND = re.compile("[\u0130\u0300-\U0010ffff]|<\\|")
 #: A full stop or comma that stands alone between a letter and white space is a word of its own.
-_STOP = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n\t\r]|$)")
+_STOP = re.compile("[.,](?=[ \n\t\r]|$)(?<=[a-z\u00df-\u00f6\u00f8-\u00ff].)")
 
 _loaded: dict[str, WordTokenizer] = {}
 
@@ -73,13 +73,13 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
-        if not _BEYOND.search(text):
-            text = _STOP.sub(r" \1", text.lower())
+        if "<|" not in text if text.isascii() else not _BEYOND.search(text):
+            text = _STOP.sub(r" \g<0>", text.lower())
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self.known
         fresh = list(set(words).difference(known))
         if not fresh:
-            return b"".join([known[w] for w in words])
+            return b"".join(map(known.__getitem__, words))
         if len(known) + len(fresh) > CACHED_WORDS:
             known.clear()
             known[""] = b""
@@ -87,5 +87,5 @@ class WordTokenizer:
         here = self._ids(fresh)
         known.update((w, x) for w, x in here.items() if len(w) <= CACHED_LENGTH)
         if len(here) == len(fresh) and max(map(len, fresh)) <= CACHED_LENGTH:
-            return b"".join([known[w] for w in words])
+            return b"".join(map(known.__getitem__, words))
         return b"".join([known[w] if w in known else here[w] for w in words])
