@@ -150,15 +150,18 @@ def learn_terms(rows: list[tuple[int, list[str]]]) -> dict[str, float]:
     """
     toxic, clean = _without_copies([w for y, w in rows if y]), _without_copies([w for y, w in rows if not y])
 
-    def grams(words: set[str]) -> set[str]:
-        out = {f" {w} " for w in words if len(w) > 2}
-        for w in words:
-            out.update(f" {w[:k]}" for k in range(4, min(len(w), 10) + 1))
-        return out
-
-    bad = Counter(g for words in toxic for g in grams(words))
-    bad = Counter({g: a for g, a in bad.items() if a >= 5})
-    good = Counter(g for words in clean for g in grams(words) if g in bad)
+    def grams(words: set[str], size: int) -> set[str]:
+        """Stems of a size; of size 0 whole words."""
+        return {f" {w[:size]}" for w in words if len(w) >= size} if size else {f" {w} " for w in words if len(w) > 2}
+
+    bad: dict[str, int] = {}
+    good: Counter[str] = Counter()
+    for size in (0, *range(4, 11)):  # one size at a time, since most are rare and soon dropped
+        counted = Counter(g for words in toxic for g in grams(words, size))
+        often = {g: a for g, a in counted.items() if a >= 5}
+        del counted
+        good.update(g for words in clean for g in grams(words, size) if g in often)
+        bad.update(often)
     terms: dict[str, float] = {}
     n_bad, n_good = len(toxic), len(clean)
     if n_bad and n_good:
@@ -237,7 +240,14 @@ def fit(
     read = slim.join(sample, "id").select("y", "text")
     rows = read.mapInArrow(words, "y int, words array<string>, counts array<int>").toArrow()
     y = rows.column("y").to_numpy()
-    words_of, counts_of = rows.column("words").to_pylist(), rows.column("counts").to_pylist()
+    counts_of = rows.column("counts").to_pylist()
+    lists = rows.column("words").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    coded = lists.flatten().dictionary_encode()
+    known, codes = coded.dictionary.to_pylist(), coded.indices.to_pylist()  # equal words share one string
+    ends = np.cumsum([len(c) for c in counts_of]).tolist()
+    words_of = [[known[i] for i in codes[a:b]] for a, b in zip([0, *ends], ends, strict=False)]
+    del rows, lists, coded, codes
     lexicon = Lexicon(learn_terms(list(zip(y.tolist(), words_of, strict=True))))
     if 0 < y.sum() < len(y):
         x = []
