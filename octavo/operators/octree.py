@@ -1,4 +1,4 @@
-"""Space partitions from an octree of counts, lookups in them, and a k-d tree over a sample."""
+"""Space partitions from an octree of counts, lookups in them, and a k-d tree."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from octavo.functions import boxes, keys
+from octavo.plans.tables import discard, materialize
 
 #: Leaves up to so many are broadcast; partitions are few by design, so more are refused.
 MOST_LEAVES = 200_000
@@ -108,28 +109,72 @@ def tree_stats(parts: DataFrame) -> DataFrame:
     )
 
 
-def kdb_leaves(points: DataFrame, region, max_elements: int, max_level: int, sample_rows: int = 20_000) -> DataFrame:
+def _medians(rows: DataFrame, axes: DataFrame) -> DataFrame:
+    """node, cut, below: for each node of axes (node, axis, half) the value of its element number half on the
+    axis, and how many elements are not above it.
+
+    Counts per value are sorted by range, so a task has a range of values, not a node; the ranges' sums say
+    which one holds the element.
+    """
+    value = F.when(F.col("axis") == 0, F.col("x")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("z"))
+    counts = rows.join(F.broadcast(axes), "node").groupBy("node", value.alias("v")).agg(F.sum("m").alias("c"))
+    placed = materialize(counts.repartitionByRange("node", "v").withColumn("part", F.spark_partition_id()), "kdb-values")
+    ranges = placed.groupBy("node", "part").agg(F.min("v").alias("first"), F.sum("c").alias("held"))
+    before = Window.partitionBy("node").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    started = ranges.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0))).join(F.broadcast(axes), "node")
+    holding = started.where("start <= half AND half < start + held").select("node", "part", "start", "half")
+    upto = Window.partitionBy("node").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.join(F.broadcast(holding), ["node", "part"]).withColumn("below", F.col("start") + F.sum("c").over(upto))
+    found = materialize(summed.where("below > half").groupBy("node").agg(F.min("v").alias("cut"), F.min("below").alias("below")), "kdb-cuts")
+    discard(placed)
+    return found
+
+
+def kdb_leaves(points: DataFrame, region, max_elements: int, max_level: int) -> DataFrame:
     """Leaves (lx..uz, level, n) of a k-d tree that halves the longest axis at the median element.
 
-    It is built on the driver over at most sample_rows points, those with the smallest hash; all
-    elements of a node are known when it splits, so the result does not depend on their order.
-    Elements equal to the median go low.
+    It grows level by level over all points: equal points are one row with a multiplicity, a level's table
+    holds the points of nodes that split, and only nodes are on the driver. Elements equal to the median go
+    low. Points with a null coordinate are in no leaf.
     """
-    rows = points.select("x", "y", "z").orderBy(F.xxhash64("x", "y", "z"), "x", "y", "z").limit(sample_rows).collect()
+    spark = points.sparkSession
+    rows = points.select("x", "y", "z").dropna().groupBy("x", "y", "z").agg(F.count("*").alias("m"))
+    rows = materialize(rows.withColumn("node", F.lit(0).cast("long")), "kdb-points")
     out: list[tuple] = []
-
-    def grow(low: tuple, high: tuple, elements: list, level: int) -> None:
-        if len(elements) <= max_elements or level >= max_level:
-            out.append((*low, *high, level, len(elements)))
-            return
-        sides = [h - m for m, h in zip(low, high, strict=True)]
-        axis = 0 if sides[0] > sides[1] and sides[0] > sides[2] else 1 if sides[0] <= sides[1] and sides[1] > sides[2] else 2
-        cut = sorted(e[axis] for e in elements)[len(elements) // 2]
-        below = [e for e in elements if e[axis] <= cut]
-        above = [e for e in elements if e[axis] > cut]
-        grow(low, tuple(cut if i == axis else h for i, h in enumerate(high)), below, level + 1)
-        grow(tuple(cut if i == axis else m for i, m in enumerate(low)), high, above, level + 1)
-
-    grow(tuple(map(float, region[:3])), tuple(map(float, region[3:])), [tuple(r) for r in rows], 0)
+    nodes = [("", tuple(map(float, region[:3])), tuple(map(float, region[3:])), rows.agg(F.sum("m")).first()[0] or 0)]
+    for level in range(max_level + 1):
+        splits = []
+        for k, (path, low, high, n) in enumerate(nodes):
+            if n <= max_elements or level >= max_level:
+                out.append((path, *low, *high, level, n))
+                continue
+            sides = [h - m for m, h in zip(low, high, strict=True)]
+            axis = 0 if sides[0] > sides[1] and sides[0] > sides[2] else 1 if sides[0] <= sides[1] and sides[1] > sides[2] else 2
+            splits.append((k, axis, n // 2))
+        if not splits:
+            break
+        if len(out) + 2 * len(splits) > MOST_LEAVES:
+            raise ValueError(f"more than {MOST_LEAVES} leaves")
+        found = _medians(rows, spark.createDataFrame(splits, "node long, axis int, half long"))
+        cuts = {r.node: (r.cut, r.below) for r in found.collect()}
+        discard(found)
+        children, moves = [], []
+        for k, axis, _ in splits:
+            path, low, high, n = nodes[k]
+            cut, below = cuts[k]
+            moves.append((k, axis, cut, len(children)))
+            children.append((path + "0", low, tuple(cut if i == axis else h for i, h in enumerate(high)), below))
+            children.append((path + "1", tuple(cut if i == axis else m for i, m in enumerate(low)), high, n - below))
+        nodes = children
+        growing = [(k,) for k, c in enumerate(nodes) if c[3] > max_elements]
+        if growing and level + 1 < max_level:
+            value = F.when(F.col("axis") == 0, F.col("x")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("z"))
+            side = F.when(value > F.col("cut"), 1).otherwise(0)
+            moved = rows.join(F.broadcast(spark.createDataFrame(moves, "node long, axis int, cut double, child long")), "node")
+            moved = moved.select("x", "y", "z", "m", (F.col("child") + side).alias("node"))
+            kept = materialize(moved.join(F.broadcast(spark.createDataFrame(growing, "node long")), "node"), "kdb-points")
+            discard(rows)
+            rows = kept
+    discard(rows)
     schema = ", ".join(f"{f} double" for f in boxes.FIELDS) + ", level int, n long"
-    return points.sparkSession.createDataFrame(out, schema)
+    return spark.createDataFrame([x[1:] for x in sorted(out)], schema)

@@ -109,6 +109,28 @@ def test_kdb_leaves_hold_the_sample(random_cloud):
     assert sum(r.n for r in found) == random_cloud.count() and all(r.n <= 300 for r in found)
 
 
+def test_kdb_leaves_hold_all_points(spark):
+    """More points than any sample, many of them equal: the tree of the recursion over all of them."""
+    rng = np.random.default_rng(5)
+    xyz = np.round(rng.uniform(0, 8, size=(26_000, 3)), 2)
+    xyz[:6000] = (1.0, 2.0, 3.0)
+
+    def grow(low, high, p, level):
+        if len(p) <= 1500 or level >= 6:
+            return [(*low, *high, level, len(p))]
+        s = high - low
+        axis = 0 if s[0] > s[1] and s[0] > s[2] else 1 if s[0] <= s[1] and s[1] > s[2] else 2
+        cut = np.sort(p[:, axis])[len(p) // 2]
+        at = np.arange(3) == axis
+        below = p[:, axis] <= cut
+        return grow(low, np.where(at, cut, high), p[below], level + 1) + grow(np.where(at, cut, low), high, p[~below], level + 1)
+
+    cloud = spark.createDataFrame(xyz.tolist(), "x double, y double, z double").repartition(7)
+    found = [tuple(r) for r in octree.kdb_leaves(cloud, (0, 0, 0, 8, 8, 8), 1500, 6).collect()]
+    assert sum(r[-1] for r in found) == len(xyz)
+    assert sorted(found) == sorted(grow(np.zeros(3), np.full(3, 8.0), xyz, 0))
+
+
 def test_neighbours_against_brute_force(random_cloud):
     side = 0.7
     p = np.array([tuple(r)[:3] for r in random_cloud.collect()])
