@@ -4,13 +4,13 @@
 2. The classes of a label are dealt to shards of about SHARD by a hash. Each shard gets a graph of
    several layers: every node is in layer 0, a falling share in each layer above; neighbours are
    chosen for diversity, so that a clump of copies does not close on itself.
-3. Every class queries every shard of its label: down the layers to an entry, then with a beam. Links
-   are the beam's vectors whose cosine, computed again in double precision from the vectors as given,
-   is at least the threshold. A query whose beam holds nothing but links may have lost some, so it is
-   asked again with a wider beam.
-4. A recall audit compares a sample of the queries of each shard with all of the shard. While it finds
-   less than RECALL of the links, all queries of the block are asked again with a wider beam; a beam
-   of a quarter of the shard is widened to the whole shard.
+3. Every class queries every shard of its label. Queries are compared with all of a shard until ENOUGH
+   of them have had a link other than themselves. On those the graph is audited: a beam is taken
+   only if it finds all links of RECALL of them; while none does, comparison with all goes on.
+4. With a beam, queries go down the layers to an entry, then with the beam. Links are the beam's vectors
+   whose cosine, computed again in double precision from the vectors as given, is at least the
+   threshold. A query whose beam is half full of links may have lost some, so it is compared with all
+   of the shard, as is a sample of each block, which goes on with the audit and can reject the beam.
 5. A task counts each query's links and joins them in a union-find, so it emits a row for each query
    and edges no more than its nodes, never all pairs. Components of the edges give the groups.
 
@@ -43,6 +43,8 @@ BUILD_BEAM = 32
 BEAMS = (32, 128, 512)
 AUDITED = 64
 RECALL = 0.999
+#: Audited queries with a link without which no beam is taken: so many that a thousandth of them is one.
+ENOUGH = 1000
 QUERY_BLOCK = 1024
 
 
@@ -164,39 +166,76 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The vectors of a shard, their graph and the search for all links of a block of queries."""
+    """The vectors of a shard, their graph and the search for all links of a block of queries.
+
+    Queries are compared with all of the shard until ENOUGH of them have had a link other than themselves;
+    only then is the graph built, and a beam taken that finds all links of RECALL of those. Audits go on.
+    """
 
     def __init__(self, x: np.ndarray, seeds: np.ndarray):
-        self.x = x
+        self.x, self.seeds = x, seeds
         self.norm = np.sqrt((x**2).sum(axis=1))
-        self.graph = Graph(x / self.norm[:, None], seeds)
+        self.graph: Graph | None = None
+        #: Audited queries with links and those links, until the graph is built; then for each beam how many
+        #: were audited and how many of them lost none.
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
+        self.tally: dict[int, list[int]] = {}
+
+    def _scan(self, q: np.ndarray, least: float) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for at in range(0, len(q), 256):
+            out += [np.flatnonzero(r) for r in cosines(q[at : at + 256], self.x) >= least]
+        return out
 
-    def links(self, q: np.ndarray, least: float, beams=BEAMS, recall: float = RECALL) -> list[np.ndarray]:
-        """For each query the nodes of the shard with a cosine of at least least."""
-        out: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(q)
-        if not len(q):
-            return out
+    def _search(self, q: np.ndarray, beam: int, least: float) -> list[np.ndarray]:
         norm = np.sqrt((q**2).sum(axis=1))
+        ids, _ = self.graph.search(q / norm[:, None], beam)
+        dots = np.einsum("qd,qcd->qc", q, self.x[ids])
+        near = (ids >= 0) & (dots / (norm[:, None] * self.norm[ids]) >= least)
+        return [i[n].astype(np.int64) for i, n in zip(ids, near, strict=True)]
+
+    def _fine(self, beam: int, recall: float) -> bool:
+        audited, whole = self.tally.get(beam, (0, 0))
+        return audited >= ENOUGH and whole >= recall * audited
+
+    def _audit(self, q: np.ndarray, truth: list[np.ndarray], own: np.ndarray, least: float, beams: list[int], recall: float) -> None:
+        """Counts the queries that have a link other than themselves and do not crowd a beam."""
+        linked = [i for i, t in enumerate(truth) if (t != own[i]).any()]
+        self.pending += [(q[i], truth[i]) for i in linked]
+        if self.graph is None:
+            if len(self.pending) < ENOUGH:
+                return
+            self.graph = Graph(self.x / self.norm[:, None], self.seeds)
+        for beam in beams:  # a wider one only where the narrower is not taken
+            counted = self.tally.setdefault(beam, [0, 0])
+            for at in range(0, len(self.pending), 256):
+                part = self.pending[at : at + 256]
+                for got, (_, want) in zip(self._search(np.array([p[0] for p in part]), beam, least), part, strict=True):
+                    if len(got) < beam // 2:
+                        counted[0] += 1
+                        counted[1] += int(np.isin(want, got).all())
+            if self._fine(beam, recall):
+                break
+        self.pending = []
+
+    def links(self, q: np.ndarray, least: float, beams=BEAMS, recall: float = RECALL, own: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each query the nodes of the shard with a cosine of at least least; own is its own node, -1 if elsewhere."""
+        own = np.full(len(q), -1) if own is None else own
+        beams = [b for b in beams if 4 * b < len(self.x)]
+        if not len(q) or not any(self._fine(b, recall) for b in beams):
+            found = self._scan(q, least)
+            if beams and self.graph is None:
+                self._audit(q, found, own, least, beams, recall)
+            return found
         audit = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-        truth = (cosines(q[audit], self.x) >= least).sum(axis=1)
-        todo = np.arange(len(q))
-        for beam in [b for b in beams if 4 * b < len(self.x)]:
-            ids, _ = self.graph.search(q[todo] / norm[todo, None], beam)
-            dots = np.einsum("qd,qcd->qc", q[todo], self.x[ids])
-            near = (ids >= 0) & (dots / (norm[todo, None] * self.norm[ids]) >= least)
-            for r, i in enumerate(todo):
-                out[i] = ids[r][near[r]].astype(np.int64)
-            got = np.array([len(out[i]) for i in audit])
-            crowded = todo[near.sum(axis=1) >= beam // 2]
-            fine = np.minimum(got, truth)[~np.isin(audit, crowded)].sum() >= recall * truth[~np.isin(audit, crowded)].sum()
-            todo = crowded if fine else todo
-            if not len(todo):
-                return out
-        for at in range(0, len(todo), 256):
-            part = todo[at : at + 256]
-            near = cosines(q[part], self.x) >= least
-            for r, i in enumerate(part):
-                out[i] = np.flatnonzero(near[r])
+        self._audit(q[audit], self._scan(q[audit], least), own[audit], least, beams, recall)
+        beam = next((b for b in beams if self._fine(b, recall)), None)
+        if beam is None:
+            return self._scan(q, least)
+        out = self._search(q, beam, least)
+        crowded = [i for i, found in enumerate(out) if len(found) >= beam // 2]
+        for i, found in zip(crowded, self._scan(q[crowded], least), strict=True):
+            out[i] = found
         return out
 
 
@@ -286,8 +325,11 @@ def near_duplicates(
             if not queries:
                 return None
             q = np.frombuffer(b"".join(x[2] for x in queries), dtype="<f8").reshape(len(queries), -1)
+            asked_nodes = np.array([x[0] for x in queries])
+            at_node = np.minimum(np.searchsorted(nodes, asked_nodes), len(nodes) - 1)  # data come sorted by node
+            own = np.where(nodes[at_node] == asked_nodes, at_node, -1)
             links = []
-            for (node, _, _), found in zip(queries, shard.links(q, least), strict=True):
+            for (node, _, _), found in zip(queries, shard.links(q, least, own=own), strict=True):
                 found = found[nodes[found] != node]
                 links.append(int(counts[found].sum()))
                 for other in nodes[found].tolist():

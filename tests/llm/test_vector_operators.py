@@ -87,6 +87,31 @@ def test_audit_widens_the_beam():
     assert all(set(f) == set(np.flatnonzero(w)) for f, w in zip(found, want, strict=True))
 
 
+def test_sparse_links_are_not_lost(monkeypatch):
+    """No evenly picked query has a link other than itself, and the graph finds nothing."""
+    monkeypatch.setattr(neardup.Graph, "search", lambda self, q, beam, layer=0: (np.full((len(q), beam), -1), np.full((len(q), beam), -3.0)))
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(1024, 32)), rng.normal(size=(512, 32))
+    linked = np.setdiff1d(np.arange(512), np.linspace(0, 511, neardup.AUDITED).astype(int))
+    q[linked] = x[linked] + 0.05 * rng.normal(size=(len(linked), 32))
+    shard = neardup.Shard(x, np.arange(len(x)))
+    for _ in range(4):
+        found = shard.links(q, 0.98)
+        assert all(set(f) == set(np.flatnonzero(w)) for f, w in zip(found, neardup.cosines(q, x) >= 0.98, strict=True))
+
+
+def test_beam_is_taken_after_enough_links():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1024, 16))
+    shard = neardup.Shard(x, np.arange(len(x)))
+    assert [f.tolist() for f in shard.links(x, 0.98, own=np.arange(len(x)))] == [[i] for i in range(len(x))]
+    assert shard.graph is None and not shard.pending  # hits on itself are no evidence
+    for _ in range(2):
+        found = shard.links(x + 0.01 * rng.normal(size=x.shape), 0.98)
+        assert np.mean([i in f for i, f in enumerate(found)]) >= 0.999
+    assert shard._fine(32, 0.999)
+
+
 def brute_top(rows, every, k):
     use = [(i, np.floor(np.array(v, dtype=np.float32).astype(float) * 1024).astype(int)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
