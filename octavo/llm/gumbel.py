@@ -4,9 +4,10 @@ A text's segmentations into vocabulary pieces are the paths of a lattice. A path
 product of its pieces' weights, normalised; the weight of a piece falls with its rank in the
 vocabulary (Zipf), to the power alpha. A character without a piece is spelled in byte pieces.
 
-No piece joins two words or a letter to another kind of character, so the lattice is a chain of the
-lattices of short chunks, and a chunk's nodes are its suffixes, which many chunks share. Backward sums
-over a node's arcs give exact probabilities of what follows.
+No piece joins two words or a letter to another kind of character, which is checked when the model is
+loaded, so the lattice is a chain of the lattices of short chunks, and a chunk's nodes are its
+suffixes, which many chunks share. Backward sums over a node's arcs give exact probabilities of what
+follows.
 
 The search draws k paths without replacement. The root carries a Gumbel value; the best path below it
 is drawn arc by arc and keeps that value. What the path left aside is one subtree for each of its
@@ -46,7 +47,8 @@ CACHED_NODES = 2_500_000
 #: Characters of a batch's texts that are sampled together.
 BATCH_CHARS = 1 << 20
 
-_CHUNK = re.compile(f"{SPACE}*[^\\W\\d_]+|{SPACE}*[^\\w\\s{SPACE}]+|{SPACE}*[\\d_]|{SPACE}+|.", re.S)
+#: Underscores, carriage returns and a raised 2 are in the runs of other characters, since pieces join them to these.
+_CHUNK = re.compile(f"{SPACE}*[^\\W\\d_²]+|{SPACE}*(?:[^\\w\\s{SPACE}]|[_\\r²])+|{SPACE}*\\d|{SPACE}+|.", re.S)
 
 _loaded: dict[tuple[str, float], Lattice] = {}
 
@@ -63,6 +65,8 @@ class Lattice:
             i for i in range(len(sp)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))
         ]
         self.pieces = {sp.id_to_piece(i): i for i in plain}
+        if across := [p for p in self.pieces if _CHUNK.findall(p) != [p]]:
+            raise ValueError(f"{len(across)} pieces cross a chunk's edge, such as {across[:5]}")
         self.longest = max(map(len, self.pieces))
         low, n = min(plain), len(sp)
         self.weight = {p: -alpha * math.log(2 + i - low) for p, i in self.pieces.items()}

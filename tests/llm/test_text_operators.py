@@ -199,6 +199,11 @@ def test_samples_follow_the_lattice(text):
     assert abs(np.mean(weights) - 1) < 0.05
 
 
+@pytest.mark.parametrize("text", ["__", ");\r\n", "a__b);\r\n", "x²."])
+def test_samples_follow_the_lattice_of_code(text):
+    test_samples_follow_the_lattice(text)
+
+
 def test_samples_decode_and_do_not_depend_on_batches(edge, empty):
     found = gumbel.sample_segmentations(edge, k=2)
     texts = Counter((r.doc_id, r.text or "") for r in edge.collect())
