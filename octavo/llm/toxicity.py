@@ -31,10 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octavo.llm.shared import tidy
+from octavo.llm.shingles import mix
 
 SAMPLE_ROWS = 8000
 MAX_TERMS = 5000
 THRESHOLD = 0.3
+#: Word sets of at least this Jaccard similarity are copies; salts of the hashes that find them.
+COPY = 0.8
+_SALTS = mix(np.arange(1, 25, dtype=np.uint64))
 #: Terms known beforehand, phrases in which they are harmless, letters that look alike.
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "stupid question of mine")
@@ -132,13 +136,29 @@ def score(text: str | None, lexicon: Lexicon) -> tuple[float, int]:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(weights)
 
 
+def _slots(words: set[str]) -> list[tuple[int, ...]]:
+    """Keys of a set of words: smallest hashes in pairs, of which near copies share one almost surely."""
+    h = np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint64)
+    least = mix(h[None, :] + _SALTS[:, None]).min(axis=1, initial=np.iinfo(np.uint64).max).tolist()
+    return [(k, *least[k : k + 2]) for k in range(0, len(least), 2)]
+
+
 def _without_copies(documents: list[list[str]]) -> list[set[str]]:
-    """One of the documents whose rarest-looking long word is the same, so that copies count once."""
-    out: dict[object, set[str]] = {}
-    for words in documents:
-        long = [zlib.crc32(w.encode()) for w in words if len(w) > 7]
-        out.setdefault(min(long) if long else frozenset(words), set(words))
-    return list(out.values())
+    """The documents without those whose set of words is at least COPY similar (Jaccard) to one that stays.
+
+    Shared keys only propose pairs; the sets themselves decide.
+    """
+    out: list[set[str]] = []
+    having: dict[tuple[int, ...], list[int]] = {}
+    for document in documents:
+        words = set(document)
+        keys = _slots(words)
+        near = {i for k in keys for i in having.get(k, ())}
+        if not any((both := len(words & out[i])) >= COPY * (len(words) + len(out[i]) - both) for i in near):
+            for k in keys:
+                having.setdefault(k, []).append(len(out))
+            out.append(words)
+    return out
 
 
 def learn_terms(rows: list[tuple[int, list[str]]]) -> dict[str, float]:

@@ -303,6 +303,15 @@ def test_toxicity_learns_and_spares(spark):
     assert sorted(r.doc_id for r in picked) == held
 
 
+def test_only_copies_count_once():
+    """Unrelated documents that share a long word stay; equal and near equal ones are one."""
+    rng = np.random.default_rng(4)
+    apart = [["commonplace", *(f"w{x}" for x in rng.integers(0, 10**6, 60))] for _ in range(50)]
+    near = [[*d[:-2], "other"] for d in apart[:20]]
+    kept = toxicity._without_copies([*apart, *apart[:5], *near, [], []])
+    assert kept == [*map(set, apart), set()]
+
+
 def test_toxicity_edge_cases(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     lexicon = toxicity.fit(edge, none)
