@@ -16,9 +16,13 @@ know nothing of documents:
 write_flat() makes such files from documents, with a manifest (file, ordinal, id) so that counts can
 be told by document.
 
+The end id is the first id beyond the tokenizer's vocabulary, so no text can hold it, whatever the text
+says (also where it spells the tokenizer's own end mark); an end id inside the vocabulary is refused
+before anything is written. Ids take two bytes where the end id fits in two, else four.
+
 Cases: a null or empty text is a document of no ids and its end (count 0); a null id is kept; equal
-rows each are a document; an end id inside a text's own ids would part it, so such ids are refused
-when written; a file without ends is one open document; no rows give no rows; other columns are not read.
+rows each are a document; a file without ends is one open document; no rows give no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -31,18 +35,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from octavo.llm.shared import discard, materialize
-from octavo.llm.tokens import WordTokenizer, default_path
+from octavo.llm.tokens import WordTokenizer, default_path, vocabulary_size
+from octavo.plans.tables import materialize
 
 BLOCK_IDS = 1 << 16
-END_ID = 49407
+
+
+def _width(end_id: int) -> int:
+    """Bytes of an id in files with that end id, which is above all others."""
+    return 2 if end_id < 1 << 16 else 4
 
 
 def write_flat(
     docs: DataFrame,
     id_col: str = "doc_id",
     text: str = "text",
-    end_id: int = END_ID,
+    end_id: int | None = None,
     block_ids: int = BLOCK_IDS,
     tokenizer: str | None = None,
 ) -> DataFrame:
@@ -52,8 +60,12 @@ def write_flat(
     and the ids of the documents that do. flat_blocks() and manifest() take the two apart.
     """
     path = tokenizer or default_path("word_bpe_49k.json")
-    end = end_id.to_bytes(2 if end_id < 1 << 16 else 4, "little")
-    width = len(end)
+    least = vocabulary_size(path)
+    end_id = least if end_id is None else end_id
+    if end_id < least:
+        raise ValueError(f"end id {end_id} is in the vocabulary, which ends before {least}")
+    width = _width(end_id)
+    end = end_id.to_bytes(width, "little")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer.load(path)
@@ -76,8 +88,6 @@ def write_flat(
         for batch in batches:
             for doc, content in zip(batch.column(0), batch.column(1), strict=True):
                 ids = np.frombuffer(words.encode(content.as_py() or ""), dtype="<u4")
-                if (ids == end_id).any():
-                    raise ValueError("a text holds the end id")
                 members.append(doc.as_py())
                 buffer += ids.astype(f"<u{width}").tobytes() + end
                 while len(buffer) >= size:
@@ -102,9 +112,9 @@ def manifest(written: DataFrame) -> DataFrame:
     )
 
 
-def scan_separators(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
+def scan_separators(blocks: DataFrame, end_id: int) -> DataFrame:
     """(file, ordinal, n_tokens, closed): one row per document of each flat file, ends not counted."""
-    dtype = "<u2" if end_id < 1 << 16 else "<u4"
+    dtype = f"<u{_width(end_id)}"
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +165,12 @@ def scan_separators(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
     return first.union(inner).union(open_)
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
+def token_counts(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, end_id: int | None = None
+) -> DataFrame:
     """doc_id, n_tokens, file, ordinal: flat files written from the documents, scanned and told by document."""
-    written = materialize(write_flat(docs, id_col, text, block_ids=block_ids), "flat-tokens")
-    counted = scan_separators(flat_blocks(written)).where("closed")
+    path = default_path("word_bpe_49k.json")
+    end_id = vocabulary_size(path) if end_id is None else end_id
+    written = materialize(write_flat(docs, id_col, text, end_id, block_ids, path), "flat-tokens")
+    counted = scan_separators(flat_blocks(written), end_id).where("closed")
     return manifest(written).join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")

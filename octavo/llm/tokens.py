@@ -22,6 +22,16 @@ _BEYOND = re.compile("[\u0130\u0300-\U0010ffff]|<\\|")
 _STOP = re.compile("[.,](?=[ \n\t\r]|$)(?<=[a-z\u00df-\u00f6\u00f8-\u00ff].)")
 
 _loaded: dict[str, WordTokenizer] = {}
+_sizes: dict[str, int] = {}
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file, special tokens included."""
+    if path not in _sizes:
+        from tokenizers import Tokenizer
+
+        _sizes[path] = max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+    return _sizes[path]
 
 
 def default_path(name: str) -> str:

@@ -137,18 +137,25 @@ def test_packing_of_documents(spark, sf):
 
 def test_separator_scan(spark, edge, empty):
     theirs = hf()
-    df = edge.where("NOT contains(text, '<|') OR text IS NULL")
-    want = Counter((r.doc_id, len(theirs.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect())
-    for block in (1, 7, 1000, separators.BLOCK_IDS):
-        if block == 1:
-            part = df.where("length(text) < 100 OR text IS NULL")
-            got = Counter((r.doc_id, r.n_tokens) for r in separators.token_counts(part, block_ids=1).collect())
-            assert got == Counter((r.doc_id, len(theirs.encode(r.text or "", add_special_tokens=False).ids)) for r in part.collect())
-        else:
-            assert Counter((r.doc_id, r.n_tokens) for r in separators.token_counts(df, block_ids=block).collect()) == want
+    n_ids = lambda t: len(theirs.encode(t or "", add_special_tokens=False).ids)
+    marked = spark.createDataFrame([(20, "a <|endoftext|> b <|endoftext|>"), (21, "<|endoftext|>")], "doc_id long, text string")
+    df = edge.select("doc_id", "text").union(marked)
+    assert tokens.vocabulary_size(tokens.default_path("word_bpe_49k.json")) - 1 in theirs.encode("<|endoftext|>", add_special_tokens=False).ids
+    want = Counter((r.doc_id, n_ids(r.text)) for r in df.collect())
+    for block, end in ((7, None), (1000, 70_000), (separators.BLOCK_IDS, None)):
+        assert Counter((r.doc_id, r.n_tokens) for r in separators.token_counts(df, block_ids=block, end_id=end).collect()) == want
+    part = df.where("length(text) < 100 OR text IS NULL")
+    got = Counter((r.doc_id, r.n_tokens) for r in separators.token_counts(part, block_ids=1).collect())
+    assert got == Counter((r.doc_id, n_ids(r.text)) for r in part.collect())
     assert separators.token_counts(empty).count() == 0
-    with pytest.raises(Exception, match="end id"):
-        separators.token_counts(edge).count()
+    with pytest.raises(ValueError, match="end id"):
+        separators.write_flat(df, end_id=49407)
+
+
+def test_wide_ids_are_kept_whole(spark, edge):
+    written = separators.write_flat(edge, end_id=1 << 20, block_ids=50).collect()
+    flat = np.frombuffer(b"".join(bytes(r.ids) for r in sorted(written, key=lambda r: (r.file, r.block))), dtype="<u4")
+    assert (flat == 1 << 20).sum() == edge.count() and set(flat[flat < 1 << 20]) <= set(range(49408))
 
 
 def test_separator_scan_of_given_blocks(spark):
