@@ -20,8 +20,8 @@ same paths whatever it is batched with.
 
 Cases: a null or empty text has one segmentation, of no pieces; a text with fewer than k
 segmentations gives all it has; the key is the id and, where that is null, the text; equal rows give
-equal samples; the character that stands for a space is spelled in bytes, so decoding is exact; other
-columns are not read; no rows give no rows.
+equal samples; the character that stands for a space is spelled in bytes, so decoding is exact, also of
+that character and of NUL; other columns are not read; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ from octavo.llm.shingles import mix
 from octavo.llm.tokens import default_path
 
 SPACE = "▁"
+#: Stands for a SPACE that the text itself holds; a lone surrogate, which no text can hold.
+LITERAL = "\ud800"
 #: Chunks up to so many characters are remembered; nodes after which all are forgotten.
 CACHED_LENGTH = 40
 CACHED_NODES = 2_500_000
@@ -124,7 +126,7 @@ class Lattice:
         if head in pieces:
             found.append((pieces[head], after[1], weight[head] + log_z[after[1]]))
         else:
-            c = SPACE if head == "\0" else head
+            c = SPACE if head == LITERAL else head
             found.append((self._spell(c), after[1], self.byte_weight * len(c.encode()) + log_z[after[1]]))
         for i in self.lengths.get(rest[:2], ()):
             if 1 < i <= len(rest):
@@ -174,7 +176,7 @@ class Lattice:
                     outs.append(piece)
                     nexts.append(known[rest[i:]])
             piece = pieces.get(head)
-            outs.append(self._spell(SPACE if head == "\0" else head) if piece is None else piece)
+            outs.append(self._spell(SPACE if head == LITERAL else head) if piece is None else piece)
             nexts.append(known[rest[1:]])
             ends.append(len(outs))
         out, after, end = np.array(outs, dtype=np.int32), np.array(nexts, dtype=np.int32), np.array(ends, dtype=np.int64)
@@ -199,7 +201,7 @@ class Lattice:
         if not text:
             return []
         if SPACE in text:
-            text = text.replace(SPACE, "\0")
+            text = text.replace(SPACE, LITERAL)
         return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
 
     def roots(self, chunks: list[str]) -> list[int]:
@@ -230,13 +232,19 @@ class Lattice:
         return b"".join([self.text_of[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
-def _uniform(seed: np.ndarray, a: np.ndarray, b) -> np.ndarray:
-    """Numbers in (0, 1) that are a hash of a row's seed and two counters."""
+#: What a random number is for.
+ROOT, ARC, ASIDE, TURN = range(4)
+
+
+def _uniform(seed: np.ndarray, a: np.ndarray, purpose: int, rank: int = 0, more: int = 0) -> np.ndarray:
+    """Numbers in (0, 1) that are a hash of a row's seed and of what they are for: purpose, rank of the path
+    (below 2**20) and two counters. No two uses share their counters."""
+    b = purpose | rank << 2 | more << 22
     x = mix(seed + a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b) * np.uint64(0xC2B2AE3D27D4EB4F))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
 
 
-def _draw(tables, node: np.ndarray, doc: np.ndarray, word: np.ndarray, seed: np.ndarray, salt: int):
+def _draw(tables, node: np.ndarray, doc: np.ndarray, word: np.ndarray, seed: np.ndarray, rank: int):
     """Free draws from the nodes on to their chunks' ends, all in lockstep: arcs in the order of the nodes
     given, and how many each took."""
     first, _, after, log_p = tables
@@ -244,7 +252,7 @@ def _draw(tables, node: np.ndarray, doc: np.ndarray, word: np.ndarray, seed: np.
     live = np.flatnonzero(node > 0)
     node = node[live]
     while len(live):
-        left = _uniform(seed[doc[live]], word[live] * np.int64(64) + step % 64, salt + 1000 * (step // 64))
+        left = _uniform(seed[doc[live]], word[live] * np.int64(64) + step % 64, ARC, rank, step // 64)
         arc, last = first[node], first[node + 1] - 1
         moving = np.arange(len(live))
         while len(moving):
@@ -284,12 +292,12 @@ def _sample(lattice, texts, seeds, k):
     local = word - np.repeat(np.cumsum(counts) - counts, counts)
     owner_first = np.concatenate([[0], np.cumsum(counts)])
 
-    gumbel = -np.log(-np.log(_uniform(seeds, np.zeros(n, dtype=np.int64), 1)))
-    arcs, steps = _draw(tables, roots, doc, local, seeds, 2)
+    gumbel = -np.log(-np.log(_uniform(seeds, np.zeros(n, dtype=np.int64), ROOT)))
+    arcs, steps = _draw(tables, roots, doc, local, seeds, 0)
     found: list[list] = [[] for _ in range(n)]
     waiting: list[list] = [[] for _ in range(n)]
 
-    def settle(path: np.ndarray, sizes: np.ndarray, which: np.ndarray, values: np.ndarray, begins: np.ndarray, barred: list, salt: int):
+    def settle(path: np.ndarray, sizes: np.ndarray, which: np.ndarray, values: np.ndarray, begins: np.ndarray, barred: list, rank: int):
         """Emits the paths of documents ``which``, so many arcs each, and queues the best subtrees they left aside."""
         ends = np.cumsum(sizes)
         cuts = ends - sizes
@@ -301,7 +309,7 @@ def _sample(lattice, texts, seeds, k):
         aside = np.log(-np.expm1(np.minimum(lp, -1e-300)))
         aside[lp > -1e-12] = -np.inf
         phi = before + aside
-        wait = -np.log(_uniform(seeds[which][owner], np.arange(len(lp)) - cuts[owner], 3 + salt))
+        wait = -np.log(_uniform(seeds[which][owner], np.arange(len(lp)) - cuts[owner], ASIDE, rank))
         value = -np.logaddexp(-values[owner], np.log(wait) - phi)
         for r, d in enumerate(which):
             a, b = cuts[r], ends[r]
@@ -326,7 +334,7 @@ def _sample(lattice, texts, seeds, k):
                         options.append((float(v[t]), len(found[d]) - 1, int(begins[r] + t), same | {int(path[start + t])}))
             waiting[d] = sorted(waiting[d] + options, key=lambda x: -x[0])[: k + 1]
 
-    settle(arcs, np.bincount(doc, steps, n).astype(np.int64), np.arange(n), gumbel, np.zeros(n, dtype=np.int64), [None] * n, 10)
+    settle(arcs, np.bincount(doc, steps, n).astype(np.int64), np.arange(n), gumbel, np.zeros(n, dtype=np.int64), [None] * n, 0)
     arc_node = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for rank in range(1, k):
         which = np.array([d for d in range(n) if waiting[d]], dtype=np.int64)
@@ -340,7 +348,7 @@ def _sample(lattice, texts, seeds, k):
             a, b = int(first[node]), int(first[node + 1])
             options = [x for x in range(a, b) if x not in taken]
             p = np.exp(log_p[options] - np.logaddexp.reduce(log_p[options]))
-            u = float(_uniform(seeds[d : d + 1], np.array([t]), 5 + 7 * rank + 131 * of)[0])
+            u = float(_uniform(seeds[d : d + 1], np.array([t]), TURN, rank)[0])
             arc = options[min(int(np.searchsorted(np.cumsum(p), u)), len(options) - 1)]
             w = int((after[elder[:t]] == 0).sum())
             kept.append((elder[:t], w))
@@ -357,7 +365,7 @@ def _sample(lattice, texts, seeds, k):
         on_word = places[owner] + np.arange(len(owner)) - begin[owner]
         nodes = roots[owner_first[which[owner]] + on_word]
         nodes[begin] = after[picked]
-        arcs, steps = _draw(tables, nodes, which[owner], on_word, seeds, 50000 * rank + 17)
+        arcs, steps = _draw(tables, nodes, which[owner], on_word, seeds, rank)
         heads, tails = np.array([len(x) for x, _ in kept]), np.bincount(owner, steps, len(which)).astype(np.int64)
         sizes = heads + 1 + tails
         at = np.cumsum(sizes) - sizes
@@ -366,7 +374,7 @@ def _sample(lattice, texts, seeds, k):
         path[at[spread[0](heads)] + spread[1](heads)] = np.concatenate([x for x, _ in kept])
         path[at + heads] = picked
         path[(at + heads + 1)[spread[0](tails)] + spread[1](tails)] = arcs
-        settle(path, sizes, which, np.array(values), np.array(begins), barred, 20 + rank)
+        settle(path, sizes, which, np.array(values), np.array(begins), barred, rank)
 
     out_start, out_size = np.array(lattice.out_start), np.array(lattice.out_size)
     flat = np.array(lattice.out_ids, dtype=np.int64)
@@ -392,19 +400,14 @@ def sample_segmentations(
     id_col: str = "doc_id",
     text: str = "text",
     model: str | None = None,
-    digest: bool = False,
+    verify: bool = False,
 ) -> DataFrame:
     """One row per document and sample: doc_id, sample, ids, log_prob, perturbed, inclusion.
 
-    With digest the ids are replaced by n_pieces, ids_crc32 and whether decoding gives the text back.
+    With verify there is a column decoded: whether the ids decode to the text.
     """
     path = model or default_path("piece_bpe_32k.model")
-    kinds = [pa.int64(), pa.int32()] + ([pa.int64(), pa.int64(), pa.bool_()] if digest else [pa.list_(pa.int32())]) + [pa.float64()] * 3
-    schema = (
-        "doc_id long, sample int, "
-        + ("n_pieces long, ids_crc32 long, decoded boolean, " if digest else "ids array<int>, ")
-        + "log_prob double, perturbed double, inclusion double"
-    )
+    schema = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double" + ", decoded boolean" * verify
     names = [x.split()[0] for x in schema.split(", ")]
 
     def runs(batch: pa.RecordBatch):
@@ -426,17 +429,22 @@ def sample_segmentations(
             for ids, texts in runs(batch):
                 keys = [f"t{zlib.crc32(t.encode())}" if i is None else f"i{i}" for i, t in zip(ids, texts, strict=True)]
                 seeds = mix(np.array([zlib.crc32(x.encode()) | zlib.crc32(x[::-1].encode(), seed + 1) << 32 for x in keys], dtype=np.uint64))
-                out: list[list] = [[] for _ in names]
-                for i, t, rows in zip(ids, texts, sample(lattice, texts, seeds, k), strict=True):
-                    for number, (pieces, score, value, inclusion) in enumerate(rows):
-                        if digest:
-                            whole = zlib.crc32(pieces.astype("<u4").tobytes())
-                            mid = [len(pieces), whole, lattice.spells(pieces, t)]
-                        else:
-                            mid = [pieces.astype(np.int32)]
-                        for column, v in zip(out, [i, number, *mid, score, value, inclusion], strict=True):
-                            column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+                rows = [
+                    (i, number, t, *found)
+                    for i, t, samples in zip(ids, texts, sample(lattice, texts, seeds, k), strict=True)
+                    for number, found in enumerate(samples)
+                ]
+                pieces = [r[3] for r in rows]
+                ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
+                out = [
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces).astype(np.int32))),
+                    *[pa.array([r[j] for r in rows], pa.float64()) for j in (4, 5, 6)],
+                ]
+                if verify:
+                    out.append(pa.array([lattice.spells(r[3], r[2]) for r in rows], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return slim.mapInArrow(sampled, schema)

@@ -167,7 +167,7 @@ def test_separator_scan_of_given_blocks(spark):
 
 def segmentations(lattice, text):
     """All segmentations of a text with their log probabilities."""
-    s, out = gumbel.SPACE + text.replace(" ", gumbel.SPACE), []
+    s, out = gumbel.SPACE + text.replace(gumbel.SPACE, gumbel.LITERAL).replace(" ", gumbel.SPACE), []
 
     def go(i, ids, w):
         if i == len(s):
@@ -177,7 +177,7 @@ def segmentations(lattice, text):
             if s[i:j] in lattice.pieces:
                 go(j, [*ids, lattice.pieces[s[i:j]]], w + lattice.weight[s[i:j]])
         if s[i] not in lattice.pieces:
-            raw = s[i].encode()
+            raw = s[i].replace(gumbel.LITERAL, gumbel.SPACE).encode()
             go(i + 1, [*ids, *[lattice.bytes[bytes([b])] for b in raw]], w + lattice.byte_weight * len(raw))
 
     go(0, [], 0.0)
@@ -206,23 +206,50 @@ def test_samples_follow_the_lattice(text):
     assert abs(np.mean(weights) - 1) < 0.05
 
 
-@pytest.mark.parametrize("text", ["__", ");\r\n", "a__b);\r\n", "x²."])
+@pytest.mark.parametrize("text", ["__", ");\r\n", "a__b);\r\n", "x².", "a__b", "x;\r\n", "_{", "x_{i}", "a\0b", "a▁\0 b"])
 def test_samples_follow_the_lattice_of_code(text):
     test_samples_follow_the_lattice(text)
 
 
-def test_samples_decode_and_do_not_depend_on_batches(edge, empty):
+@pytest.mark.parametrize("text", ["the cat", "a__b);\r\n"])
+def test_five_samples_are_without_replacement(text):
+    """Each of five samples is drawn by its probability among what those before it left, with its own random numbers."""
+    lattice = gumbel.Lattice.load(tokens.default_path("piece_bpe_32k.model"), 0.3)
+    every, n = segmentations(lattice, text), 8000
+    found = gumbel.sample(lattice, [text] * n, mix(np.arange(1, n + 1, dtype=np.uint64)), 5)
+    assert all(len({tuple(r[0].tolist()) for r in rows}) == len(rows) == min(5, len(every)) for rows in found)
+    assert all(a[2] >= b[2] for rows in found for a, b in zip(rows, rows[1:], strict=False))
+    sums = np.array([sum(math.exp(r[1]) / r[3] for r in rows) for rows in found])
+    assert abs(sums.mean() - 1) < 0.03
+    for place in range(1, 5):
+        got, want = Counter(), Counter()
+        for rows in found:
+            if len(rows) > place:
+                before = {tuple(r[0].tolist()) for r in rows[:place]}
+                left = {i: math.exp(w) for i, w in every.items() if i not in before}
+                got[tuple(rows[place][0].tolist())] += 1
+                for i, p in left.items():
+                    want[i] += p / sum(left.values())
+        assert all(abs(got[i] - want[i]) < 5 * math.sqrt(want[i] + 1) + 5 for i in every)
+
+
+def test_samples_decode_and_do_not_depend_on_batches(spark, edge, empty):
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=tokens.default_path("piece_bpe_32k.model"))
+    edge = edge.select("doc_id", "text").union(spark.createDataFrame([(20, "a\0b ▁ x__y\r\n\0"), (21, "\0")], "doc_id long, text string"))
     found = gumbel.sample_segmentations(edge, k=2)
     texts = Counter((r.doc_id, r.text or "") for r in edge.collect())
-    got = gumbel.decode_ids(found)
-    assert set((r.doc_id, r.text) for r in got.collect()) == set(texts)
-    assert all(len({tuple(x.ids) for x in g}) == len(g) for g in [[r for r in found.collect() if r.doc_id == d] for d in (1, 2, 6, 10)])
+    got = gumbel.decode_ids(found).collect()
+    assert set((r.doc_id, r.text) for r in got) == set(texts)
+    assert all(sp.decode(r.ids) == r.text for r in got if r.text and r.doc_id in (1, 2, 6, 20))
+    assert all(len({tuple(x.ids) for x in g}) == len(g) for g in [[r for r in got if r.doc_id == d] for d in (1, 2, 6, 10, 20)])
     one = lambda df: sorted((r.doc_id or 0, r["sample"], tuple(r.ids), r.perturbed) for r in df.collect())
     assert one(found) == one(gumbel.sample_segmentations(edge.coalesce(1), k=2))
-    digest = gumbel.sample_segmentations(edge, k=2, digest=True).collect()
-    assert all(r.decoded for r in digest)
-    blank = [r for r in digest if r.doc_id == 4]
-    assert [(r.n_pieces, r.log_prob, r.inclusion) for r in blank] == [(0, 0.0, 1.0)]
+    verified = gumbel.sample_segmentations(edge, k=2, verify=True).collect()
+    assert all(r.decoded for r in verified)
+    blank = [r for r in verified if r.doc_id == 4]
+    assert [(r.ids, r.log_prob, r.inclusion) for r in blank] == [([], 0.0, 1.0)]
     assert gumbel.sample_segmentations(empty).count() == 0
 
 
