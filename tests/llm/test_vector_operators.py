@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -113,40 +116,61 @@ def test_beam_is_taken_after_enough_links():
 
 
 def brute_top(rows, every, k):
-    use = [(i, np.floor(np.array(v, dtype=np.float32).astype(float) * 1024).astype(int)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for i, q in use:
-        if i % every == 0:
-            scored = sorted((-int(q @ v), j) for j, v in use if j != i and len(v) == len(q))
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])}
-    return out
-
-
-@pytest.mark.parametrize("chunk", [topk.CHUNK_LEAST, 8])
-def test_top_k_equals_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(topk, "CHUNK_LEAST", chunk)
-    monkeypatch.setattr(topk, "SAMPLE", 64)
-    rows = vectors(3) + [r for r in ODD if r[0] != 1000] + [(1010, [2.0] * 3, 1), (1011, [0.5] * 12, 1), (1011, [0.5] * 12, 1)]
+    """query_id, rank, vec_id, score of each distinct query, in Python's integers; scores are cut to a long."""
+    use = [(i, tuple(math.floor(x * 1024) if abs(x) < 1e200 else int(x) * 1024 for x in map(float, v))) for i, v, *_ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for i, q in {x for x in use if x[0] % every == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in use if j != i and len(v) == len(q))
+        out += [(i, r + 1, j, max(topk.LEAST, min(topk.LARGEST, -s))) for r, (s, j) in enumerate(scored[:k])]
+    return Counter(out)
+
+
+DOUBLES = "vec_id long, embedding array<double>, label int"
+
+
+@pytest.mark.parametrize(("room", "sample"), [(1 << 20, 4096), (500, 64)])
+def test_top_k_equals_brute_force(spark, monkeypatch, room, sample):
+    monkeypatch.setattr(topk, "SAMPLE", sample)
+    rows = vectors(3, 400) + [r for r in ODD if r[0] != 1000] + [(1010, [2.0] * 3, 1), (1011, [0.5] * 12, 1), (1011, [0.5] * 12, 1), (1020, [0.5] * 12, 1)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("cell", F.lit(1)).withColumn("id", F.lit("x"))
-    got = [tuple(r) for r in topk.top_k(df, F.col("id") % 10 == 0, k=10).collect()]
-    want = brute_top(rows, 10, 10)
-    assert {(q, r, s) for q, r, _, s in got} == {(q, r, s) for q, r, _, s in want}
-    assert set(got) == want
+    found = topk.top_k(df, F.col("id") % 10 == 0, k=10, group_bytes=room, chunk_bytes=room)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    single = [(i, [None if x is None else float(np.float32(x)) for x in v] if v else v, y) for i, v, y in rows]
+    assert Counter(map(tuple, found.collect())) == brute_top(single, 10, 10)
     assert topk.top_k(df.limit(0), F.col("id") % 10 == 0).count() == 0
 
 
-def test_top_k_prunes_cells():
+def test_top_k_keeps_large_components_and_all_lengths(spark):
+    rng = np.random.default_rng(5)
+    large = [(i, [float(x) for x in rng.normal(size=6) * 10.0 ** int(rng.choice([0, 3, 6, 8, 12]))], 0) for i in range(200)]
+    large += [(300 + i, [float(x) for x in rng.normal(size=2) * 10.0 ** (40 * i)], 0) for i in range(8)] + [(500, [300000.0, 0.0], 0), (501, [2.0, 1.0], 0)]
+    large += [(510, [1.7e308, -1.7e308, 1.0], 0), (520, [1.7e308, 1.7e308, -1.0], 0), (521, [-1.0, 0.0, 5e-324], 0)]
+    lengths = [(1000 + 10 * n + j, [float(x) for x in rng.normal(size=n)], 0) for n in range(13, 1113) for j in (0, 1)]
+    found = topk.top_k(spark.createDataFrame(large + lengths, DOUBLES), F.col("id") % 10 == 0, k=5)
+    assert Counter(map(tuple, found.collect())) == brute_top(large + lengths, 10, 5)
+
+
+def test_top_k_replicates_only_what_groups_need(spark):
+    """Clustered vectors: several groups, each given a part of the data, and the bounds lose nothing."""
     rng = np.random.default_rng(0)
-    centres = rng.normal(size=(8, 6)) * 4000
-    x = (centres[rng.integers(0, 8, 2000)] + rng.normal(size=(2000, 6)) * 10).astype(np.int64)
-    plan = topk._Plan(np.arange(2000), x)
-    cell, far = plan.nearest(x)
-    for c in range(len(plan.pivots)):
-        plan.chunks[c] = (cell == c).any()
-        plan.radius[c] = far[cell == c].max(initial=0)
-    needed = plan.needed(np.arange(50), x[:50], 10)
-    best = np.argsort(-(x[:50] @ x.T), axis=1)[:, :10]
-    assert needed.mean() < 0.8 and all(needed[i, cell[j]] for i in range(50) for j in best[i])
+    centres = np.concatenate([np.eye(6), -np.eye(6)]) * 40
+    x = centres[rng.integers(0, 12, 4000)] + rng.normal(size=(4000, 6)) / 10
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    data = topk.usable_vectors(spark.createDataFrame(rows, DOUBLES), "vec_id", "embedding").cache()
+    asked = data.where("id % 20 = 0").withColumn("number", F.col("id"))
+    plans, celled = topk.plan_join(data, asked, 10)
+    plan, whole = plans[6], np.floor(x * 1024)
+    cells = {r.id: r.cell for r in celled.collect()}
+    assert plan.queries.sum() == 200 and plan.group.max() >= 3
+    need = plan.needed(whole)
+    sent = sum(need[(plan.group == g) & (plan.queries > 0)].any(axis=0).sum() for g in range(plan.group.max() + 1))
+    assert sent < 2 * len(x) and need[plan.queries > 0].mean() < 0.4
+    for i in range(0, 4000, 20):
+        scores = whole @ whole[i]
+        scores[i] = -np.inf
+        assert all(need[cells[i], j] for j in np.argsort(-scores)[:10])
+    found = topk.top_k(spark.createDataFrame(rows, DOUBLES), F.col("id") % 400 == 0, k=10, group_bytes=480)
+    assert Counter(map(tuple, found.collect())) == brute_top(rows, 400, 10)
 
 
 def test_components(spark):
