@@ -36,10 +36,10 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark and n_chars counted anew."""
-    found = secrets.redact(secrets.find_secrets(docs, into="octavo_secrets"), spans="octavo_secrets")
-    return found.withColumn(
-        "n_chars", F.when(F.size("octavo_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    spans = secrets.free_name(docs, "octavo_secrets")
+    found = secrets.redact(secrets.find_secrets(docs, into=spans), spans=spans)
+    counted = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", counted).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

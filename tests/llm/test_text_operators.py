@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -68,6 +69,33 @@ def test_secrets_are_redacted(spark):
     assert got == ["a [SECRET] b é [SECRET]", None, "plain"]
 
 
+def brute_redacted(text):
+    out, at = [], 0
+    for a, _, b in brute_spans(text):
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_many_secrets_of_one_text_take_time_in_proportion(spark):
+    """50,000 secrets in a text, and redaction across the edges of blocks."""
+    rng = np.random.default_rng(0)
+    word = lambda n: "".join(rng.choice([*"abcdefABCDEF0123456789xyzé "], n))
+    texts = [f"token={'%020x' % i} é\n" * 1 for i in range(50_000)]
+    many = "".join(texts)
+    odd = [word(int(rng.integers(0, 5000))) + "AKIA" + "A1" * 9 + word(int(rng.integers(0, 9000))) + "password: abcDEF123456 " for _ in range(20)]
+    df = spark.createDataFrame([(0, many), *enumerate(odd, 1)], "doc_id long, text string").coalesce(1)
+    began = time.time()
+    found = {r.doc_id: r for r in secrets.secret_report(df).collect()}
+    spans = secrets.free_name(df, "doc_id")
+    assert spans == "doc_id_"
+    clean = {r.doc_id: r.text for r in secrets.redact(secrets.find_secrets(df, into=spans), spans=spans).collect()}
+    assert time.time() - began < 120
+    assert found[0].n_assign == 50_000
+    assert clean == {i: brute_redacted(t) for i, t in [(0, many), *enumerate(odd, 1)]}
+
+
 def test_secret_scan_has_no_python_in_its_plan(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = secrets.secret_report(docs)._jdf.queryExecution().executedPlan().toString()
