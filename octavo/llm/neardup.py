@@ -1,18 +1,21 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one for each shard.
 
 1. Vectors of one label that are equal are one class (pre-aggregated); only classes go on.
-2. The classes of a label are dealt to shards of about SHARD by a hash. Each shard gets a graph of
-   several layers: every node is in layer 0, a falling share in each layer above; neighbours are
-   chosen for diversity, so that a clump of copies does not close on itself.
-3. Every class queries every shard of its label. Queries are compared with all of a shard until ENOUGH
-   of them have had a link other than themselves. On those the graph is audited: a beam is taken
-   only if it finds all links of RECALL of them; while none does, comparison with all goes on.
-4. With a beam, queries go down the layers to an entry, then with the beam. Links are the beam's vectors
-   whose cosine, computed again in double precision from the vectors as given, is at least the
-   threshold. A query whose beam is half full of links may have lost some, so it is compared with all
-   of the shard, as is a sample of each block, which goes on with the audit and can reject the beam.
-5. A task counts each query's links and joins them in a union-find, so it emits a row for each query
-   and edges no more than its nodes, never all pairs. Components of the edges give the groups.
+2. The classes of a label are dealt to shards by a hash; shards grow with the root of the label's classes,
+   from SHARD_LEAST to SHARD_MOST. Each shard, whatever its size, gets a graph of several layers: every node is in
+   layer 0, a falling share in each layer above; neighbours are chosen for diversity, so that a clump
+   of copies does not close on itself.
+3. Every class queries every shard of its label: down the layers to an entry, then with a beam. Links are
+   the beam's vectors whose cosine, computed again in double precision from the vectors as given, is at
+   least the threshold.
+4. Audits compare a query with all of the shard and so count how often a beam's links are whole. Until ENOUGH
+   audited queries have had a link other than themselves, every query is audited; then some of each
+   block are. A beam that does not reach RECALL is widened, and where the widest does not, all queries stay
+   audited. An audited query has all its links, found by the beam or not; a query whose beam is
+   half full of links may have lost some and is audited too.
+5. A task counts each query's links and joins what they connect by vectorised label propagation, so it emits a
+   row for each query and edges no more than its queries and nodes, never all pairs. Components of the
+   edges give the groups.
 
 Memory of a task is one shard, its graph and a block of queries. A label with most of the rows is
 many shards.
@@ -34,18 +37,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octavo.llm.components import connected_components
-from octavo.llm.shared import discard, materialize
 from octavo.llm.shingles import mix
+from octavo.plans.tables import discard, materialize
 
-SHARD = 4096
+#: Least and most classes of a shard.
+SHARD_LEAST, SHARD_MOST = 4096, 32768
 NEIGHBOURS = 12
 BUILD_BEAM = 32
 BEAMS = (32, 128, 512)
 AUDITED = 64
 RECALL = 0.999
-#: Audited queries with a link without which no beam is taken: so many that a thousandth of them is one.
+#: Audited queries with a link without which no beam is relied on: so many that a thousandth of them is one.
 ENOUGH = 1000
-QUERY_BLOCK = 1024
+#: Queries of a block, and numbers of the tables that a block needs for each node.
+QUERY_BLOCK, BLOCK_CELLS = 1024, 1 << 24
 
 
 class Graph:
@@ -166,25 +171,34 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The vectors of a shard, their graph and the search for all links of a block of queries.
+    """The vectors of a shard, their graph and the search for all links of a block of queries."""
 
-    Queries are compared with all of the shard until ENOUGH of them have had a link other than themselves;
-    only then is the graph built, and a beam taken that finds all links of RECALL of those. Audits go on.
-    """
-
-    def __init__(self, x: np.ndarray, seeds: np.ndarray):
-        self.x, self.seeds = x, seeds
+    def __init__(self, x: np.ndarray, seeds: np.ndarray, beams=BEAMS, recall: float = RECALL):
+        self.x, self.recall = x, recall
         self.norm = np.sqrt((x**2).sum(axis=1))
-        self.graph: Graph | None = None
-        #: Audited queries with links and those links, until the graph is built; then for each beam how many
-        #: were audited and how many of them lost none.
-        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
-        self.tally: dict[int, list[int]] = {}
+        self.graph = Graph(x / self.norm[:, None], seeds)
+        self.beams = sorted({min(b, len(x)) for b in beams})
+        self.at = 0
+        #: Audited queries with links under the present beam, and those that it gave whole.
+        self.audited = self.whole = 0
+
+    def block(self) -> int:
+        """Queries that may be searched for at once."""
+        return max(16, min(QUERY_BLOCK, BLOCK_CELLS // max(1, len(self.x))))
+
+    @property
+    def beam(self) -> int:
+        return self.beams[self.at]
+
+    def trusted(self) -> bool:
+        """Whether enough audits say that the beam's links are whole."""
+        return self.audited >= ENOUGH and self.whole >= self.recall * self.audited
 
     def _scan(self, q: np.ndarray, least: float) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for at in range(0, len(q), 256):
-            out += [np.flatnonzero(r) for r in cosines(q[at : at + 256], self.x) >= least]
+        step = max(16, min(256, (BLOCK_CELLS >> 3) // max(1, len(self.x))))
+        for at in range(0, len(q), step):
+            out += [np.flatnonzero(r) for r in cosines(q[at : at + step], self.x) >= least]
         return out
 
     def _search(self, q: np.ndarray, beam: int, least: float) -> list[np.ndarray]:
@@ -194,67 +208,63 @@ class Shard:
         near = (ids >= 0) & (dots / (norm[:, None] * self.norm[ids]) >= least)
         return [i[n].astype(np.int64) for i, n in zip(ids, near, strict=True)]
 
-    def _fine(self, beam: int, recall: float) -> bool:
-        audited, whole = self.tally.get(beam, (0, 0))
-        return audited >= ENOUGH and whole >= recall * audited
-
-    def _audit(self, q: np.ndarray, truth: list[np.ndarray], own: np.ndarray, least: float, beams: list[int], recall: float) -> None:
-        """Counts the queries that have a link other than themselves and do not crowd a beam."""
-        linked = [i for i, t in enumerate(truth) if (t != own[i]).any()]
-        self.pending += [(q[i], truth[i]) for i in linked]
-        if self.graph is None:
-            if len(self.pending) < ENOUGH:
-                return
-            self.graph = Graph(self.x / self.norm[:, None], self.seeds)
-        for beam in beams:  # a wider one only where the narrower is not taken
-            counted = self.tally.setdefault(beam, [0, 0])
-            for at in range(0, len(self.pending), 256):
-                part = self.pending[at : at + 256]
-                for got, (_, want) in zip(self._search(np.array([p[0] for p in part]), beam, least), part, strict=True):
-                    if len(got) < beam // 2:
-                        counted[0] += 1
-                        counted[1] += int(np.isin(want, got).all())
-            if self._fine(beam, recall):
-                break
-        self.pending = []
-
-    def links(self, q: np.ndarray, least: float, beams=BEAMS, recall: float = RECALL, own: np.ndarray | None = None) -> list[np.ndarray]:
-        """For each query the nodes of the shard with a cosine of at least least; own is its own node, -1 if elsewhere."""
+    def _audit(self, found: list[np.ndarray], truth: list[np.ndarray], own: np.ndarray) -> None:
+        """Counts queries that have a link other than themselves and do not crowd the beam; widens it if need be."""
+        for got, want, node in zip(found, truth, own, strict=True):
+            if (want != node).any() and 2 * len(got) < self.beam:
+                self.audited += 1
+                self.whole += bool(np.isin(want, got).all())
+        if self.audited >= ENOUGH and not self.trusted() and self.at + 1 < len(self.beams):
+            self.at, self.audited, self.whole = self.at + 1, 0, 0
+
+    def links(self, q: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each query the nodes of the shard with a cosine of at least least, and how many of these the graph
+        missed, -1 where the query was not audited; own is its own node, -1 if elsewhere."""
         own = np.full(len(q), -1) if own is None else own
-        beams = [b for b in beams if 4 * b < len(self.x)]
-        if not len(q) or not any(self._fine(b, recall) for b in beams):
-            found = self._scan(q, least)
-            if beams and self.graph is None:
-                self._audit(q, found, own, least, beams, recall)
-            return found
-        audit = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-        self._audit(q[audit], self._scan(q[audit], least), own[audit], least, beams, recall)
-        beam = next((b for b in beams if self._fine(b, recall)), None)
-        if beam is None:
-            return self._scan(q, least)
-        out = self._search(q, beam, least)
-        crowded = [i for i, found in enumerate(out) if len(found) >= beam // 2]
-        for i, found in zip(crowded, self._scan(q[crowded], least), strict=True):
-            out[i] = found
-        return out
-
-
-class _Union:
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def root(self, a: int) -> int:
-        p = self.parent
-        p.setdefault(a, a)
-        while p[a] != a:
-            p[a] = p[p[a]]
-            a = p[a]
-        return a
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
+        missed = np.full(len(q), -1)
+        if not len(q):
+            return [], missed
+        out = self._search(q, self.beam, least)
+        if self.trusted():
+            crowded = np.array([2 * len(f) >= self.beam for f in out])
+            crowded[np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)] = True
+        else:
+            crowded = np.ones(len(q), dtype=bool)
+        audit = np.flatnonzero(crowded)
+        truth = self._scan(q[audit], least)
+        self._audit([out[i] for i in audit], truth, own[audit])
+        for i, want in zip(audit, truth, strict=True):
+            missed[i] = len(np.setdiff1d(want, out[i]))
+            out[i] = want
+        if not crowded.all() and not self.trusted():  # this very block took away the trust
+            rest = np.flatnonzero(~crowded)
+            for i, want in zip(rest, self._scan(q[rest], least), strict=True):
+                missed[i] = len(np.setdiff1d(want, out[i]))
+                out[i] = want
+        return out, missed
+
+
+class Joined:
+    """Which nodes of a shard the links of the queries so far connect: label is a node's group's smallest node."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, found: list[np.ndarray]) -> None:
+        """All nodes of one query's links are in one group."""
+        sizes = np.array([len(f) for f in found])
+        at = np.flatnonzero(sizes > 1)
+        if not len(at):
+            return
+        nodes = np.concatenate([found[i] for i in at])
+        starts = np.cumsum(sizes[at]) - sizes[at]
+        while True:
+            before = self.label[nodes]
+            np.minimum.at(self.label, before, np.repeat(np.minimum.reduceat(before, starts), sizes[at]))
+            while (jumped := self.label[self.label]).tobytes() != self.label.tobytes():
+                self.label = jumped
+            if (self.label[nodes] == before).all():
+                return
 
 
 def _clean(vectors: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
@@ -285,9 +295,14 @@ def near_duplicates(
     id_col: str = "vec_id",
     vector: str = "embedding",
     label: str = "label",
-    shard_size: int = SHARD,
+    shard_size: int | None = None,
+    audits: bool = False,
 ) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+    """One row per vector: vec_id, n_links, component_id, kept.
+
+    With audits two more columns: audited_links, links other than itself that audits of the vector's class saw, and
+    missed_links, those of them that the graphs alone had not found; their sums give the recall.
+    """
     rows = materialize(_clean(vectors, id_col, vector, label), "neardup-rows")
     usable = rows.where("label IS NOT NULL AND v IS NOT NULL")
     classes = materialize(
@@ -296,11 +311,10 @@ def near_duplicates(
         .withColumn("node", F.monotonically_increasing_id()),
         "neardup-classes",
     )
+    held = F.count("*").cast("double")
+    room = F.lit(float(shard_size)) if shard_size else F.greatest(F.lit(float(SHARD_LEAST)), F.least(F.lit(float(SHARD_MOST)), 64 * F.sqrt(held)))
     shards = materialize(
-        classes.groupBy("label", F.length("v").alias("size")).agg(
-            F.ceil(F.count("*") / F.lit(float(shard_size))).cast("int").alias("shards")
-        ),
-        "neardup-shards",
+        classes.groupBy("label", F.length("v").alias("size")).agg(F.ceil(held / room).cast("int").alias("shards")), "neardup-shards"
     )
     sized = classes.withColumn("size", F.length("v")).join(shards, ["label", "size"])
     own = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
@@ -310,43 +324,45 @@ def near_duplicates(
     key = ("label", "size", "shard")
     dealt = data.union(asked).repartition(*key).sortWithinPartitions(*key, "query", "node")
 
+    names, kinds = ["node", "links", "other", "audited", "missed"], [pa.int64()] * 5
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, data, queries = None, [], []
-        shard, nodes, counts, union = None, None, None, None
+        shard, nodes, counts, joined = None, None, None, None
+
+        def batch_of(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         def answer() -> pa.RecordBatch | None:
-            nonlocal queries, shard, nodes, counts, union, data
+            """A row for each waiting query: its links, one node that it links with, and what an audit saw."""
+            nonlocal queries, shard, nodes, counts, joined, data
             if at is None:
                 return None
             if shard is None:
                 nodes, counts, raw = (np.array([d[0] for d in data]), np.array([d[1] for d in data]), [d[2] for d in data])
                 shard = Shard(np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1), nodes)
-                union, data = _Union(), []
+                joined, data = Joined(len(nodes)), []
             if not queries:
                 return None
             q = np.frombuffer(b"".join(x[2] for x in queries), dtype="<f8").reshape(len(queries), -1)
-            asked_nodes = np.array([x[0] for x in queries])
-            at_node = np.minimum(np.searchsorted(nodes, asked_nodes), len(nodes) - 1)  # data come sorted by node
-            own = np.where(nodes[at_node] == asked_nodes, at_node, -1)
-            links = []
-            for (node, _, _), found in zip(queries, shard.links(q, least, own=own), strict=True):
-                found = found[nodes[found] != node]
-                links.append(int(counts[found].sum()))
-                for other in nodes[found].tolist():
-                    union.join(node, other)
-            ids, queries = [x[0] for x in queries], []
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(links, pa.int64()), pa.array([None] * len(ids), pa.int64())],
-                names=["node", "links", "other"],
-            )
+            asked = np.array([x[0] for x in queries])
+            at_node = np.minimum(np.searchsorted(nodes, asked), len(nodes) - 1)  # data come sorted by node
+            own = np.where(nodes[at_node] == asked, at_node, -1)
+            found, missed = shard.links(q, least, own=own)
+            found = [f if o < 0 else np.union1d(f, [o]) for f, o in zip(found, own, strict=True)]
+            joined.add(found)
+            others = np.array([len(f) - (o >= 0) for f, o in zip(found, own, strict=True)])
+            links = [int(counts[f].sum()) - (int(counts[o]) if o >= 0 else 0) for f, o in zip(found, own, strict=True)]
+            near = [int(nodes[f[0]]) if len(f) else None for f in found]
+            audited = np.where(missed >= 0, others, 0)
+            out = batch_of(asked, links, near, audited, np.minimum(np.maximum(missed, 0), audited))
+            queries = []
+            return out
 
         def edges() -> pa.RecordBatch:
-            pairs = [(a, union.root(a)) for a in union.parent] if union else []
-            pairs = [p for p in pairs if p[0] != p[1]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([0] * len(pairs), pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
-                names=["node", "links", "other"],
-            )
+            own = np.flatnonzero(joined.label != np.arange(len(joined.label))) if joined else np.empty(0, dtype=np.int64)
+            zero = np.zeros(len(own), dtype=np.int64)
+            return batch_of(nodes[own] if joined else own, zero, nodes[joined.label[own]] if joined else own, zero, zero)
 
         for batch in batches:
             for lab, size, sh, query, node, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -354,10 +370,10 @@ def near_duplicates(
                     if (out := answer()) is not None:
                         yield out
                     yield edges()
-                    at, data, queries, shard, union = (lab, size, sh), [], [], None, None
+                    at, data, queries, shard, joined = (lab, size, sh), [], [], None, None
                 if query:
                     queries.append((node, n, v))
-                    if len(queries) >= QUERY_BLOCK:
+                    if len(queries) >= (shard.block() if shard else 16):
                         yield answer()
                 else:
                     data.append((node, n, v))
@@ -365,17 +381,23 @@ def near_duplicates(
             yield out
         yield edges()
 
-    found = materialize(dealt.mapInArrow(search, "node long, links long, other long"), "neardup-links")
+    found = materialize(
+        dealt.mapInArrow(search, "node long, links long, other long, audited long, missed long"), "neardup-links"
+    )
     groups = connected_components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    degree = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
+    sums = ("links", "audited", "missed")
+    degree = found.groupBy("node").agg(*[F.sum(c).alias(c) for c in sums])
+    extra = ("audited", "missed") if audits else ()
     known = materialize(
         classes.join(degree, "node", "left")
         .join(groups, "node", "left")
-        .select("label", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("c")),
+        .select("label", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), *extra, F.coalesce("component", "node").alias("c")),
         "neardup-known",
     )
     smallest = materialize(known.groupBy("c").agg(F.min("rep").alias("component_id")), "neardup-smallest")
-    final = materialize(known.join(smallest, "c").select(F.col("label").alias("l"), F.col("v").alias("w"), "n_links", "component_id"), "neardup-final")
+    final = materialize(
+        known.join(smallest, "c").select(F.col("label").alias("l"), F.col("v").alias("w"), "n_links", *extra, "component_id"), "neardup-final"
+    )
     discard(classes, shards, found, known, smallest)
     out = rows.join(final, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
     component = F.coalesce("component_id", "id")
@@ -384,6 +406,7 @@ def near_duplicates(
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
+        *[F.coalesce(c, F.lit(0)).alias(f"{c}_links") for c in extra],
     )
 
 

@@ -60,7 +60,7 @@ ODD = [
 def test_near_duplicates_equal_brute_force(spark):
     rows = vectors() + ODD
     df = spark.createDataFrame(rows, SCHEMA).withColumn("node", F.lit(1)).withColumn("n", F.lit("n"))
-    for size in (neardup.SHARD, 30):
+    for size in (None, 30):
         got = sorted((tuple(r) for r in neardup.near_duplicates(df, shard_size=size).collect()), key=str)
         assert [g[:3] for g in got] == [w[:3] for w in brute_links(rows)]
         assert all(r[3] == (r[0] == r[2]) for r in got if r[0] is not None)
@@ -79,15 +79,18 @@ def test_graph_recall():
     assert graph.top >= 2 and recall[1] >= recall[0] and recall[0] > 0.85 and recall[1] > 0.95
 
 
-def test_audit_widens_the_beam():
+def exact(found, q, x):
+    return all(set(f) == set(np.flatnonzero(w)) for f, w in zip(found, neardup.cosines(q, x) >= 0.98, strict=True))
+
+
+def test_crowded_beams_lose_nothing():
     """A shard where a narrow beam loses links still gives all of them."""
     rng = np.random.default_rng(1)
     base = rng.normal(size=32)
     x = np.concatenate([base + 0.02 * rng.normal(size=(900, 32)), rng.normal(size=(1200, 32))])
     shard = neardup.Shard(x, np.arange(len(x)))
-    found = shard.links(x[:64], 0.98)
-    want = neardup.cosines(x[:64], x) >= 0.98
-    assert all(set(f) == set(np.flatnonzero(w)) for f, w in zip(found, want, strict=True))
+    found, missed = shard.links(x[:64], 0.98)
+    assert exact(found, x[:64], x) and missed.min() > 0
 
 
 def test_sparse_links_are_not_lost(monkeypatch):
@@ -98,21 +101,47 @@ def test_sparse_links_are_not_lost(monkeypatch):
     linked = np.setdiff1d(np.arange(512), np.linspace(0, 511, neardup.AUDITED).astype(int))
     q[linked] = x[linked] + 0.05 * rng.normal(size=(len(linked), 32))
     shard = neardup.Shard(x, np.arange(len(x)))
-    for _ in range(4):
-        found = shard.links(q, 0.98)
-        assert all(set(f) == set(np.flatnonzero(w)) for f, w in zip(found, neardup.cosines(q, x) >= 0.98, strict=True))
+    for _ in range(12):
+        found, _ = shard.links(q, 0.98)
+        assert exact(found, q, x)
+    assert shard.beam == neardup.BEAMS[-1] and not shard.trusted()
 
 
-def test_beam_is_taken_after_enough_links():
+def test_beam_is_relied_on_after_enough_links():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1024, 16))
     shard = neardup.Shard(x, np.arange(len(x)))
-    assert [f.tolist() for f in shard.links(x, 0.98, own=np.arange(len(x)))] == [[i] for i in range(len(x))]
-    assert shard.graph is None and not shard.pending  # hits on itself are no evidence
-    for _ in range(2):
-        found = shard.links(x + 0.01 * rng.normal(size=x.shape), 0.98)
+    found, _ = shard.links(x, 0.98, own=np.arange(len(x)))
+    assert [f.tolist() for f in found] == [[i] for i in range(len(x))]
+    assert shard.audited == 0  # hits on itself are no evidence
+    for k in range(2):
+        found, missed = shard.links(x + 0.01 * rng.normal(size=x.shape), 0.98)
         assert np.mean([i in f for i, f in enumerate(found)]) >= 0.999
-    assert shard._fine(32, 0.999)
+    assert shard.trusted() and shard.beam == 32 and (missed < 0).sum() > 900
+
+
+def test_joined_groups():
+    joined = neardup.Joined(8)
+    joined.add([np.array([5, 6]), np.array([1, 2]), np.array([4])])
+    joined.add([np.array([2, 6]), np.array([], dtype=np.int64), np.array([7, 3])])
+    assert joined.label.tolist() == [0, 1, 1, 3, 4, 1, 1, 3]
+
+
+def test_graphs_serve_shards_of_thousands(spark):
+    """Three shards of over 2,000: links by all pairs, and what the graphs find of them without audits."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(3500, 24))
+    x = np.float32(np.concatenate([base, base[rng.integers(0, 3500, 3000)] + 0.03 * rng.normal(size=(3000, 24))]))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA)
+    found = sorted(map(tuple, neardup.near_duplicates(df, shard_size=2200, audits=True).collect()))
+    near = neardup.cosines(x.astype(float), x.astype(float)) >= 0.98
+    label = np.arange(len(x))
+    while ((lower := np.where(near, label, len(x)).min(axis=1)) != label).any():
+        label = lower
+    recall = 1 - sum(r[5] for r in found) / sum(r[4] for r in found)
+    assert sum(r[4] for r in found) > 3000 and recall > 0.99
+    assert np.mean([r[1] == n for r, n in zip(found, near.sum(axis=1) - 1, strict=True)]) > 0.999
+    assert np.mean([r[2] == c for r, c in zip(found, label, strict=True)]) > 0.999
 
 
 def brute_top(rows, every, k):
