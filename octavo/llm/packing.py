@@ -11,7 +11,8 @@ groups rows and memory is one buffer of ids, however long or uneven the document
 3. What stays at the end of a partition closes in windows of powers of two.
 
 Tiers are powers of two, so no sequence is padded. Sequences of one tier are dealt to step groups of
-a fixed number of tokens, so that every step of a tier costs the same.
+STEP_TOKENS tokens, so that every step costs the same: in a partition all groups but the last of each
+tier hold exactly so many. A group has sequences of one tier, and its number is no other group's.
 
 A sequence id is the partition's number and a count within it; a task that runs again gives the same
 ids, since it reads the same rows in the same order.
@@ -31,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octavo.llm.shared import tidy
 from octavo.llm.tokens import WordTokenizer, default_path
+from octavo.plans.tables import tidy
 
 TIERS = (256, 512, 1024, 2048)
 #: Ids that wait in a partition before they are packed, and tokens of one step group.
@@ -96,9 +97,11 @@ class Packer:
     def __init__(self, first_id: int, tiers=TIERS, buffer_ids: int = BUFFER_IDS, step_tokens: int = STEP_TOKENS):
         self.tiers, self.buffer_ids, self.step_tokens = sorted(tiers), buffer_ids, step_tokens
         self.longest = self.tiers[-1]
-        self.first_id = self.next_id = first_id
+        self.next_id = first_id
         self.waiting = _Waiting()
-        self.sequences = dict.fromkeys(self.tiers, 0)
+        #: For each tier its open step group and the tokens that this still takes.
+        self.next_group = first_id
+        self.steps = {t: (0, 0) for t in self.tiers}
         self.out: list[list] = [[] for _ in range(9)]
 
     def add(self, doc, ids: bytes) -> None:
@@ -149,11 +152,13 @@ class Packer:
     def _emit(self, window: list[_Part], size: int) -> None:
         seq, self.next_id = self.next_id, self.next_id + 1
         tier = next(t for t in self.tiers if size <= t)
-        group = self.sequences[tier] // max(1, self.step_tokens // tier)
-        self.sequences[tier] += 1
+        group, room = self.steps[tier]
+        if room < size:
+            group, room, self.next_group = self.next_group, max(self.step_tokens, size), self.next_group + 1
+        self.steps[tier] = group, room - size
         offset = 0
         for p in window:
-            row = (p.doc, p.start, len(p), zlib.crc32(p.ids), p.total, seq, offset, tier, self.first_id + group)
+            row = (p.doc, p.start, len(p), zlib.crc32(p.ids), p.total, seq, offset, tier, group)
             for column, value in zip(self.out, row, strict=True):
                 column.append(value)
             offset += len(p)

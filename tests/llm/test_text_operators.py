@@ -159,8 +159,14 @@ def test_packing_of_documents(spark, sf):
     assert {r.tier for r in found.collect()} == {256, 512, 1024, 2048}
     groups: dict = {}
     for s in sequences.values():
-        groups.setdefault((s[0].tier, s[0].step_group), []).append(sum(r.length for r in s))
-    assert all(sum(g) <= packing.STEP_TOKENS for g in groups.values())
+        groups.setdefault(s[0].step_group, []).append((s[0].tier, sum(r.length for r in s)))
+    assert all(len({t for t, _ in g}) == 1 for g in groups.values())
+    steps: dict = {}
+    for number, g in groups.items():
+        steps.setdefault((number >> 33, g[0][0]), []).append((number, sum(n for _, n in g)))
+    for of_tier in steps.values():
+        assert all(n == packing.STEP_TOKENS for _, n in sorted(of_tier)[:-1]) and all(n <= packing.STEP_TOKENS for _, n in of_tier)
+    assert any(len(x) > 1 for x in steps.values())
 
 
 def test_separator_scan(spark, edge, empty):
