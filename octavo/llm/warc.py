@@ -1,22 +1,27 @@
 """WARC archives: write, normalise a monolithic gzip file to one member per record, read by index.
 
-An archive is a row (shard, data) of a table that Spark commits, so that any executor can read it and
-a lost one costs only its tasks; export_archives() writes the same bytes as .warc.gz files.
+Archives are files in a folder that the driver and all executors share, on any file system that pyarrow
+opens by its address (file, hdfs, s3, gs). A task gives its files names of their own, and a table
+that Spark commits lists the files that count: what a lost or repeated task has left is never read.
 
 1. write_archives: every page becomes a WARC record. Of pages with equal payloads the one with the
    largest page_id is a response and the others are revisits of it, which carry the payload's digest
-   and length but no payload. A shard is one gzip stream over all its records.
-2. normalise: each shard is inflated once, front to back, and every record is compressed again as a
-   gzip member of its own; a sidecar index lists each member's offset and length.
-3. read_records: takes members out of a shard by the index, one at a time, and checks the digest.
+   and length but no payload. An archive is one gzip stream over all its records (.warc.gz).
+2. normalise: each archive is inflated once, front to back, and every record is compressed again as a
+   gzip member of its own (.warc.gz); beside it a sidecar index (.idx) lists each member's offset, length,
+   type and page. Neither the archive nor its index is ever held whole.
+3. read_records: takes members out of a normalised archive by its index, one at a time, and checks the digest.
 
 Equal payloads meet by their SHA-1: counts per digest are pre-aggregated before they are shuffled,
 and only digests that occur twice or more are joined back, by broadcast up to BROADCAST_ROWS digests
 and else by a shuffled join whose skewed keys Spark splits.
 
+A record's id is made of its page and digest where a revisit may name it, else of its archive and place;
+equal rows (same page_id and payload) that are the response are one record repeated, with one id.
+
 Cases: a null html is the empty payload; a null url or page_id leaves its header out and reads back
-null; a payload that only pages without id have is a response in each; equal rows (same page_id and
-payload) that are the response each are one; other columns are not read; no pages give no archives.
+null; a payload that only pages without id have is a response in each; equal rows that are the response each
+are one; other columns are not read; no pages give no archives.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,16 +39,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octavo.llm.shared import discard, materialize
+from octavo.plans.tables import discard, materialize, new_path, remove
 
-#: Uncompressed bytes after which a shard is closed, and duplicate digests that are still broadcast.
-SHARD_BYTES = 16 << 20
+#: Uncompressed bytes after which an archive is closed, and duplicate digests that are still broadcast.
+ARCHIVE_BYTES = 16 << 20
 BROADCAST_ROWS = 200_000
 LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
-INDEX = "array<struct<offset:long,length:long,kind:string,page_id:long>>"
+#: Tasks that normalise or read archives, at most.
+MOST_TASKS = 10_000
+
+
+def _open(address: str):
+    """(file system, path) of an address or of a path on this machine."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub(r"^file:/+", "file:///", address))
 
 
 def classify(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -63,14 +77,15 @@ def classify(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
     return slim.join(repeated, "digest", "left")
 
 
-def record(page_id, url, payload: bytes, digest: str, rep) -> bytes:
-    """One WARC record; digest is base32."""
+def record(page_id, url, payload: bytes, digest: str, rep, place: str) -> bytes:
+    """One WARC record; digest is base32, place names its archive and place there."""
     revisit = rep is not None and rep != page_id
     name = lambda i: uuid.uuid5(_SPACE, f"page:{i}:{digest}").urn
+    own = uuid.uuid5(_SPACE, f"place:{place}").urn if revisit or page_id is None else name(page_id)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <{name(page_id)}>",
+        f"WARC-Record-ID: <{own}>",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
@@ -97,47 +112,52 @@ def headers(block: bytes) -> dict[str, str]:
     return {"": first} | {k.lower(): v for k, _, v in (x.partition(": ") for x in rest if x)}
 
 
-def write_archives(classified: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(shard, data): gzip files, each one stream over many records."""
+def write_archives(classified: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes archives into the folder as its rows are computed: (path, records), one row for each file."""
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 32
-        packer, parts, size = zlib.compressobj(LEVEL, wbits=31), [], 0
-
-        def closed() -> pa.RecordBatch:
-            data = b"".join([*parts, packer.flush()])
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([data], pa.binary())], names=["shard", "data"])
+        fs, at = _open(folder)
+        fs.create_dir(at, recursive=True)
+        task, made = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0
+        name, out, packer, size, records = "", None, None, 0, 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal out
+            out.write(packer.flush())
+            out.close()
+            out = None
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records], pa.int64())], names=["path", "records"])
 
         for batch in batches:
             for page_id, url, payload, digest, rep in zip(*(batch.column(i) for i in range(5)), strict=True):
+                if out is None:
+                    name, made, size, records = f"whole-{task}-{made:06d}.warc.gz", made + 1, 0, 0
+                    out, packer = fs.open_output_stream(f"{at}/{name}", compression=None), zlib.compressobj(LEVEL, wbits=31)
                 b32 = base64.b32encode(bytes.fromhex(digest.as_py())).decode()
-                raw = record(page_id.as_py(), url.as_py(), payload.as_py(), b32, rep.as_py())
-                parts.append(packer.compress(raw))
-                size += len(raw)
-                if size >= shard_bytes:
-                    yield closed()
-                    shard, packer, parts, size = shard + 1, zlib.compressobj(LEVEL, wbits=31), [], 0
-        if size:
-            yield closed()
+                raw = record(page_id.as_py(), url.as_py(), payload.as_py(), b32, rep.as_py(), f"{name}:{records}")
+                out.write(packer.compress(raw))
+                size, records = size + len(raw), records + 1
+                if size >= archive_bytes:
+                    yield close()
+        if out is not None:
+            yield close()
 
-    return classified.select("page_id", "url", "payload", "digest", "rep").mapInArrow(written, "shard long, data binary")
+    return classified.select("page_id", "url", "payload", "digest", "rep").mapInArrow(written, "path string, records long")
 
 
 class _Inflated:
-    """Reads a gzip stream front to back, inflating no more than is asked for and a block."""
+    """Reads a gzip stream (read(n) gives bytes) front to back, inflating no more than is asked for and a block."""
 
-    def __init__(self, data: bytes, block: int = 1 << 20):
-        self.rest, self.block = data, block
+    def __init__(self, source, block: int = 1 << 20):
+        self.source, self.rest, self.block = source, b"", block
         self.stream, self.buffer = zlib.decompressobj(wbits=31), bytearray()
 
     def _more(self) -> bool:
-        if self.stream.eof:
-            self.rest = self.stream.unused_data or self.rest
-            if not self.rest:
-                return False
-            self.stream = zlib.decompressobj(wbits=31)
+        self.rest = self.rest or self.source.read(self.block)
         if not self.rest:
             return False
+        if self.stream.eof:
+            self.stream = zlib.decompressobj(wbits=31)
         self.buffer += self.stream.decompress(self.rest, self.block)
         self.rest = self.stream.unused_data if self.stream.eof else self.stream.unconsumed_tail
         return True
@@ -164,38 +184,46 @@ class _Inflated:
         return out
 
 
-def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, whole record) of each record of a gzip file of any number of members."""
-    stream = _Inflated(data)
+def split_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, whole record) of each record of a gzip file of any number of members, given as a stream."""
+    stream = _Inflated(source)
     while (head := stream.until(b"\r\n\r\n")) is not None:
         named = headers(head)
         body = stream.take(int(named["content-length"]) + 4)
         yield named, head + b"\r\n\r\n" + body
 
 
-def normalise(archives: DataFrame) -> DataFrame:
-    """(shard, data, index): the same records, each a gzip member of its own, and where each lies."""
+def _dealt(files: DataFrame) -> DataFrame:
+    """files, a task for each as far as MOST_TASKS go."""
+    return files.repartition(max(1, min(MOST_TASKS, files.count())), "path")
+
+
+def normalise(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes each archive of (path) anew with a member for every record, and its index: (path, index)."""
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = _open(folder)
+        fs.create_dir(at, recursive=True)
         for batch in batches:
-            for shard, data in zip(batch.column(0), batch.column(1), strict=True):
-                members, index, offset = [], [], 0
-                for named, raw in split_records(data.as_py()):
-                    member = gzip.compress(raw, LEVEL, mtime=0)
-                    page = named.get("x-page-id")
-                    index.append((offset, len(member), named["warc-type"], None if page is None else int(page)))
-                    members.append(member)
-                    offset += len(member)
-                kind = pa.list_(
-                    pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64())])
-                )
-                rows = [dict(zip(("offset", "length", "kind", "page_id"), x, strict=True)) for x in index]
+            for path in batch.column(0).to_pylist():
+                stem = f"{path.rsplit('/', 1)[-1].removesuffix('.warc.gz').removeprefix('whole-')}-{uuid.uuid4().hex}"
+                there, source = _open(path)
+                offset = 0
+                with (
+                    there.open_input_stream(source, compression=None) as whole,
+                    fs.open_output_stream(f"{at}/{stem}.warc.gz", compression=None) as out,
+                    fs.open_output_stream(f"{at}/{stem}.idx", compression=None) as index,
+                ):
+                    for named, raw in split_records(whole):
+                        member = gzip.compress(raw, LEVEL, mtime=0)
+                        out.write(member)
+                        index.write(f"{offset} {len(member)} {named['warc-type']} {named.get('x-page-id', '-')}\n".encode())
+                        offset += len(member)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard.as_py()]), pa.array([b"".join(members)], pa.binary()), pa.array([rows], kind)],
-                    names=["shard", "data", "index"],
+                    [pa.array([f"{folder}/{stem}.warc.gz"]), pa.array([f"{folder}/{stem}.idx"])], names=["path", "index"]
                 )
 
-    return archives.mapInArrow(rewritten, f"shard long, data binary, index {INDEX}")
+    return _dealt(archives.select("path")).mapInArrow(rewritten, "path string, index string")
 
 
 def read_records(normalised: DataFrame) -> DataFrame:
@@ -204,68 +232,66 @@ def read_records(normalised: DataFrame) -> DataFrame:
         "page_id long, url string, payload binary, payload_bytes long, payload_digest string, "
         "record_type string, refers_to long"
     )
+    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     number = lambda x: None if x is None else int(x)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, index in zip(batch.column(0), batch.column(1), strict=True):
-                view = memoryview(data.as_buffer())
-                columns: list[list] = [[] for _ in range(7)]
-                for entry in index.as_py():
-                    raw = gzip.decompress(view[entry["offset"] : entry["offset"] + entry["length"]])
-                    head, _, body = raw.partition(b"\r\n\r\n")
-                    http, _, payload = body[:-4].partition(b"\r\n\r\n")
-                    named = headers(head)
-                    digest = named["warc-payload-digest"].removeprefix("sha1:")
-                    revisit = named["warc-type"] == "revisit"
-                    size = int(headers(http)["content-length"])
-                    if not revisit:
-                        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != size:
-                            raise ValueError(f"record {named['warc-record-id']}: the payload does not match its digest")
-                    row = (
-                        number(named.get("x-page-id")),
-                        named.get("warc-target-uri"),
-                        None if revisit else payload,
-                        size,
-                        digest,
-                        named["warc-type"],
-                        number(named.get("x-refers-to-page-id")),
-                    )
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
-                kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                    names=[x.split()[0] for x in schema.split(", ")],
-                )
-
-    return normalised.select("data", "index").mapInArrow(read, schema)
+    def parsed(raw: bytes) -> tuple:
+        head, _, body = raw.partition(b"\r\n\r\n")
+        http, _, payload = body[:-4].partition(b"\r\n\r\n")
+        named = headers(head)
+        digest = named["warc-payload-digest"].removeprefix("sha1:")
+        revisit = named["warc-type"] == "revisit"
+        size = int(headers(http)["content-length"])
+        if not revisit:
+            if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != size:
+                raise ValueError(f"record {named['warc-record-id']}: the payload does not match its digest")
+        return (
+            number(named.get("x-page-id")), named.get("warc-target-uri"), None if revisit else payload, size, digest,
+            named["warc-type"], number(named.get("x-refers-to-page-id")),
+        )
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")]
+            )
 
-def export_archives(normalised: DataFrame, folder: str) -> None:
-    """Writes <shard>.warc.gz and <shard>.idx into a folder that every executor mounts, each by one rename."""
+        for batch in batches:
+            for path, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (fs, at), (there, listed) = _open(path), _open(index)
+                rows, size = [], 0
+                with fs.open_input_file(at) as members, there.open_input_stream(listed, compression=None) as lines:
+                    for line in _lines(lines):
+                        offset, length = map(int, line.split()[:2])
+                        rows.append(parsed(gzip.decompress(members.read_at(length, offset))))
+                        size += rows[-1][3]
+                        if size >= ARCHIVE_BYTES // 4:
+                            yield batch_of(rows)
+                            rows, size = [], 0
+                yield batch_of(rows)
 
-    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    return _dealt(normalised.select("path", "index")).mapInArrow(read, schema)
 
-        for batch in batches:
-            for shard, data, index in zip(*(batch.column(i) for i in range(3)), strict=True):
-                lines = "".join(f"{e['offset']} {e['length']} {e['kind']} {e['page_id']}\n" for e in index.as_py())
-                for suffix, content in ((".warc.gz", data.as_py()), (".idx", lines.encode())):
-                    path = f"{folder}/{shard.as_py():016x}{suffix}"
-                    with open(f"{path}.{uuid.uuid4().hex}", "wb") as f:
-                        f.write(content)
-                    os.replace(f.name, path)
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["shard"])
 
-    normalised.select("shard", "data", "index").mapInArrow(save, "shard long").count()
+def _lines(stream, block: int = 1 << 16) -> Iterator[bytes]:
+    rest = b""
+    while data := stream.read(block):
+        *whole, rest = (rest + data).split(b"\n")
+        yield from whole
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes all pages to archives, normalises these and reads every record back, without the payloads."""
-    whole = materialize(write_archives(classify(pages, id_col, url, html)), "warc-whole")
-    single = materialize(normalise(whole), "warc-members")
+    """Writes all pages to archives, normalises these and reads every record back, without the payloads.
+
+    The archives as first written are deleted once they are normalised.
+    """
+    spark = pages.sparkSession
+    first, second = new_path(spark, "warc-whole"), new_path(spark, "warc-members")
+    whole = materialize(write_archives(classify(pages, id_col, url, html), first), "warc-archives")
+    single = materialize(normalise(whole, second), "warc-normalised")
     discard(whole)
+    remove(spark, first)
     return read_records(single).drop("payload", "url")
 
 

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import io
 import math
 import re
 import time
@@ -298,7 +299,7 @@ def test_lattice_forgets_and_samples_the_same(monkeypatch):
     assert [[r[0].tolist() for r in rows] for rows in got] == [[r[0].tolist() for r in rows] for rows in want]
 
 
-def test_warc_round_trip(spark, monkeypatch):
+def test_warc_round_trip(spark, monkeypatch, tmp_path):
     rows = [
         (1, "http://a", "x"), (2, "http://b", "x"), (3, None, None), (4, "u\r\n", "é\r\n\r\n"), (None, "u", ""),
         (5, "u", "x" * 100000), (5, "u", "x" * 100000), (None, None, "zz"), (7, "q", ""),
@@ -319,8 +320,9 @@ def test_warc_round_trip(spark, monkeypatch):
         got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect())
         assert got == want
     assert warc.archive_round_trip(df.limit(0)).count() == 0
-    whole = warc.write_archives(warc.classify(df), shard_bytes=50)
-    found = warc.read_records(warc.normalise(whole)).collect()
+    whole = warc.write_archives(warc.classify(df), str(tmp_path / "whole"), archive_bytes=50).cache()
+    assert whole.agg(F.sum("records")).first()[0] == len(rows) and whole.count() >= 5
+    found = warc.read_records(warc.normalise(whole, str(tmp_path / "members")).cache()).collect()
     assert len(found) == len(rows)
     assert {(r.page_id, bytes(r.payload).decode()) for r in found if r.record_type == "response"} == {(2, "x"), (4, "é\r\n\r\n"), (5, "x" * 100000), (None, "zz"), (7, "")}
 
@@ -328,16 +330,29 @@ def test_warc_round_trip(spark, monkeypatch):
 def test_warc_members_stand_alone(spark, tmp_path):
     import gzip
 
-    df = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 50) for i in range(20)], "page_id long, url string, html string")
-    single = warc.normalise(warc.write_archives(warc.classify(df)))
-    warc.export_archives(single, str(tmp_path))
-    for path in tmp_path.glob("*.warc.gz"):
+    rows = [(i, f"http://h/{i}", f"<p>{i % 15}</p>" * 50) for i in range(20)] + [(None, None, "<p>1</p>" * 50)] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = warc.write_archives(warc.classify(df), f"file:{tmp_path}/whole").cache()
+    single = warc.normalise(whole, f"file:{tmp_path}/members").cache()
+    paths = [r.path for r in single.collect()]
+    assert sorted(p.name for p in (tmp_path / "members").glob("*.warc.gz")) == sorted(p.rsplit("/", 1)[-1] for p in paths)
+    ids = []
+    for path in (tmp_path / "members").glob("*.warc.gz"):
         data = path.read_bytes()
         lines = [x.split() for x in path.with_suffix("").with_suffix(".idx").read_text().splitlines()]
         members = [gzip.decompress(data[int(a) : int(a) + int(n)]) for a, n, *_ in lines]
         assert gzip.decompress(data) == b"".join(members) and all(m.startswith(b"WARC/1.1\r\n") for m in members)
+        heads = [warc.headers(m.partition(b"\r\n\r\n")[0]) for m in members]
+        assert [(h["warc-type"], h.get("x-page-id", "-")) for h in heads] == [(k, i) for _, _, k, i in lines]
+        ids += [h["warc-record-id"] for h in heads]
+    assert len(ids) == len(set(ids)) == len(rows)
+    for path in (tmp_path / "whole").glob("*.warc.gz"):  # one stream, not a member for each record
+        stream = zlib.decompressobj(wbits=31)
+        assert stream.decompress(path.read_bytes()).count(b"WARC/1.1\r\n") >= 1 and stream.eof and not stream.unused_data
     with pytest.raises(ValueError):
-        list(warc.split_records(gzip.compress(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")))
+        list(warc.split_records(io.BytesIO(gzip.compress(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort"))))
+    many = b"".join(gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n") for _ in range(3))
+    assert len(list(warc.split_records(io.BytesIO(many)))) == 3
 
 
 def test_folding():
