@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, one of our own."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where that is unset, a session whose executors are threads of the driver gets a folder of its own; a
+    cluster is refused, since a folder of one machine would lose the others' files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="octavo-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
