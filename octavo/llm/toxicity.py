@@ -8,8 +8,10 @@ sum of weights is normalised by the text's length in words, and a logistic curve
 weight, the strongest term and the rate of hits gives a score from 0 to 1.
 
 The lexicon is fitted on a bounded sample: at most SAMPLE_ROWS labelled rows, those with the smallest
-hash of their id. Everything else sees every row and every whole text; nothing is shuffled, and the
-model (at most MAX_TERMS terms) travels in the task closure.
+hash of their id. Their words are counted by grouped aggregation: copies of a document count once, and
+only terms over the threshold come to the driver, at most MAX_TERMS of them (the strongest; a warning says where
+more were over it), with three numbers for each row of the sample. Everything else sees every row and every
+whole text; nothing of that is shuffled, and the model travels in the task closure.
 
 Cases: a null or empty text has no hit and gets the score of none; a null id is kept, with held_out
 false; labels that are null are not used, of several labels of a row the largest is; equal rows each
@@ -20,8 +22,8 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import warnings
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octavo.llm.shared import tidy
 from octavo.llm.shingles import mix
+from octavo.plans.tables import discard, materialize, tidy
 
 SAMPLE_ROWS = 8000
 MAX_TERMS = 5000
@@ -107,8 +109,8 @@ def _automaton(lexicon: Lexicon):
 
 def hits(text: str | None, lexicon: Lexicon) -> tuple[int, list[float]]:
     """Number of words and the weights of the hits, the strongest one for each word start."""
-    folded = " " + " ".join(fold(text or "").split()) + " "
-    n = folded.count(" ") - 1
+    words = fold(text or "").split()
+    folded, n = " " + " ".join(words) + " ", len(words)
     automaton = _automaton(lexicon)
     if not hasattr(automaton, "iter") or not len(automaton):
         return n, []
@@ -136,69 +138,85 @@ def score(text: str | None, lexicon: Lexicon) -> tuple[float, int]:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(weights)
 
 
-def _slots(words: set[str]) -> list[tuple[int, ...]]:
+def _slots(words: list[str]) -> list[int]:
     """Keys of a set of words: smallest hashes in pairs, of which near copies share one almost surely."""
     h = np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint64)
-    least = mix(h[None, :] + _SALTS[:, None]).min(axis=1, initial=np.iinfo(np.uint64).max).tolist()
-    return [(k, *least[k : k + 2]) for k in range(0, len(least), 2)]
+    least = mix(h[None, :] + _SALTS[:, None]).min(axis=1, initial=np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        return mix(least[::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2] + _SALTS[::2]).view(np.int64).tolist()
 
 
-def _without_copies(documents: list[list[str]]) -> list[set[str]]:
-    """The documents without those whose set of words is at least COPY similar (Jaccard) to one that stays.
+def word_sets(rows: DataFrame) -> DataFrame:
+    """(row, y, words, slots): distinct folded words of each of rows (row, y, text), and the keys that copies share."""
 
-    Shared keys only propose pairs; the sets themselves decide.
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [sorted(set(fold(t.as_py() or "").split())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(words, pa.list_(pa.string())),
+                    pa.array([_slots(w) for w in words], pa.list_(pa.int64())),
+                ],
+                names=["row", "y", "words", "slots"],
+            )
+
+    return rows.select("row", "y", "text").mapInArrow(folded, "row long, y int, words array<string>, slots array<long>")
+
+
+def copies(sets: DataFrame, least: float = COPY) -> DataFrame:
+    """(row): those of (row, y, words, slots) whose set of words is at least so similar (Jaccard) to that of a
+    smaller row with the same label.
+
+    A row is compared with the smallest row of each of its slots, so no slot's rows are paired; shared
+    slots only propose, the sets themselves decide.
     """
-    out: list[set[str]] = []
-    having: dict[tuple[int, ...], list[int]] = {}
-    for document in documents:
-        words = set(document)
-        keys = _slots(words)
-        near = {i for k in keys for i in having.get(k, ())}
-        if not any((both := len(words & out[i])) >= COPY * (len(words) + len(out[i]) - both) for i in near):
-            for k in keys:
-                having.setdefault(k, []).append(len(out))
-            out.append(words)
-    return out
-
-
-def learn_terms(rows: list[tuple[int, list[str]]]) -> dict[str, float]:
-    """Terms from (label, distinct folded words) of documents.
+    slots = sets.select("row", "y", F.posexplode("slots").alias("k", "slot"))
+    hubs = slots.groupBy("y", "k", "slot").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = slots.join(hubs, ["y", "k", "slot"]).where("row <> hub").select("row", "hub").distinct()
+    theirs = sets.select(F.col("row").alias("hub"), F.col("words").alias("hub_words"))
+    met = pairs.join(sets.select("row", "words"), "row").join(theirs, "hub")
+    both = F.size(F.array_intersect("words", "hub_words"))
+    return met.where(both >= least * (F.size("words") + F.size("hub_words") - both)).select("row").distinct()
+
+
+def learn_terms(sets: DataFrame) -> dict[str, float]:
+    """Terms from (row, y, words, slots) of documents: distinct folded words and the label.
 
     Copies of a document count once. Whole words and stems of 4 to 10 letters whose documents are toxic far more often than chance (a
     likelihood ratio of 35 or more) with log odds of 2 or more. A longer term stays only where it
     says more than the stem it begins with.
     """
-    toxic, clean = _without_copies([w for y, w in rows if y]), _without_copies([w for y, w in rows if not y])
-
-    def grams(words: set[str], size: int) -> set[str]:
-        """Stems of a size; of size 0 whole words."""
-        return {f" {w[:size]}" for w in words if len(w) >= size} if size else {f" {w} " for w in words if len(w) > 2}
-
-    bad: dict[str, int] = {}
-    good: Counter[str] = Counter()
-    for size in (0, *range(4, 11)):  # one size at a time, since most are rare and soon dropped
-        counted = Counter(g for words in toxic for g in grams(words, size))
-        often = {g: a for g, a in counted.items() if a >= 5}
-        del counted
-        good.update(g for words in clean for g in grams(words, size) if g in often)
-        bad.update(often)
+    once = materialize(sets.join(F.broadcast(materialize(copies(sets), "toxicity-copies")), "row", "left_anti").select("y", "words"), "toxicity-once")
+    totals = once.agg(F.sum("y").alias("bad"), F.count("*").alias("n")).first()
+    n_bad, n_good = totals.bad or 0, totals.n - (totals.bad or 0)
     terms: dict[str, float] = {}
-    n_bad, n_good = len(toxic), len(clean)
     if n_bad and n_good:
-        share = n_bad / (n_bad + n_good)
-        for g in sorted(bad, key=len):
-            a, b = bad[g], good[g]
-            p = a / (a + b)
-            ratio = 2 * (a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0))
-            weight = math.log((a + 0.5) / (n_bad + 1)) - math.log((b + 0.5) / (n_good + 1))
-            if p > share and ratio >= 35 and weight >= 2:
-                stems = [terms[g[:k]] for k in range(5, len(g)) if g[:k] in terms]
-                if not stems or weight > max(stems) + 1:
-                    terms[g] = weight
+        whole = F.transform(F.filter("words", lambda w: F.length(w) > 2), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+        def stems(k: int):
+            return F.transform(F.filter("words", lambda w: F.length(w) >= k), lambda w: F.concat(F.lit(" "), F.substring(w, 1, k)))
+
+        grams = once.select("y", F.explode(F.array_distinct(F.concat(whole, *map(stems, range(4, 11))))).alias("g"))
+        counted = grams.groupBy("g").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
+        share, a, b = n_bad / (n_bad + n_good), F.col("a"), F.col("b")
+        p = a / (a + b)
+        rest = F.when(b > 0, b * F.log((1 - p) / (1 - share))).otherwise(F.lit(0.0))
+        weight = F.log((a + 0.5) / (n_bad + 1)) - F.log((b + 0.5) / (n_good + 1))
+        over = counted.where(a >= 5).where((p > share) & (2 * (a * F.log(p / share) + rest) >= 35) & (weight >= 2))
+        found = over.select("g", weight.alias("w")).orderBy(F.desc("w"), "g").limit(MAX_TERMS + 1).collect()
+        if len(found) > MAX_TERMS:
+            warnings.warn(f"more than {MAX_TERMS} terms; the weakest are left out", stacklevel=2)
+        for g, w in sorted(((r.g, r.w) for r in found[:MAX_TERMS]), key=lambda x: (len(x[0]), x[0])):
+            begun = [terms[g[:k]] for k in range(5, len(g)) if g[:k] in terms]
+            if not begun or w > max(begun) + 1:
+                terms[g] = w
+    discard(once)
     for word in SEEDS:
         if not any(f" {word} "[:k] in terms for k in range(4, len(word) + 3)):
             terms[f" {word} "] = 3.0
-    return dict(sorted(terms.items(), key=lambda x: -x[1])[:MAX_TERMS])
+    return dict(sorted(terms.items(), key=lambda x: -x[1]))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
@@ -239,44 +257,26 @@ def fit(
         .limit(sample_rows)
         .collect()
     )
-    if not chosen:
-        return Lexicon(learn_terms([]))
     spark = docs.sparkSession
-    sample = F.broadcast(spark.createDataFrame([(r.id, r.y) for r in chosen], f"id {docs.schema[id_col].dataType.simpleString()}, y int"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    sample = F.broadcast(spark.createDataFrame([(i, r.id, r.y) for i, r in enumerate(chosen)], f"row long, id {kind}, y int"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    read = slim.join(sample, "id").select("row", "y", "text")
+    sets = materialize(word_sets(read), "toxicity-words")
+    lexicon = Lexicon(learn_terms(sets))
+    discard(sets)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counted = [Counter(fold(t or "").split()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([list(c) for c in counted], pa.list_(pa.string())),
-                    pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())),
-                ],
-                names=["y", "words", "counts"],
-            )
+            x = pa.array([features(*hits(t.as_py(), lexicon)) for t in batch.column(2)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x], names=["row", "y", "x"])
 
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    read = slim.join(sample, "id").select("y", "text")
-    rows = read.mapInArrow(words, "y int, words array<string>, counts array<int>").toArrow()
+    # Rows that share an id are all read, so the sample's bound is on its ids.
+    rows = read.mapInArrow(measured, "row long, y int, x array<double>").orderBy("row", "x").toArrow()
     y = rows.column("y").to_numpy()
-    counts_of = rows.column("counts").to_pylist()
-    lists = rows.column("words").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    coded = lists.flatten().dictionary_encode()
-    known, codes = coded.dictionary.to_pylist(), coded.indices.to_pylist()  # equal words share one string
-    ends = np.cumsum([len(c) for c in counts_of]).tolist()
-    words_of = [[known[i] for i in codes[a:b]] for a, b in zip([0, *ends], ends, strict=False)]
-    del rows, lists, coded, codes
-    lexicon = Lexicon(learn_terms(list(zip(y.tolist(), words_of, strict=True))))
     if 0 < y.sum() < len(y):
-        x = []
-        for ws, cs in zip(words_of, counts_of, strict=True):
-            found: list[float] = []
-            for w, c in zip(ws, cs, strict=True):
-                found += [v for v in hits(w, lexicon)[1]] * c
-            x.append(features(sum(cs), found))
-        lexicon = Lexicon(lexicon.terms, lexicon.exceptions, fit_curve(np.array(x), y.astype(float)))
+        curve = fit_curve(np.array(rows.column("x").to_pylist()), y.astype(float))
+        lexicon = Lexicon(lexicon.terms, lexicon.exceptions, curve)
     return lexicon
 
 

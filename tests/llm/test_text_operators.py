@@ -386,13 +386,74 @@ def test_toxicity_learns_and_spares(spark):
     assert sorted(r.doc_id for r in picked) == held
 
 
-def test_only_copies_count_once():
+def test_only_copies_count_once(spark):
     """Unrelated documents that share a long word stay; equal and near equal ones are one."""
     rng = np.random.default_rng(4)
-    apart = [["commonplace", *(f"w{x}" for x in rng.integers(0, 10**6, 60))] for _ in range(50)]
+    letters = lambda x: "".join(chr(97 + int(c)) for c in str(x))
+    apart = [["commonplace", *(f"w{letters(x)}" for x in rng.integers(0, 10**6, 60))] for _ in range(50)]
     near = [[*d[:-2], "other"] for d in apart[:20]]
-    kept = toxicity._without_copies([*apart, *apart[:5], *near, [], []])
-    assert kept == [*map(set, apart), set()]
+    docs = [*apart, *apart[:5], *near, [], []]
+    df = spark.createDataFrame([(i, 1, " ".join(d)) for i, d in enumerate(docs)] + [(1000, 0, " ".join(apart[0]))], "row long, y int, text string")
+    sets = toxicity.word_sets(df)
+    assert {r.row: set(r.words) for r in sets.collect()} == {i: set(d) for i, d in enumerate(docs)} | {1000: set(apart[0])}
+    assert {r.row for r in toxicity.copies(sets).collect()} == {*range(50, 75), 76}
+
+
+def test_hits_equal_a_naive_matcher():
+    """Every term tried at every word's start of the folded text."""
+    rng = np.random.default_rng(6)
+    stems = ["ab", "abc", "ba", "cab", "bca", "aabb"]
+    terms = {f" {x}" + " " * int(rng.integers(0, 2)): float(rng.integers(1, 9)) for x in stems}
+    lexicon = toxicity.Lexicon(terms | {" abc ": 7.5}, ("cab ba", "ab c"))
+    for _ in range(400):
+        words = ["".join(rng.choice([*"abcABC4Áа"], int(rng.integers(1, 6)))) for _ in range(int(rng.integers(0, 30)))]
+        text = " , ".join(words)
+        folded = [w for w in toxicity.fold(text).split()]
+        line = " " + " ".join(folded) + " "
+        spared = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(line)) if line.startswith(f" {p} ", i)]
+        want = []
+        for i in (i for i, c in enumerate(line) if c == " "):
+            found = [w for t, w in lexicon.terms.items() if line.startswith(t, i)]
+            if found and not any(a <= i <= b for a, b in spared):
+                want.append(max(found))
+        n, got = toxicity.hits(text, lexicon)
+        assert n == len(folded) and sorted(got) == sorted(want)
+        x = toxicity.features(n, got)
+        z = lexicon.curve[0] + sum(a * b for a, b in zip(lexicon.curve[1:], x, strict=True))
+        assert toxicity.score(text, lexicon) == (pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z))))), len(want))
+
+
+def test_terms_equal_plain_counts(spark):
+    """The learned terms against the rule spelled out in Python over the sample's distinct documents."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice([*"abcdefgh"], int(rng.integers(3, 9)))) for _ in range(60)]
+    docs = []
+    for i in range(600):
+        toxic = int(i % 4 == 0)
+        text = list(rng.choice(words[10:], 25)) + (list(rng.choice(words[:10], 2)) if toxic or i % 40 == 1 else [])
+        docs.append((i, toxic, " ".join(text)))
+    sets = toxicity.word_sets(spark.createDataFrame(docs, "row long, y int, text string"))
+    gone = {r.row for r in toxicity.copies(sets).collect()}
+    count = {0: Counter(), 1: Counter()}
+    size = Counter()
+    for i, y, t in docs:
+        if i not in gone:
+            size[y] += 1
+            ws = set(t.split())
+            count[y].update({f" {w} " for w in ws if len(w) > 2} | {f" {w[:k]}" for w in ws for k in range(4, 11) if len(w) >= k})
+    share = size[1] / (size[0] + size[1])
+    want = {}
+    for g in sorted(count[1], key=lambda g: (len(g), g)):
+        a, b = count[1][g], count[0][g]
+        p = a / (a + b)
+        if a >= 5 and p > share:
+            ratio = 2 * (a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0))
+            weight = math.log((a + 0.5) / (size[1] + 1)) - math.log((b + 0.5) / (size[0] + 1))
+            stems = [want[g[:k]] for k in range(5, len(g)) if g[:k] in want]
+            if ratio >= 35 and weight >= 2 and (not stems or weight > max(stems) + 1):
+                want[g] = weight
+    got = toxicity.learn_terms(sets)
+    assert len(want) >= 5 and {g: w for g, w in got.items() if g.strip() not in toxicity.SEEDS} == pytest.approx(want)
 
 
 def test_toxicity_edge_cases(spark, edge, empty):
