@@ -47,7 +47,7 @@ LITERAL = "\ud800"
 CACHED_LENGTH = 40
 CACHED_NODES = 2_500_000
 #: Characters of a batch's texts that are sampled together.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 
 #: Underscores, carriage returns and a raised 2 are in the runs of other characters, since pieces join them to these.
 _CHUNK = re.compile(f"{SPACE}*[^\\W\\d_²]+|{SPACE}*(?:[^\\w\\s{SPACE}]|[_\\r²])+|{SPACE}*\\d|{SPACE}+|.", re.S)
