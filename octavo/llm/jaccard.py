@@ -30,8 +30,10 @@ Work on a group of n near copies that are not one class is n/BLOCK rows a docume
 
 Cases: a null or empty text, or one without words, has no shingle and links with nothing; a text
 with fewer than w words is one shingle; a row with a null id takes part in its class only, and its
-component is the class's; rows that share an id are one node, whatever their texts; equal rows each
-give a row; no rows give no rows; columns other than id and text are not read by jaccard_groups.
+component is the class's; so does a row whose id other rows carry with another set of shingles, since
+such an id names no document, and its component is its own id where its class has none; rows that
+share an id and a set are one node; equal rows each give a row; no rows give no rows; columns other
+than id and text are not read by jaccard_groups.
 """
 
 from __future__ import annotations
@@ -45,14 +47,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octavo.llm.components import connected_components
-from octavo.llm.shared import discard, materialize, tidy
 from octavo.llm.shingles import mix, shingle_sets
 from octavo.llm.tokens import forget
+from octavo.plans.tables import discard, materialize, tidy
 
 SAMPLE_DOCS = 8192
 ORDER_TOKENS = 1_000_000
 BROADCAST_IDS = 1_000_000
 BLOCK = 256
+#: Shingles of a block, about; a set with more is a block's worth alone.
+BLOCK_SHINGLES = 1 << 20
 #: Lists up to so many sets give pairs; shingles with longer lists are worth a place at the order's end.
 SHORT = 32
 #: Bins of a set's binned counts: a power of two, about one for BIN_SIZE shingles.
@@ -453,18 +457,32 @@ def _resolve(docs: DataFrame, clusters: DataFrame, width: int, num: int) -> Data
     )
 
 
+def _unnamed(scanned: DataFrame) -> DataFrame:
+    """scanned with column given, the id, and id made null where rows with that id have different sets."""
+    found = scanned.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("n", "s1", "s2")).alias("lo"), F.max(F.struct("n", "s1", "s2")).alias("hi"))
+    several = materialize(found.where("lo <> hi").select(F.col("id").alias("several")), "jaccard-several")
+    out = scanned.withColumn("given", F.col("id"))
+    n = several.count()
+    if not n:
+        return out
+    several = F.broadcast(several) if n <= BROADCAST_IDS else several
+    return out.join(several, F.col("id") == F.col("several"), "left").withColumn("id", F.expr("if(several IS NULL, id, NULL)")).drop("several")
+
+
 def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links), named (false where
+    the id is null or several sets of shingles carry it)."""
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     late, small = fit_order(slim, width, num)
     for again in range(RESCANS + 1):
         scanned = materialize(scan_sets(slim, width, num, small, late), "jaccard-sets")
+        stored, scanned = scanned, _unnamed(scanned)
         classes = materialize(
             scanned.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "jaccard-classes"
         )
         reps = classes.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "n", "s1", "s2")
         sets = materialize(
-            scanned.join(reps, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"]).drop("s1", "s2"),
+            scanned.join(reps, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"]).drop("s1", "s2", "given"),
             "jaccard-reps",
         )
         posted = sets.select("id", "n", F.posexplode("post").alias("pos", "t"))
@@ -475,7 +493,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, id_col: str =
             break
         more = long.orderBy(F.desc("count"), "t").limit(ORDER_TOKENS - len(late))
         late = np.union1d(late, _hashes(more))
-        discard(scanned, classes, sets, lists)
+        discard(stored, classes, sets, lists)
     met = materialize(
         posted.join(lists, "t").withColumn("crowded", F.expr(f"count > {BLOCK} OR late AND count > {SHORT}")), "jaccard-postings"
     )
@@ -488,8 +506,12 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, id_col: str =
     hubs = materialize(crowded.groupBy("t").agg(F.min("id").alias("hub")), "jaccard-hubs")
     candidates = materialize(pairs.union(crowded.join(hubs, "t").select(F.col("id").alias("a"), F.col("hub").alias("b"))), "jaccard-candidates")
     clusters = connected_components(candidates)
+    weighed = clusters.join(sets.select(F.col("id").alias("node"), "n"), "node")
     sized = materialize(
-        clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "jaccard-sizes"
+        weighed.groupBy("component").agg(
+            F.ceil(F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("blocks")
+        ),
+        "jaccard-sizes",
     )
     clusters = materialize(clusters.join(sized, "component"), "jaccard-clusters")
     edges = materialize(_resolve(slim, clusters, width, num).union(_light_edges(sets)), "jaccard-edges")
@@ -499,24 +521,31 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, id_col: str =
     )
     discard(met, lists, hubs, candidates, sized, clusters)
     found = materialize(found, "jaccard-groups").toDF("c_n", "c_1", "c_2", "component_id")
-    rows = scanned.select("id", "n", "s1", "s2").alias("d")
+    rows = scanned.select("given", "id", "n", "s1", "s2").alias("d")
     return rows.join(
         found, (F.col("n") == F.col("c_n")) & (F.col("s1") == F.col("c_1")) & (F.col("s2") == F.col("c_2")), "left"
-    ).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    ).select(
+        F.col("given").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "given").alias("component_id"),
+        F.col("id").isNotNull().alias("named"),
+    )
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, with one document of each group: that with the smallest id.
 
     Ids that go are broadcast up to BROADCAST_IDS and else joined by shuffle, so texts are shuffled
-    only then. Rows with a null id stay; of rows that share an id, one stays.
+    only then. Rows with a null id stay. Of rows that share an id and a set of shingles one stays; where rows with
+    one id have different sets, all stay, equal texts once.
     """
     groups = materialize(jaccard_groups(docs, width, num, id_col, text).where("doc_id IS NOT NULL"), "jaccard-kept")
     key = "octavo_id"
     while key in docs.columns:
         key += "_"
-    repeated = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("named").alias("named")).where("n > 1")
+    repeated = materialize(repeated.select(F.col("doc_id").alias(key), "named"), "jaccard-repeated")
+    gone = groups.where("named AND doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
     ids = F.col(f"`{id_col}`").cast("long")
 
     def minus(rows: DataFrame, out: DataFrame, how: str) -> DataFrame:
@@ -527,8 +556,9 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, id_col: str = "doc_
     many = repeated.count()
     if not many:
         return kept
-    once = minus(kept, few(repeated, many), "left_semi").dropDuplicates([id_col])
-    return minus(kept, few(repeated, many), "left_anti").unionByName(once)
+    once = minus(kept, few(repeated.where("named").select(key), many), "left_semi").dropDuplicates([id_col])
+    each = minus(kept, few(repeated.where("NOT named").select(key), many), "left_semi").dropDuplicates([id_col, text])
+    return minus(kept, few(repeated.select(key), many), "left_anti").unionByName(once).unionByName(each)
 
 
 def oracle_sql(width: int, num: int) -> str:

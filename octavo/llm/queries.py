@@ -17,7 +17,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(_read(spark, sf_dir, "documents"), width=3, num=90)
+    return jaccard.jaccard_groups(_read(spark, sf_dir, "documents"), width=3, num=90).drop("named")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,25 @@ def test_edge_cases(edge, empty):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 8, 9, 10]
 
 
+def test_ids_that_several_texts_carry(spark):
+    """Such rows lose nothing and name no group; their copies elsewhere still are one group."""
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t u"
+    rows = [(9, a), (9, b), (9, b), (3, b), (5, b), (7, a), (7, a), (8, None), (8, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.named) for r in jaccard.jaccard_groups(df).collect())
+    assert found == sorted([(9, 6, 7, False), (9, 7, 3, False), (9, 7, 3, False), (3, 7, 3, True), (5, 7, 3, True), (7, 6, 7, True), (7, 6, 7, True), (8, 0, 8, False), (8, 1, 8, False)])
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(df).collect()), key=str)
+    assert kept == sorted([(9, a), (9, b), (3, b), (7, a), (8, None), (8, "x y z")], key=str)
+
+
+def test_long_sets_part_their_cluster(spark, monkeypatch):
+    """Blocks are bounded by shingles, and blocks still find every link."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 60)
+    rows = corpus(6, 80)
+    found = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows, 3, 90)
+
+
 def test_least_overlap_is_exact():
     for num in (50, 80, 90):
         for a in range(1, 60):
