@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its result is
 written as Parquet and read again as the next stage's docs. Every stage but the last returns the
 columns of documents.
+
+Cases, for every stage: a null text is empty and stays null where the row is kept; a row with a null id is
+decided like any other and is no copy of others; equal rows are decided alike, and one of those that
+share an id stays (all, where their texts differ); columns beyond those of documents pass through, whatever
+their names; a table without rows gives one. Stages that learn from labels keep all rows where there are none.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octavo.llm import jaccard, packing, quality, secrets, toxicity
-from octavo.llm.shared import bound_batches, materialize
+from octavo.plans.tables import bound_batches, materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

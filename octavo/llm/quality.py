@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from octavo.llm.shared import materialize, tidy
+from octavo.plans.tables import materialize, tidy
 from octavo.llm.tokens import forget
 
 SAMPLE_ROWS = 8000

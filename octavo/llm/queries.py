@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octavo.llm import gumbel, jaccard, neardup, packing, quality, secrets, separators, topk, toxicity, warc
-from octavo.llm.shared import bound_batches
+from octavo.plans.tables import bound_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

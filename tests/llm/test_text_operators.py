@@ -495,6 +495,61 @@ def test_quality_posteriors_shrink(spark):
     assert prior < got["one", "a"] < got["big", "a"]
 
 
+def plain_posteriors(rows):
+    """(host, path) -> posterior, and the prior, of (host, path, log odds) by the formula in plain Python."""
+    prob = lambda z: 1 / (1 + math.exp(-z))
+    paths, hosts = {}, {}
+    for h, p, z in rows:
+        for groups, key in ((paths, (h, p)), (hosts, h)):
+            bad, n = groups.get(key, (0.0, 0))
+            groups[key] = bad + prob(z), n + 1
+    prior = sum(b for b, _ in hosts.values()) / len(rows)
+
+    def strength(groups):
+        n = sum(x for _, x in groups.values())
+        if len(groups) < 2 or not 0 < prior < 1:
+            return 1000.0
+        spread = sum(x * (b / x - prior) ** 2 for b, x in groups.values())
+        between = (spread - (len(groups) - 1) * prior * (1 - prior)) / (n - sum(x * x for _, x in groups.values()) / n)
+        return min(1e6, max(1.0, prior * (1 - prior) / between - 1)) if between > 1e-12 else 1e6
+
+    k_host, k_path = strength(hosts), strength(paths)
+    host = {h: (b + k_host * prior) / (n + k_host) for h, (b, n) in hosts.items()}
+    return {(h, p): (b + k_path * host[h]) / (n + k_path) for (h, p), (b, n) in paths.items()}, prior
+
+
+def test_quality_equals_the_plain_formula(spark, monkeypatch):
+    """Posteriors, final probabilities and decisions against the formula, null and clashing names included."""
+    rng = np.random.default_rng(9)
+    hosts, paths = [None, "", "a", "b", "c.d"], [None, "x", "y"]
+    rows = [(hosts[int(rng.integers(0, 5))], paths[int(rng.integers(0, 3))], float(rng.normal(1.5 if i % 3 else -2, 2))) for i in range(400)]
+    want, prior = plain_posteriors(rows)
+    sites, got = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, log_odds double"))
+    assert got == pytest.approx(prior) and {(r.host, r.path): r.posterior for r in sites.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    for few in ([("a", "x", 1.0)], [("a", "x", 20.0), ("b", "x", 20.0)], [("a", "x", 0.0)] * 4 + [("b", "y", 0.0)] * 4):
+        want, prior = plain_posteriors(few)
+        sites, _ = quality.site_posteriors(spark.createDataFrame(few, "host string, path string, log_odds double"))
+        assert {(r.host, r.path): r.posterior for r in sites.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    words = ["alpha", "beta", "GAMMA", "!!", "12", "the"]
+    texts = [(i, " ".join(rng.choice(words, int(rng.integers(0, 60)))), h, p) for i, (h, p, _) in enumerate(rows)] + [(None, None, None, None), (7, "", "a", "x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string, lang string")
+    model = quality.Classifier()
+    model.beta = rng.normal(size=len(model.beta)) / 8
+    model.beta[0] -= np.median(model.log_odds([t for _, t, _, _ in texts]))
+    odds = model.log_odds([t for _, t, _, _ in texts])
+    want, prior = plain_posteriors([(h, p, z) for (_, _, h, p), z in zip(texts, odds, strict=True)])
+    shift = lambda h, p: math.log(want[h, p] / (1 - want[h, p])) - math.log(prior / (1 - prior))
+    low = [1 / (1 + math.exp(-(z + shift(h, p)))) for (_, _, h, p), z in zip(texts, odds, strict=True)]
+    by_id = lambda x: sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    for limit in (quality.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", limit)
+        found = by_id((r.doc_id, r.p_low, r.kept) for r in quality.score_quality(docs, model).collect())
+        assert [(a, b) for a, b, _ in found] == [(a, pytest.approx(b, abs=1e-8)) for a, b in by_id((t[0], x) for t, x in zip(texts, low, strict=True))]
+        assert all(kept == (p < quality.REJECT) for _, p, kept in found if abs(p - quality.REJECT) > 1e-7)
+        kept = quality.keep_good(docs, model)
+        assert 0 < kept.count() < len(texts) and kept.count() == sum(k for _, _, k in found)
+
+
 def test_quality_edge_cases(spark, edge, empty, monkeypatch):
     labels = spark.createDataFrame([(1, 1), (8, 0), (4, None), (None, 0)], "doc_id long, quality int")
     for limit in (quality.BROADCAST_ROWS, 0):
