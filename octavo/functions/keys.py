@@ -45,8 +45,12 @@ def level_of(detail: Column, levels: int) -> Column:
 
 
 def cell_index(c: Column, low: float, side: float, level: int) -> Column:
-    """Index of a coordinate among 2**level halves of halves; a midpoint goes high, the far face is the last."""
+    """Index of a coordinate among 2**level halves of halves; a midpoint goes high, the far face is the last.
+
+    In a cube without extent all is in cell 0."""
     n = 2**level
+    if not side:
+        return F.when(c.isNotNull(), F.lit(0).cast("long"))
     i = F.floor((c - F.lit(low)) / F.lit(side / n))
     return F.greatest(F.least(i, F.lit(n - 1)), F.lit(0)).cast("long")
 
@@ -54,6 +58,8 @@ def cell_index(c: Column, low: float, side: float, level: int) -> Column:
 def low_index(c: Column, low: float, side: float, level: int) -> Column:
     """The same with midpoints going low, as in the partition tree."""
     n = 2**level
+    if not side:
+        return F.when(c.isNotNull(), F.lit(0).cast("long"))
     i = F.ceil((c - F.lit(low)) / F.lit(side / n)) - F.lit(1)
     return F.greatest(F.least(i, F.lit(n - 1)), F.lit(0)).cast("long")
 

@@ -1,4 +1,9 @@
-"""Levels of detail: by a continuous random level, or by a grid filter that keeps points near cell centres."""
+"""Levels of detail: by a continuous random level, or by a grid filter that keeps points near cell centres.
+
+Cases: the grid filter leaves out points with a null or NaN coordinate; a null colour is a colour like others;
+equal points all stay, at the levels that have room for them; no points give no rows; columns other than
+the point's are not read by the grid filter and pass through elsewhere, but for level, node_key and the cells'.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from octavo.functions import keys
-from octavo.plans.tables import discard, materialize
+from octavo.operators.octree import placed as with_place
+from octavo.plans.tables import discard, materialize, repeat_rows
 
 POINT = ("x", "y", "z", "r", "g", "b")
 
@@ -35,7 +41,8 @@ def grid_cells(points: DataFrame, corner, side: float, level: int, cells: int =
     width = side / cells / 2**level
     out = points
     for a, low in zip("xyz", corner, strict=True):
-        out = out.withColumn(f"c{a}", F.floor((F.col(a) - F.lit(low)) / F.lit(width)).cast("long"))
+        index = F.floor((F.col(a) - F.lit(low)) / F.lit(width)) if width else F.when(F.col(a).isNotNull(), 0)
+        out = out.withColumn(f"c{a}", index.cast("long"))
     off = [F.col(a) - ((F.col(f"c{a}") + F.lit(0.5)) * F.lit(width) + F.lit(low)) for a, low in zip("xyz", corner, strict=True)]
     packed = F.shiftleft(F.col("cx"), 42).bitwiseOR(F.shiftleft(F.col("cy"), 21)).bitwiseOR(F.col("cz"))
     return out.withColumn("cell", packed).withColumn("dist", F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2]))
@@ -50,11 +57,13 @@ def grid_lod(
     the point nearest its centre (ties by x, y, z, r, g, b) and the others sink. Points at max_level
     stay. Equal points are one row with a multiplicity until the end, so a cell's best point is a
     pre-aggregated minimum; a node's count is a sum over its cells, of which there are at most
-    cells**3, and no task ever gathers a node's or a cell's points. Each level's cell table and
-    survivors are written, which also bounds the plan.
+    cells**3, and no task ever gathers a node's or a cell's points. Each level's cells and the points met with
+    them are written, which also bounds the plan; the next level reads what sinks from there. A table of
+    cells that is small meets the points by broadcast.
     """
     room = cells**3 if capacity is None else capacity
-    rest = materialize(points.groupBy(*POINT).agg(F.count("*").alias("n")), "lod-points")
+    rest = materialize(with_place(points).groupBy(*POINT).agg(F.count("*").alias("n")), "lod-points")
+    first = rest
     kept: list[DataFrame] = []
     for level in range(max_level + 1):
         placed = grid_cells(rest, corner, side, level, cells).drop("cell")
@@ -73,18 +82,19 @@ def grid_lod(
         met = placed.join(marked, cell)
         is_best = F.struct("dist", *POINT).eqNullSafe(F.col("best"))
         stays = F.when(~F.col("full"), F.col("n")).when(is_best, F.lit(1)).otherwise(F.lit(0))
-        split = materialize(met.withColumn("stays", stays.cast("long")), "lod-split")
-        kept.append(split.where("stays > 0").select(*stay, F.col("stays").alias("n")))
-        left = split.where("n > stays").select(*POINT, (F.col("n") - F.col("stays")).alias("n"))
-        sunk = materialize(left, "lod-points")
-        discard(marked, rest)
-        rest = sunk
+        split = materialize(met.select(*stay, "n", stays.cast("long").alias("stays")), "lod-split")
+        kept.append(split.where("stays > 0").select(*POINT, "level", "node_key", F.col("stays").alias("n")))
+        discard(marked)
+        rest = split.where("n > stays").select(*POINT, (F.col("n") - F.col("stays")).alias("n"))
+        if first is not None:
+            discard(first)
+            first = None
         if not rest.limit(1).count():
             break
     out = kept[0]
     for part in kept[1:]:
         out = out.union(part)
-    return out.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+    return repeat_rows(out, "n")
 
 
 def _parent(cell: str, cells: int):

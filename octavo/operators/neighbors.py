@@ -1,37 +1,44 @@
-"""Neighbourhoods of points in cubes, by a join on grid cells, and what is computed from them."""
+"""Neighbourhoods of points in cubes, by a join on grid cells, and what is computed from them.
+
+Cases: points with a null or NaN coordinate have no place and are left out, here and as neighbours; points of
+one place are one row with a multiplicity; a search cube without extent is refused; no points give no
+rows; columns other than the coordinates are not read, but by load_order, which passes them through.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AXES = ("x", "y", "z")
-
+from octavo.operators.octree import placed
+from octavo.plans.tables import repeat_rows
 
-def _cell(axis: str, width: float) -> Column:
-    return F.floor(F.col(axis) / F.lit(width)).cast("long")
+AXES = ("x", "y", "z")
 
 
 def neighbour_pairs(points: DataFrame, side: float) -> DataFrame:
     """x, y, z, m and nx, ny, nz, nm: each place with each place in the closed cube of that side round it.
 
     Points of one place are one row with a multiplicity (m, nm), so a place that many points share
-    does not pair with itself over and over. Cells are half the cube's side, so neighbours are in the
-    27 cells round a place and few of the rows that meet fail the exact test.
+    does not pair with itself over and over. Cells are as wide as the cube, so a place asks in the two cells
+    of each axis that its cube touches: at most 8 copies of it are shuffled, and cells where places are dense
+    are split by Spark's skew join.
     """
     if side <= 0:
         raise ValueError("the search cube has no extent")
     half = side / 2
-    width = half * (1 + 1e-9)
-    places = points.groupBy(*AXES).agg(F.count("*").alias("m"))
-    here = places.select(*AXES, "m", *[_cell(a, width).alias(f"c{a}") for a in AXES])
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    there = here.select(*[F.col(a).alias(f"n{a}") for a in AXES], F.col("m").alias("nm"), "cx", "cy", "cz")
+    width = F.lit(side * (1 + 1e-9))
+    cell = lambda c: F.floor(c / width).cast("long")
+    places = placed(points).groupBy(*AXES).agg(F.count("*").alias("m"))
+    there = places.select(*[F.col(a).alias(f"n{a}") for a in AXES], F.col("m").alias("nm"), *[cell(F.col(a)).alias(f"c{a}") for a in AXES])
+    # A hair more than half, since the rounded edge may lie in the next cell.
+    reach = half * (1 + 1e-12)
+    here = places
     for a in AXES:
-        here = here.withColumn("step", F.explode(near)).withColumn(f"c{a}", F.col(f"c{a}") + F.col("step")).drop("step")
+        slack = F.abs(F.col(a)) * 1e-15 + reach
+        here = here.withColumn(f"c{a}", F.explode(F.sequence(cell(F.col(a) - slack), cell(F.col(a) + slack))))
     within = None
     for a in AXES:
         c = F.abs(F.col(f"n{a}") - F.col(a)) <= F.lit(half)
@@ -61,36 +68,62 @@ def covariances(points: DataFrame, side: float) -> DataFrame:
     return sums.select(*AXES, "m", "n", *[cov(a, b).alias(f"c{a}{b}") for a, b in pairs])
 
 
-def normals(points: DataFrame, side: float) -> DataFrame:
-    """x, y, z, m, n, normal_x, normal_y, normal_z: direction of the least spread of each neighbourhood.
+#: Components that differ by less are alike when the sign is chosen.
+ALIKE = 1e-6
 
-    All neighbours count. Its largest component is positive; below three points it is (0, 0, 0).
-    """
-    import numpy as np
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            c = f[["cxx", "cxy", "cxz", "cyy", "cyz", "czz"]].fillna(0.0).to_numpy()
-            full = c[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-            v = np.linalg.eigh(full)[1][:, :, 0] if len(full) else np.empty((0, 3))
-            top = np.take_along_axis(v, np.abs(v).argmax(axis=1)[:, None], axis=1)
-            v = v * np.where(top < 0, -1.0, 1.0)
-            v[f["n"].to_numpy() < 3] = 0.0
-            yield f[[*AXES, "m", "n"]].assign(normal_x=v[:, 0], normal_y=v[:, 1], normal_z=v[:, 2])
 
-    schema = "x double, y double, z double, m long, n long, normal_x double, normal_y double, normal_z double"
-    return covariances(points, side).mapInPandas(solve, schema)
+def normals(points: DataFrame, side: float, least_gap: float = 1e-9) -> DataFrame:
+    """x, y, z, m, n, normal_x, normal_y, normal_z, spread_gap: direction of the least spread of each neighbourhood.
 
-
-def normal_lines(found: DataFrame) -> DataFrame:
-    """value: "x y z[nx, ny, nz]", once for each point, as the text sink writes it."""
+    All neighbours count. The first of the largest components is positive. spread_gap is how far the least
+    eigenvalue lies below the next, as a share of the largest: the smaller it is, the less certain is the
+    direction. Below three points, or where the gap is not over least_gap (places on a line, or as wide in
+    two directions), the normal is (0, 0, 0). Eigenvalues come in closed form, so all is one expression a row.
+    """
+    found = covariances(points, side).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")})
+    a, b, c, d, e, f = (F.col(x) for x in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz"))
+    mean = (a + d + f) / 3
+    found = found.withColumn("octavo_mean", mean)
+    q = F.col("octavo_mean")
+    off = b * b + c * c + e * e
+    found = found.withColumn("octavo_p", F.sqrt(((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2 * off) / 6))
+    p = F.col("octavo_p")
+    det = (a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)
+    ratio = F.greatest(F.least(F.try_divide(det, 2 * p * p * p), F.lit(1.0)), F.lit(-1.0))
+    found = found.withColumn("octavo_angle", F.when(p > 0, F.acos(ratio) / 3).otherwise(0.0))
+    high = q + 2 * p * F.cos(F.col("octavo_angle"))
+    low = q + 2 * p * F.cos(F.col("octavo_angle") + F.lit(2 * math.pi / 3))
+    found = found.withColumns({"octavo_high": high, "octavo_low": low})
+    root = F.col("octavo_low")
+    gap = F.coalesce(F.try_divide(3 * q - F.col("octavo_high") - 2 * root, F.col("octavo_high")), F.lit(0.0))
+    rows = ((a - root, b, c), (b, d - root, e), (c, e, f - root))
+    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    made = []
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        v = cross(rows[i], rows[j])
+        made.append(F.struct((v[0] * v[0] + v[1] * v[1] + v[2] * v[2]).alias("s"), *[x.alias(k) for x, k in zip(v, AXES, strict=True)]))
+    found = found.withColumn("spread_gap", gap).withColumn("octavo_v", F.greatest(*made))
+    v = F.col("octavo_v")
+    sized = [F.try_divide(v[k], F.sqrt(v["s"])) for k in AXES]
+    found = found.withColumn("octavo_u", F.struct(*[x.alias(k) for x, k in zip(sized, AXES, strict=True)]))
+    u = F.col("octavo_u")
+    most = F.greatest(*[F.abs(u[k]) for k in AXES]) - ALIKE
+    lead = F.when(F.abs(u["x"]) >= most, u["x"]).when(F.abs(u["y"]) >= most, u["y"]).otherwise(u["z"])
+    known = (F.col("n") >= 3) & (F.col("spread_gap") > least_gap) & (v["s"] > 0)
+    normal = [F.when(known, F.when(lead < 0, -u[k]).otherwise(u[k])).otherwise(0.0).alias(f"normal_{k}") for k in AXES]
+    return found.select(*AXES, "m", "n", *normal, "spread_gap")
+
+
+def normal_lines(found: DataFrame, digits: int | None = None) -> DataFrame:
+    """value: "x y z[nx, ny, nz]", once for each point, as the text sink writes it; normals to so many digits."""
+    shown = lambda c: c if digits is None else F.floor(c * 10**digits + F.lit(0.5)) / F.lit(10.0**digits)
     line = F.concat(
         F.concat_ws(" ", *[F.col(a).cast("string") for a in AXES]),
         F.lit("["),
-        F.concat_ws(", ", *[F.col(f"normal_{a}").cast("string") for a in AXES]),
+        F.concat_ws(", ", *[shown(F.col(f"normal_{a}")).cast("string") for a in AXES]),
         F.lit("]"),
     )
-    return found.select(line.alias("value"), "m").select("value", F.explode(F.sequence(F.lit(1), "m")).alias("i")).drop("i")
+    return repeat_rows(found.select(line.alias("value"), "m"), "m")
 
 
 def load_order(points: DataFrame, region: tuple[float, ...], width: float) -> DataFrame:

@@ -1,4 +1,14 @@
-"""Space partitions from an octree of counts, lookups in them, and a k-d tree."""
+"""Space partitions from an octree of counts, lookups in them, and a k-d tree.
+
+Lookups are joins on node keys, never of every element with every leaf: a leaf is entered under its own
+key and its ancestors', and an element asks under the keys of the nodes that it touches at the level of
+its own size, and of their ancestors.
+
+Cases: elements with a null or NaN coordinate (or a null box) are in no partition and are left out;
+elements outside the tree's cube count and are placed by the nearest node; no elements give one empty
+leaf, the root; columns of the input pass through, except that node_key, partition_id and is_local are
+written anew.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +20,11 @@ from pyspark.sql import functions as F
 from octavo.functions import boxes, keys
 from octavo.plans.tables import discard, materialize
 
-#: Leaves up to so many are broadcast; partitions are few by design, so more are refused.
+#: Rows of a table of leaves that are still broadcast; larger ones are joined by shuffle.
+BROADCAST_LEAVES = 200_000
+#: Leaves of a k-d tree, whose nodes are on the driver.
 MOST_LEAVES = 200_000
+AXES = ("x", "y", "z")
 
 
 @dataclass(frozen=True)
@@ -24,10 +37,29 @@ class Split:
     max_level: int
 
 
-def _codes(points: DataFrame, tree: Split) -> DataFrame:
-    """points with the key of the deepest node; midpoints go low here."""
-    index = [keys.low_index(F.col(a), low, tree.side, tree.max_level) for a, low in zip("xyz", tree.corner, strict=True)]
-    return points.withColumn("deep_key", keys.key_of_index(*index, tree.max_level))
+def placed(points: DataFrame) -> DataFrame:
+    """points without those that have no place: a null or NaN coordinate."""
+    ok = F.lit(True)
+    for a in AXES:
+        ok = ok & F.col(a).isNotNull() & ~F.isnan(a)
+    return points.where(ok)
+
+
+def _deep_key(tree: Split):
+    """Key of the deepest node that holds a point; midpoints go low here."""
+    index = [keys.low_index(F.col(a), low, tree.side, tree.max_level) for a, low in zip(AXES, tree.corner, strict=True)]
+    return keys.key_of_index(*index, tree.max_level)
+
+
+def _numbered(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """rows with a number from 0 on in the order of the key, by ranges of keys and their sizes."""
+    ranged = rows.repartitionByRange(key).withColumn("octavo_range", F.spark_partition_id())
+    kept = materialize(ranged, "numbered")
+    sizes = kept.groupBy("octavo_range").agg(F.count("*").alias("octavo_held"))
+    before = Window.orderBy("octavo_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("octavo_range", F.coalesce(F.sum("octavo_held").over(before), F.lit(0)).alias("octavo_start"))
+    place = F.row_number().over(Window.partitionBy("octavo_range").orderBy(key)) - 1
+    return kept.join(F.broadcast(starts), "octavo_range").withColumn(number, (place + F.col("octavo_start")).cast("int")).drop("octavo_range", "octavo_start")
 
 
 def leaves(elements: DataFrame, tree: Split) -> DataFrame:
@@ -36,7 +68,7 @@ def leaves(elements: DataFrame, tree: Split) -> DataFrame:
     Counts of the deepest nodes are aggregated once and summed upward; a node splits where it has more
     than max_elements, and every child of a split node exists.
     """
-    deep = _codes(elements, tree).groupBy("deep_key").agg(F.count("*").alias("n"))
+    deep = placed(elements).groupBy(_deep_key(tree).alias("deep_key")).agg(F.count("*").alias("n"))
     prefixes = F.transform(F.sequence(F.lit(0), F.lit(tree.max_level)), lambda k: F.substring(F.col("deep_key"), F.lit(1), k + 1))
     nodes = deep.select(F.explode(prefixes).alias("node_key"), "n").groupBy("node_key").agg(F.sum("n").alias("n"))
     split = (F.col("n") > tree.max_elements) & (keys.key_level(F.col("node_key")) < tree.max_level)
@@ -46,56 +78,116 @@ def leaves(elements: DataFrame, tree: Split) -> DataFrame:
     root = elements.sparkSession.createDataFrame([("r",)], "node_key string")
     every = children.union(root).join(nodes, "node_key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     found = every.where(~split).withColumn("level", keys.key_level(F.col("node_key")))
-    order = Window.partitionBy(F.lit(0)).orderBy("node_key")
-    return found.select(
-        (F.row_number().over(order) - 1).cast("int").alias("partition_id"),
-        "node_key",
-        "level",
-        "n",
-        keys.node_box(F.col("node_key"), tree.corner, tree.side).alias("region"),
-    )
+    region = keys.node_box(F.col("node_key"), tree.corner, tree.side).alias("region")
+    return _numbered(found, "node_key", "partition_id").select("partition_id", "node_key", "level", "n", region)
+
+
+def sampled_split(points: DataFrame, corner, side: float, partitions: int, fraction: float = 0.01, seed: int = 0, u: str | None = None):
+    """The sample without replacement, and the Split that cuts it in about so many partitions, as deep as partitions at most.
+
+    u names a column of uniform numbers in [0, 1) that decides which rows are in the sample; without it Spark draws.
+    """
+    sample = placed(points).where(F.col(u) < fraction) if u else placed(points).sample(False, fraction, seed)
+    return sample, Split(corner, side, max(1, sample.count() // partitions), min(partitions, 20))
 
 
-def sampled_leaves(points: DataFrame, corner, side: float, partitions: int, fraction: float = 0.01, seed: int = 0) -> DataFrame:
-    """Leaves for about so many partitions from a sample without replacement, as deep as partitions at most."""
-    sample = points.sample(False, fraction, seed)
-    most = max(1, sample.count() // partitions)
-    return leaves(sample, Split(corner, side, most, min(partitions, 20)))
+def sampled_leaves(points: DataFrame, corner, side: float, partitions: int, fraction: float = 0.01, seed: int = 0, u: str | None = None) -> DataFrame:
+    """Leaves of sampled_split(); n counts the sample."""
+    return leaves(*sampled_split(points, corner, side, partitions, fraction, seed, u))
 
 
-def _few(parts: DataFrame) -> DataFrame:
-    n = parts.count()
-    if n > MOST_LEAVES:
-        raise ValueError(f"{n} partitions; at most {MOST_LEAVES} can be looked up")
-    return F.broadcast(parts)
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, marked for broadcast where they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LEAVES else rows
+
+
+def _levels(parts: DataFrame) -> list[int]:
+    return [r.level for r in parts.select("level").distinct().orderBy("level").collect()]
 
 
 def assign_partitions(points: DataFrame, parts: DataFrame, tree: Split) -> DataFrame:
-    """points with node_key and partition_id of the leaf that holds them: the one prefix that is a leaf."""
-    prefixes = F.transform(F.sequence(F.lit(0), F.lit(tree.max_level)), lambda k: F.substring(F.col("deep_key"), F.lit(1), k + 1))
-    exploded = _codes(points, tree).withColumn("node_key", F.explode(prefixes)).drop("deep_key")
-    return exploded.join(_few(parts.select("node_key", "partition_id")), "node_key")
+    """points with node_key and partition_id of the leaf that holds them: the one prefix that is a leaf, tried at the
+    levels that have leaves."""
+    prefixes = [F.substring(F.col("octavo_key"), 1, k + 1) for k in _levels(parts)]
+    asked = placed(points).drop("node_key", "partition_id").withColumn("octavo_key", _deep_key(tree))
+    exploded = asked.withColumn("node_key", F.explode(F.array(*prefixes))).drop("octavo_key")
+    return exploded.join(_small(parts.select("node_key", "partition_id")), "node_key")
 
 
-def lookup_partitions(objects: DataFrame, parts: DataFrame, region: str = "box") -> DataFrame:
+def _touching(objects: DataFrame, box, parts: DataFrame, tree: Split) -> DataFrame:
+    """objects with octavo_box joined to partition_id and octavo_region of every leaf that the box touches.
+
+    A box asks at the level whose nodes are as wide as it is, so it touches few of them (8, or 27 where it
+    ends on their faces).
+    """
+    deepest = max(_levels(parts), default=0)
+    known = objects.withColumn("octavo_box", box)
+    known = known.where(boxes.is_valid(F.col("octavo_box")))
+    b, last = F.col("octavo_box"), F.lit(deepest)
+    width = F.greatest(*[boxes.side(b, a) for a in AXES])
+    fitting = F.coalesce(F.floor(F.log2(F.try_divide(F.lit(float(tree.side)), width))), last)
+    level = F.greatest(F.least(fitting, last), F.lit(0)).cast("int")
+    cell = F.lit(tree.side) / F.pow(F.lit(2.0), F.col("octavo_level").cast("double"))
+    most = F.pow(F.lit(2.0), F.col("octavo_level").cast("double")) - 1
+
+    def indices(a: str, low: float):
+        """Nodes along an axis that the box touches, a little more for rounding."""
+        if not tree.side:
+            return F.array(F.lit(0).cast("long"))
+        index = lambda c, by: F.least(F.greatest(F.floor((c - F.lit(low)) / cell + F.lit(by)), F.lit(0)), most).cast("long")
+        return F.sequence(index(b[f"l{a}"], -1e-9), index(b[f"u{a}"], 1e-9))
+
+    asked = known.withColumn("octavo_level", level)
+    for a, low in zip(AXES, tree.corner, strict=True):
+        asked = asked.withColumn(f"octavo_{a}", indices(a, low))
+    bit = lambda i, k: F.call_function("shiftright", i, k).bitwiseAND(F.lit(1))
+    steps = F.when(F.col("octavo_level") > 0, F.sequence(F.col("octavo_level") - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+
+    def key(x, y, z):
+        digits = F.transform(steps, lambda k: (bit(x, k) * 4 + bit(y, k) * 2 + bit(z, k)).cast("string"))
+        return F.concat(F.lit("r"), F.array_join(digits, ""))
+
+    nodes = F.flatten(F.transform("octavo_x", lambda x: F.flatten(F.transform("octavo_y", lambda y: F.transform("octavo_z", lambda z: key(x, y, z))))))
+    asked = asked.withColumn("octavo_nodes", nodes)
+    # Ancestors of the nodes, where leaves of that level are; only a leaf itself is found under these.
+    above = [
+        F.when(F.col("octavo_level") > k, F.array_distinct(_cut("octavo_nodes", k))).otherwise(F.array().cast("array<string>"))
+        for k in _levels(parts)
+    ]
+    entry = lambda strict: (lambda n: F.struct(n.alias("key"), F.lit(strict).alias("strict")))
+    asks = F.concat(F.transform("octavo_nodes", entry(False)), F.transform(F.concat(*above), entry(True)))
+    asked = asked.withColumn("octavo_ask", F.explode(asks)).withColumns({"octavo_key": F.col("octavo_ask.key"), "octavo_strict": F.col("octavo_ask.strict")})
+    entered = parts.select(
+        F.col("partition_id").alias("octavo_partition"),
+        F.col("region").alias("octavo_region"),
+        F.col("node_key").alias("octavo_leaf"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("level")), lambda k: F.substring(F.col("node_key"), F.lit(1), k + 1))).alias("octavo_key"),
+    )
+    met = asked.join(_small(entered), "octavo_key").where("NOT octavo_strict OR octavo_leaf = octavo_key")
+    met = met.where(boxes.intersects(F.col("octavo_region"), F.col("octavo_box")))
+    own = ["octavo_level", "octavo_x", "octavo_y", "octavo_z", "octavo_nodes", "octavo_ask", "octavo_key", "octavo_strict", "octavo_leaf"]
+    return met.drop("partition_id").withColumnRenamed("octavo_partition", "partition_id").drop(*own)
+
+
+def _cut(nodes: str, level: int):
+    return F.transform(nodes, lambda n: F.substring(n, 1, level + 1))
+
+
+def lookup_partitions(objects: DataFrame, parts: DataFrame, tree: Split, region: str = "box") -> DataFrame:
     """objects joined to every partition that their box touches."""
-    few = _few(parts.select("partition_id", F.col("region").alias("part_region")))
-    return objects.join(few, boxes.intersects(F.col("part_region"), F.col(region))).drop("part_region")
+    return _touching(objects, F.col(region), parts, tree).drop("octavo_box", "octavo_region")
 
 
-def replicate_halo(points: DataFrame, parts: DataFrame, length: float) -> DataFrame:
+def replicate_halo(points: DataFrame, parts: DataFrame, tree: Split, length: float) -> DataFrame:
     """points in every partition that their search cube touches, is_local where the partition holds them."""
     search = boxes.from_centre_sides(F.col("x"), F.col("y"), F.col("z"), F.lit(length), F.lit(length), F.lit(length))
-    few = _few(parts.select("partition_id", "region"))
-    return (
-        points.withColumn("search", search)
-        .join(few, boxes.intersects(F.col("region"), F.col("search")))
-        .withColumn("is_local", boxes.contains(F.col("region"), F.col("x"), F.col("y"), F.col("z")))
-        .drop("region", "search")
-    )
+    found = _touching(placed(points), search, parts, tree)
+    local = boxes.contains(F.col("octavo_region"), F.col("x"), F.col("y"), F.col("z"))
+    return found.withColumn("is_local", local).drop("octavo_box", "octavo_region")
 
 
 def repartition_points(assigned: DataFrame, partitions: int) -> DataFrame:
+    """Rows of one partition_id in one task, ids dealt over so many tasks."""
     return assigned.repartition(partitions, "partition_id")
 
 
@@ -135,10 +227,10 @@ def kdb_leaves(points: DataFrame, region, max_elements: int, max_level: int) ->
 
     It grows level by level over all points: equal points are one row with a multiplicity, a level's table
     holds the points of nodes that split, and only nodes are on the driver. Elements equal to the median go
-    low. Points with a null coordinate are in no leaf.
+    low. Of equal axes the later one is halved, but x before y where z is shorter than both.
     """
     spark = points.sparkSession
-    rows = points.select("x", "y", "z").dropna().groupBy("x", "y", "z").agg(F.count("*").alias("m"))
+    rows = placed(points).groupBy("x", "y", "z").agg(F.count("*").alias("m"))
     rows = materialize(rows.withColumn("node", F.lit(0).cast("long")), "kdb-points")
     out: list[tuple] = []
     nodes = [("", tuple(map(float, region[:3])), tuple(map(float, region[3:])), rows.agg(F.sum("m")).first()[0] or 0)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from octavo.functions import boxes, encoding, frames, keys
 from octavo.operators import cloud, hierarchy, lod, neighbors, octree
-from octavo.plans.tables import materialize
+from octavo.plans.tables import materialize, new_path
 from octavo.sources import points as sources
 from octavo.sources import store
 
@@ -24,6 +24,8 @@ SEARCH = 2.0
 HALO = 1.5
 QUERY_BOX = (10.0, 5.0, 10.0, 30.0, 30.0, 40.0)
 GRID = 2.0
+LEAST_GAP = 1e-3
+KDB_LEVELS = 10
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,21 +188,23 @@ def spatial_partition(spark, sf_dir):
 
 def partition_lookup(spark, sf_dir):
     p = _points(spark, sf_dir)
-    parts = materialize(octree.leaves(p, _tree(cloud.measure(p))), "leaves")
-    return octree.lookup_partitions(_supplier_boxes(spark, sf_dir), parts).select("supplier", "partition_id")
+    tree = _tree(cloud.measure(p))
+    parts = materialize(octree.leaves(p, tree), "leaves")
+    return octree.lookup_partitions(_supplier_boxes(spark, sf_dir), parts, tree).select("supplier", "partition_id")
 
 
 def halo_replicate(spark, sf_dir):
     p = _points(spark, sf_dir)
-    parts = materialize(octree.leaves(p, _tree(cloud.measure(p))), "leaves")
-    found = octree.replicate_halo(p, parts, HALO)
+    tree = _tree(cloud.measure(p))
+    parts = materialize(octree.leaves(p, tree), "leaves")
+    found = octree.replicate_halo(p, parts, tree, HALO)
     return found.groupBy("partition_id", "is_local").agg(F.count("*").alias("n"))
 
 
 def kdb_leaves(spark, sf_dir):
     p = _points(spark, sf_dir)
     c = cloud.measure(p)
-    return octree.kdb_leaves(p, (c.lx, c.ly, c.lz, c.ux, c.uy, c.uz), LEAF, 10)
+    return octree.kdb_leaves(p, (c.lx, c.ly, c.lz, c.ux, c.uy, c.uz), LEAF, KDB_LEVELS)
 
 
 def neighbor_counts(spark, sf_dir):
@@ -215,11 +219,13 @@ def neighborhood_cov(spark, sf_dir):
 
 
 def normals(spark, sf_dir):
-    return neighbors.normals(_points(spark, sf_dir), SEARCH)
+    found = neighbors.normals(_points(spark, sf_dir), SEARCH, LEAST_GAP)
+    unit = lambda c: F.floor(F.col(c) * F.lit(1e3) + F.lit(0.1234567)).cast("long").alias(c)
+    return found.select("x", "y", "z", "m", "n", *[unit(f"normal_{a}") for a in "xyz"])
 
 
 def normal_lines(spark, sf_dir):
-    return neighbors.normal_lines(neighbors.normals(_points(spark, sf_dir), SEARCH))
+    return neighbors.normal_lines(neighbors.normals(_points(spark, sf_dir), SEARCH, LEAST_GAP), digits=3)
 
 
 def load_order(spark, sf_dir):
@@ -246,23 +252,27 @@ def blob_table(spark, sf_dir):
     )
 
 
+def _table(spark: SparkSession, sf_dir: str) -> store.BlobTable:
+    """The blobs as a written table."""
+    path = new_path(spark, "blob-table")
+    store.write_table(store.as_table(_blobs(spark, sf_dir)), path)
+    return store.BlobTable(spark, path)
+
+
 def blob_get(spark, sf_dir):
-    rows = store.as_table(_blobs(spark, sf_dir))
-    return store.get(rows, "1r5", "bin").select("row_key", "part", F.hex("value").alias("value"))
+    return _table(spark, sf_dir).get("1r5", "bin").select("row_key", "part", F.hex("value").alias("value"))
 
 
 def blob_scan(spark, sf_dir):
-    rows = store.as_table(_blobs(spark, sf_dir))
-    return store.scan(rows, "1r2", "2r3", "bin").select("name", "part", F.hex("value").alias("value"))
+    return _table(spark, sf_dir).scan("1r2", "2r3", "bin").select("name", "part", F.hex("value").alias("value"))
 
 
 def child_scan(spark, sf_dir):
-    rows = store.as_table(_blobs(spark, sf_dir))
-    return store.child_scan(rows, "r0", "12345").select("row_key", "part", F.hex("value").alias("value"))
+    return _table(spark, sf_dir).children("r0", "12345").select("row_key", "part", F.hex("value").alias("value"))
 
 
 def composite_key_split(spark, sf_dir):
-    names = store.scan(store.as_table(_blobs(spark, sf_dir))).select("name", "part")
+    names = _table(spark, sf_dir).scan().select("name", "part")
     return store.split_composite(names, "name")
 
 

@@ -182,6 +182,60 @@ def _lod() -> str:
     return f"{with_('p', 'g')},\n" + ",\n".join(ctes) + ",\nlod AS (" + " UNION ALL ".join(parts) + ")"
 
 
+def _kdb() -> str:
+    """The k-d tree unrolled: at each level the boxes of nodes, the median of those that split, and the points below."""
+    ctes, leaves = [], []
+    boxes, points = "SELECT '' AS node, lx, ly, lz, ux, uy, uz, points AS n FROM t", "SELECT x, y, z, '' AS node FROM p"
+    for level in range(q.KDB_LEVELS + 1):
+        over = f"n > {q.LEAF}" if level < q.KDB_LEVELS else "FALSE"
+        ctes.append(f"k{level} AS MATERIALIZED ({points}), b{level} AS MATERIALIZED ({boxes})")
+        leaves.append(f"SELECT lx, ly, lz, ux, uy, uz, {level} AS level, n FROM b{level} WHERE NOT ({over})")
+        sides = {a: f"u{a} - l{a}" for a in "xyz"}
+        ctes.append(
+            f"s{level} AS MATERIALIZED (SELECT *, CASE WHEN {sides['x']} > {sides['y']} AND {sides['x']} > {sides['z']} THEN 0 "
+            f"WHEN {sides['x']} <= {sides['y']} AND {sides['y']} > {sides['z']} THEN 1 ELSE 2 END AS axis FROM b{level} WHERE {over})"
+        )
+        ctes.append(f"v{level} AS MATERIALIZED (SELECT k.*, CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END AS v FROM k{level} k JOIN s{level} USING (node))")
+        ctes.append(f"c{level} AS MATERIALIZED (SELECT node, list_sort(list(v))[count(*) // 2 + 1] AS cut FROM v{level} GROUP BY node)")
+        points = f"SELECT x, y, z, node || CASE WHEN v > cut THEN '1' ELSE '0' END AS node FROM v{level} JOIN c{level} USING (node)"
+        halves = " UNION ALL ".join(
+            f"SELECT node || '{side}' AS node, "
+            + ", ".join(
+                f"CASE WHEN axis = {i} THEN cut ELSE {end}{a} END AS {end}{a}" if end == moved else f"{end}{a}"
+                for end in "lu"
+                for i, a in enumerate("xyz")
+            )
+            + f" FROM s{level} JOIN c{level} USING (node)"
+            for side, moved in ((0, "u"), (1, "l"))
+        )
+        boxes = f"SELECT h.*, (SELECT count(*) FROM k{level + 1} k WHERE k.node = h.node) AS n FROM ({halves}) h"
+    return f"{with_('p', 't')},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(leaves)
+
+
+def _normals() -> str:
+    """x, y, z, m, n and the normal of each place, from the covariances by the closed form of a symmetric 3x3 matrix."""
+    cov = lambda a, b: f"CASE WHEN sum(nm) > 1 THEN (sum(nm * d{a} * d{b}) - sum(nm * d{a}) * sum(nm * d{b}) / sum(nm)) / (sum(nm) - 1) ELSE 0 END"
+    rows = (("a - low", "b", "c"), ("b", "d - low", "e"), ("c", "e", "f - low"))
+    cross = lambda u, v: [f"(({u[i]}) * ({v[j]}) - ({u[j]}) * ({v[i]}))" for i, j in ((1, 2), (2, 0), (0, 1))]
+    made = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    vectors = ", ".join("{s: " + " + ".join(f"{x} * {x}" for x in v) + ", " + ", ".join(f"{k}: {x}" for k, x in zip("xyz", v, strict=True)) + "}" for v in made)
+    sized = ", ".join(f"v.{k} / nullif(sqrt(v.s), 0) AS u{k}" for k in "xyz")
+    most = "greatest(abs(ux), abs(uy), abs(uz)) - 1e-6"
+    lead = f"CASE WHEN abs(ux) >= {most} THEN ux WHEN abs(uy) >= {most} THEN uy ELSE uz END"
+    normal = ", ".join(f"CASE WHEN n >= 3 AND gap > {D(q.LEAST_GAP)} AND v.s > 0 THEN CASE WHEN {lead} < 0 THEN -u{k} ELSE u{k} END ELSE 0 END AS normal_{k}" for k in "xyz")
+    return f"""{with_('near')},
+    h0 AS (SELECT x, y, z, m, CAST(sum(nm) AS BIGINT) AS n, {cov('x', 'x')} AS a, {cov('x', 'y')} AS b, {cov('x', 'z')} AS c,
+        {cov('y', 'y')} AS d, {cov('y', 'z')} AS e, {cov('z', 'z')} AS f FROM near GROUP BY x, y, z, m),
+    h1 AS (SELECT *, (a + d + f) / 3 AS q FROM h0),
+    h2 AS (SELECT *, sqrt(((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2 * (b * b + c * c + e * e)) / 6) AS p,
+        (a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c) AS det FROM h1),
+    h3 AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(least(coalesce(det / nullif(2 * p * p * p, 0), 1), 1), -1)) / 3 ELSE 0 END AS phi FROM h2),
+    h4 AS (SELECT *, q + 2 * p * cos(phi) AS high, q + 2 * p * cos(phi + {D(repr(2 * math.pi / 3))}) AS low FROM h3),
+    h5 AS (SELECT *, coalesce((3 * q - high - 2 * low) / nullif(high, 0), 0) AS gap, list_max([{vectors}]) AS v FROM h4),
+    h6 AS (SELECT *, {sized} FROM h5),
+    normal AS (SELECT x, y, z, m, n, {normal} FROM h6)"""
+
+
 def oracle_sql() -> dict[str, str]:
     volume = "(ux - lx) * (uy - ly) * (uz - lz)"
     meets = "s.lx <= {ux} AND s.ux >= {lx} AND s.ly <= {uy} AND s.uy >= {ly} AND s.lz <= {uz} AND s.uz >= {lz}".format(**QB)
@@ -262,6 +316,15 @@ def oracle_sql() -> dict[str, str]:
         "neighborhood_cov": with_("near")
         + f""" SELECT x, y, z, CAST(sum(nm) AS BIGINT) AS n, {cov('x', 'x')}, {cov('x', 'y')}, {cov('x', 'z')}, {cov('y', 'y')},
         {cov('y', 'z')}, {cov('z', 'z')} FROM near GROUP BY x, y, z, m""",
+        "kdb_leaves": _kdb(),
+        "normals": _normals()
+        + " SELECT x, y, z, m, n, "
+        + ", ".join(f"CAST(floor(normal_{a} * 1000 + {D(0.1234567)}) AS BIGINT) AS normal_{a}" for a in "xyz")
+        + " FROM normal",
+        "normal_lines": _normals()
+        + " SELECT concat(x, ' ', y, ' ', z, '[', "
+        + ", ', ', ".join(f"floor(normal_{a} * 1000 + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE)" for a in "xyz")
+        + ", ']') AS value FROM (SELECT *, unnest(range(m)) FROM normal)",
         "load_order": with_("m")
         + f" SELECT x, y, z, {order['z']} * ({count['x']} * {count['y']}) + {order['y']} * {count['x']} + {order['x']} AS load_order FROM p, m",
         "varint_hex": f"""SELECT number, {_varint('number')} AS code

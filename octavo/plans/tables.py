@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -69,6 +70,13 @@ def _sweep() -> None:
             return
 
 
+def repeat_rows(df: DataFrame, n: str, run: int = 1 << 16) -> DataFrame:
+    """Each row as often as its column n says, which is dropped; in runs, so that no array is longer than run."""
+    runs = df.withColumn("octavo_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / run))))
+    left = F.least(F.lit(run).cast("long"), F.col(n) - F.col("octavo_run") * run)
+    return runs.where(F.col(n) > 0).withColumn("octavo_run", F.explode(F.array_repeat(F.lit(0), left.cast("int")))).drop("octavo_run", n)
+
+
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Lowers the session's limit on the bytes of an Arrow batch, so that a Python task's memory does not
     depend on how long its rows are. A lower limit that is set already stays."""

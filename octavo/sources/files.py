@@ -1,7 +1,12 @@
-"""Small whole files on any file system that Spark knows: documents, hierarchy indexes, listings."""
+"""Small whole files on any file system that Spark knows: documents, hierarchy indexes, listings.
+
+Tasks that read or write files piece by piece open them by open_fs(), on any file system that pyarrow
+knows by its address.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 INTERIM = np.dtype([("p", "<3f8"), ("c", "u1", 3)])
 
 
+def open_fs(address: str):
+    """(file system, path) of an address (file, hdfs, s3, gs) or of a path on this machine."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub(r"^file:/+", "file:///", address))
+
+
 def _fs(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -34,6 +46,13 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(row.content)
 
 
+def fresh_folder(spark: SparkSession, path: str) -> str:
+    """Makes a folder, with those above it; its path."""
+    fs, at = _fs(spark, path)
+    fs.mkdirs(at)
+    return path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, at = _fs(spark, path)
     return fs.exists(at)

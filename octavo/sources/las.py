@@ -1,14 +1,16 @@
 """LAS files: headers, variable records and points of formats 0 and 1.
 
 Offsets are those of the public LAS specification, versions 1.0 to 1.4. The data source ``las`` plans
-one input partition for a range of records, so a large file is read by many tasks; it opens paths that
-every executor mounts. las_headers() and las_records() read by Spark's own file source instead.
+one input partition for a range of records, so a large file is read by many tasks. Files are opened by
+their address on any file system that pyarrow knows, and only the bytes that are needed are read: a header's,
+those before the first point for variable records, and a range's.
+
+Cases: a file without points gives no rows; a file shorter than its header says fails; a file that is no
+LAS file, or has another point format where points are read, is refused by name.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from octavo.sources.files import open_fs
+
 #: Bytes that hold every header; records of an input partition.
 HEADER_BYTES = 375
 RECORDS = 1_000_000
@@ -84,11 +88,38 @@ def decode_points(data: bytes, header: Header) -> pa.RecordBatch:
 
 
 def list_files(path: str, suffix: str = ".las") -> list[str]:
-    """Files under a path, at any depth, whose names end in the suffix."""
-    if os.path.isfile(path):
+    """Addresses of the files under a path, at any depth, whose names end in the suffix, or of the one file there."""
+    from pyarrow.fs import FileSelector, FileType
+
+    fs, at = open_fs(path)
+    if fs.get_file_info(at).type == FileType.File:
         return [path]
-    found = glob.glob(os.path.join(glob.escape(path), "**", "*"), recursive=True)
-    return sorted(f for f in found if os.path.isfile(f) and f.lower().endswith(suffix))
+    base = path.rstrip("/")
+    found = [f.path for f in fs.get_file_info(FileSelector(at, recursive=True)) if f.type == FileType.File]
+    return sorted(base + f[len(at.rstrip("/")) :] for f in found if f.lower().endswith(suffix))
+
+
+def read_range(path: str, first: int, size: int) -> bytes:
+    """So many bytes of a file from a place on, fewer where it ends before."""
+    fs, at = open_fs(path)
+    with fs.open_input_file(at) as f:
+        return f.read_at(max(0, min(size, f.size() - first)), first)
+
+
+def encode_file(q: np.ndarray, intensity: np.ndarray, scale, offset, vlrs=(), point_format: int = 0) -> bytes:
+    """A LAS 1.2 file of points given as whole numbers of scale from offset; vlrs are (user, record id, description, content)."""
+    length = {0: 20, 1: 28}[point_format]
+    body = b"".join(struct.pack("<H16sHH32s", 0, u.encode(), n, len(c), t.encode()) + c for u, n, t, c in vlrs)
+    head = bytearray(227)
+    head[:4], head[24], head[25] = b"LASF", 1, 2
+    struct.pack_into("<HII", head, 94, 227, 227 + len(body), len(vlrs))
+    struct.pack_into("<BHI", head, 104, point_format, length, len(q))
+    xyz = q * np.abs(np.array(scale)) + np.array(offset)
+    low, high = (xyz.min(axis=0), xyz.max(axis=0)) if len(q) else (np.zeros(3), np.zeros(3))
+    struct.pack_into("<12d", head, 131, *scale, *offset, *np.column_stack([high, low]).ravel())
+    rows = np.zeros(len(q), dtype=np.dtype({"names": ["q", "i"], "formats": ["<3i4", "<u2"], "offsets": [0, 12], "itemsize": length}))
+    rows["q"], rows["i"] = q, intensity
+    return bytes(head) + body + rows.tobytes()
 
 
 @dataclass
@@ -109,16 +140,16 @@ class LasReader(DataSourceReader):
     def partitions(self):
         out = []
         for path in list_files(self.path):
-            with open(path, "rb") as f:
-                header = parse_header(f.read(HEADER_BYTES))
+            header = parse_header(read_range(path, 0, HEADER_BYTES))
             out += [
                 RecordRange(path, i, min(self.records, header.points - i)) for i in range(0, header.points, self.records)
             ]
         return out
 
     def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
-            header = parse_header(f.read(HEADER_BYTES))
+        header = parse_header(read_range(partition.path, 0, HEADER_BYTES))
+        fs, at = open_fs(partition.path)
+        with fs.open_input_file(at) as f:
             f.seek(header.point_offset + partition.first * header.record_length)
             left = partition.count
             while left:
@@ -150,8 +181,9 @@ def read_las(spark: SparkSession, path: str, records: int = RECORDS) -> DataFram
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
+    """path of each file, a task for some; contents are not read."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", "*.[lL][aA][sS]").option("recursiveFileLookup", "true")
-    return read.load(path).select("path", "content")
+    return read.load(path).select("path")
 
 
 def las_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -160,7 +192,7 @@ def las_headers(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = [parse_header(c[:HEADER_BYTES]) for c in batch.column(1).to_pylist()]
+            heads = [parse_header(read_range(p, 0, HEADER_BYTES)) for p in batch.column(0).to_pylist()]
             rows = [(h.version, h.format, h.points, *h.low, *h.high, *h.scale, *h.offset) for h in heads]
             kinds = [pa.string(), pa.int32(), pa.int64()] + [pa.float64()] * 12
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 15
@@ -178,11 +210,10 @@ def las_vlrs(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (p, *v)
-                for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for v in parse_vlrs(c, parse_header(c[:HEADER_BYTES]))
-            ]
+            rows = []
+            for path in batch.column(0).to_pylist():
+                header = parse_header(read_range(path, 0, HEADER_BYTES))
+                rows += [(path, *v) for v in parse_vlrs(read_range(path, 0, header.point_offset), header)]
             kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(

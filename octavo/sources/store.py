@@ -2,50 +2,74 @@
 
 Rows are (row_key, qualifier, level, node_key, part, n, value). Partitions by qualifier and level
 prune a scan, and rows sorted by key within files let row-group statistics do the same for a range.
+All rows are of one column family, FAMILY; scans of another find nothing.
+
+Cases: points with a null coordinate or colour have no record and are in no payload; a null key names no
+row; a table that is not there has no rows.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octavo.functions import boxes, encoding, keys
+from octavo.sources.files import open_fs
 
+#: What a table's name ends with while it is being replaced.
+ASIDE = "-aside"
 #: Points of one part of a node's payload; suffixes of files that an import takes.
 PART_POINTS = 1 << 16
 SUFFIXES = ("bin", "hrc", "js", "las")
+FAMILY = "data"
+SCHEMA = "row_key string, node_key string, part int, n long, value binary, qualifier string, level int"
+
 
+def encode_points(keyed: DataFrame, corner, side: float, scale: float, normal: tuple[str, str, str] | None = None) -> DataFrame:
+    """node_key and record: each point's record, its place relative to its node's lower corner.
 
-def encode_points(keyed: DataFrame, corner, side: float, scale: float) -> DataFrame:
-    """node_key and record: each point's record, its place relative to its node's lower corner."""
+    normal names three columns that the record ends with, as whole numbers of scale; see encoding.normal_hex.
+    """
     b = keys.node_box(F.col("node_key"), corner, side)
     placed = keyed.withColumn("octavo_box", b)
     q = [encoding.quantise(F.col(a), F.col(f"octavo_box.l{a}"), scale) for a in boxes.AXES]
-    return placed.select("node_key", encoding.record_hex(*q, F.col("r"), F.col("g"), F.col("b")).alias("record"))
+    record = encoding.record_hex(*q, F.col("r"), F.col("g"), F.col("b"))
+    if normal:
+        record = F.concat(record, *[encoding.normal_hex(F.col(c), scale) for c in normal])
+    return placed.select("node_key", record.alias("record")).where("record IS NOT NULL AND node_key IS NOT NULL")
 
 
 def node_blobs(records: DataFrame, counts: DataFrame, part_points: int = PART_POINTS) -> DataFrame:
     """level, node_key, row_key, part, n, payload (hex): records of a node in order, in parts of bounded size.
 
-    A node of more than part_points is dealt to parts by a hash, so no task gathers a whole hot node.
+    A node of more than part_points is dealt to parts by a hash of the record, so no task gathers a whole hot
+    node and a task that runs again deals alike. Equal records are one row with a multiplicity; a record
+    that more than part_points points share is dealt in runs of so many.
     """
     parts = counts.select("node_key", F.ceil(F.col("n") / F.lit(float(part_points))).cast("int").alias("parts"))
-    dealt = records.join(parts, "node_key").withColumn(
-        "part", F.when(F.col("parts") > 1, (F.rand(7) * F.col("parts")).cast("int")).otherwise(0)
+    once = records.groupBy("node_key", "record").agg(F.count("*").alias("m")).join(parts, "node_key")
+    runs = once.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / part_points))))
+    dealt = runs.select(
+        "node_key",
+        "record",
+        F.least(F.lit(part_points).cast("long"), F.col("m") - F.col("run") * part_points).alias("m"),
+        F.when(F.col("parts") > 1, F.pmod(F.xxhash64("record", "run"), F.col("parts")).cast("int")).otherwise(0).alias("part"),
+    )
+    packed = dealt.groupBy("node_key", "part").agg(
+        F.sum("m").alias("n"), F.sort_array(F.collect_list(F.struct("record", "m"))).alias("records")
     )
-    packed = dealt.groupBy("node_key", "part").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("record")).alias("records"))
+    repeated = F.transform("records", lambda x: F.call_function("repeat", x["record"], x["m"].cast("int")))
     return packed.select(
         keys.key_level(F.col("node_key")).alias("level"),
         "node_key",
         keys.row_key(F.col("node_key")).alias("row_key"),
         "part",
         "n",
-        F.array_join("records", "").alias("payload"),
+        F.array_join(repeated, "").alias("payload"),
     )
 
 
@@ -56,10 +80,22 @@ def as_table(blobs: DataFrame) -> DataFrame:
     )
 
 
-def write_table(rows: DataFrame, path: str, partitions: int = 8) -> None:
-    """Replaces the table at a path."""
-    ordered = rows.repartitionByRange(partitions, "qualifier", "level", "node_key").sortWithinPartitions("qualifier", "level", "node_key", "part")
-    ordered.write.mode("overwrite").partitionBy("qualifier", "level").parquet(path)
+def write_table(rows: DataFrame, path: str) -> None:
+    """Replaces the table at a path; ranges of keys, as many as the session shuffles to and Spark then joins."""
+    ordered = rows.repartitionByRange("qualifier", "level", "row_key").sortWithinPartitions("qualifier", "level", "row_key", "part")
+    ordered.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("overwrite").partitionBy("qualifier", "level").parquet(path)
+
+
+def list_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables in a folder."""
+    fs, at = _fs(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
+def _fs(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
 
 
 class BlobTable:
@@ -68,9 +104,15 @@ class BlobTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def create(self) -> None:
+        """An empty table, where there is none."""
+        if not self.exists():
+            _fs(self.spark, self.path)[0].mkdirs(_fs(self.spark, self.path)[1])
+
     def rows(self) -> DataFrame:
-        schema = "row_key string, node_key string, part int, n long, value binary, qualifier string, level int"
-        return self.spark.read.schema(schema).parquet(self.path)
+        if not self.exists():
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(self.path)
 
     def get(self, row: str, qualifier: str) -> DataFrame:
         """Parts of one blob, in order."""
@@ -80,8 +122,8 @@ class BlobTable:
         found = self.get(row, qualifier).orderBy("part").collect()
         return b"".join(bytes(r.value) for r in found) if found else None
 
-    def scan(self, start: str | None = None, stop: str | None = None, qualifier: str | None = None) -> DataFrame:
-        return scan(self.rows(), start, stop, qualifier)
+    def scan(self, start=None, stop=None, qualifier=None, family: str = FAMILY, where: Column | None = None) -> DataFrame:
+        return scan(self.rows(), start, stop, qualifier, family, where)
 
     def children(self, parent: str, digits: str = "01234567") -> DataFrame:
         return child_scan(self.rows(), parent, digits)
@@ -98,41 +140,53 @@ class BlobTable:
         self._replace(self.rows().where(~((F.col("row_key") == row) & (F.col("qualifier") == qualifier))))
 
     def delete(self) -> None:
-        fs, at = self._fs(self.path)
-        fs.delete(at, True)
+        for path in (self.path, self.path + ASIDE):
+            fs, at = _fs(self.spark, path)
+            fs.delete(at, True)
 
     def exists(self) -> bool:
-        fs, at = self._fs(self.path)
+        """Whether there is a table; one that a crash left set aside is put back first."""
+        fs, at = _fs(self.spark, self.path)
+        aside = _fs(self.spark, self.path + ASIDE)[1]
+        if not fs.exists(at) and fs.exists(aside):
+            fs.rename(aside, at)
         return fs.exists(at)
 
-    def _fs(self, path: str):
-        sc = self.spark.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
-
     def _replace(self, rows: DataFrame) -> None:
+        """Writes rows beside the table, sets the table aside, puts the new one in its place, deletes the old one."""
         beside = f"{self.path}-{uuid.uuid4().hex}"
         rows.write.partitionBy("qualifier", "level").parquet(beside)
-        fs, new = self._fs(beside)
-        old = self._fs(self.path)[1]
-        fs.delete(old, True)
-        fs.rename(new, old)
+        fs, new = _fs(self.spark, beside)
+        at, aside = _fs(self.spark, self.path)[1], _fs(self.spark, self.path + ASIDE)[1]
+        fs.delete(aside, True)
+        if not (fs.rename(at, aside) and fs.rename(new, at)):
+            raise OSError(f"the table at {self.path} could not be replaced; what is set aside is put back when it is next read")
+        fs.delete(aside, True)
 
 
 def get(rows: DataFrame, row: str, qualifier: str) -> DataFrame:
     return rows.where((F.col("row_key") == row) & (F.col("qualifier") == qualifier))
 
 
-def scan(rows: DataFrame, start: str | None = None, stop: str | None = None, qualifier: str | None = None) -> DataFrame:
-    """(name, part, value) with name "row-data-qualifier"; start is included, stop is not."""
-    out = rows
+def scan(
+    rows: DataFrame,
+    start: str | None = None,
+    stop: str | None = None,
+    qualifier: str | None = None,
+    family: str = FAMILY,
+    where: Column | None = None,
+) -> DataFrame:
+    """(name, part, value) with name "row-family-qualifier"; start is included, stop is not; where is a further filter."""
+    out = rows if family == FAMILY else rows.where(F.lit(False))
+    if where is not None:
+        out = out.where(where)
     if start is not None:
         out = out.where(F.col("row_key") >= start)
     if stop is not None:
         out = out.where(F.col("row_key") < stop)
     if qualifier is not None:
         out = out.where(F.col("qualifier") == qualifier)
-    return out.select(F.concat_ws("-", "row_key", F.lit("data"), "qualifier").alias("name"), "part", "value")
+    return out.select(F.concat_ws("-", "row_key", F.lit(FAMILY), "qualifier").alias("name"), "part", "value")
 
 
 def child_scan(rows: DataFrame, parent: str, digits: str = "01234567") -> DataFrame:
@@ -175,16 +229,18 @@ def import_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUF
 
 
 def write_node_files(rows: DataFrame, folder: str) -> int:
-    """One file for each blob in a folder that all executors mount, put in place by a rename; their number."""
+    """One file for each blob in a folder that all executors open by its address, put in place by a rename; their number."""
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = open_fs(folder)
+        fs.create_dir(at, recursive=True)
         for batch in batches:
             for row, qualifier, part, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name = os.path.join(folder, f"{row}.{qualifier}" + (f".{part}" if part else ""))
-                draft = f"{name}.{uuid.uuid4().hex}"
-                with open(draft, "wb") as f:
+                name = f"{at}/{row}.{qualifier}" + (f".{part}" if part else "")
+                draft = f"{at}/_draft-{uuid.uuid4().hex}"
+                with fs.open_output_stream(draft, compression=None) as f:
                     f.write(value)
-                os.replace(draft, name)
+                fs.move(draft, name)
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row_key"])
 
     return rows.select("row_key", "qualifier", "part", "value").mapInArrow(save, "row_key string").count()

@@ -4,12 +4,10 @@ from compare import same
 from octavo.plans import catalog, oracle
 
 SQL = oracle.oracle_sql()
-#: Queries without SQL: a recursion over a sample, and eigenvectors.
-WITHOUT = {"kdb_leaves", "normals", "normal_lines"}
 
 
-def test_every_query_has_sql_or_a_reason():
-    assert set(catalog.queries()) == set(SQL) | WITHOUT
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -17,11 +15,6 @@ def test_query_equals_sql(spark, sf, name):
     same(catalog.queries()[name](spark, sf), SQL[name], sf)
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT))
-def test_query_runs(spark, sf, name):
-    assert catalog.queries()[name](spark, sf).count() > 0
-
-
 def test_entry(spark):
     import __spark_entry__
 

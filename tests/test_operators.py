@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from octavo.functions import encoding
+from octavo.functions import boxes, encoding
 from octavo.operators import cloud, hierarchy, lod, neighbors, octree
 from octavo.sources import store
 
@@ -100,7 +100,7 @@ def test_octree_leaves_partition_the_elements(random_cloud):
     assert len(rows) % 7 == 1
     held = octree.assign_partitions(random_cloud, parts, tree).groupBy("partition_id").count().collect()
     assert {r.partition_id: r["count"] for r in held} == {r.partition_id: r.n for r in rows if r.n}
-    halo = octree.replicate_halo(random_cloud, parts, 0.5)
+    halo = octree.replicate_halo(random_cloud, parts, tree, 0.5)
     assert halo.where("is_local").count() >= random_cloud.count() and halo.where("NOT is_local").count() > 0
 
 
@@ -157,6 +157,76 @@ def test_normals_of_a_plane(spark):
         neighbors.neighbour_pairs(plane, 0.0)
 
 
+def test_normals_are_least_eigenvectors(random_cloud):
+    found = neighbors.normals(random_cloud, 1.5).join(neighbors.covariances(random_cloud, 1.5).drop("n", "m"), ["x", "y", "z"]).collect()
+    checked = 0
+    for r in found:
+        if r.n < 3:
+            assert (r.normal_x, r.normal_y, r.normal_z) == (0, 0, 0)
+            continue
+        w, v = np.linalg.eigh([[r.cxx, r.cxy, r.cxz], [r.cxy, r.cyy, r.cyz], [r.cxz, r.cyz, r.czz]])
+        assert abs(r.spread_gap - (w[1] - w[0]) / w[2]) < 1e-6
+        if r.spread_gap > 1e-3:
+            got = np.array([r.normal_x, r.normal_y, r.normal_z])
+            assert abs(abs(v[:, 0] @ got) - 1) < 1e-7 and got[np.abs(got).argmax()] > 0
+            checked += 1
+    assert checked > 100
+
+
+def test_odd_points_have_no_place(spark):
+    """Null and NaN coordinates are left out, clashing columns pass through, one place alone is a cloud."""
+    nan = float("nan")
+    rows = [(1.0, 2.0, 3.0), (1.0, 2.0, 3.0), (2.0, 3.0, 5.0), (None, 1.0, 1.0), (nan, 1.0, 1.0), (1.0, None, 2.0), (0.0, 0.0, nan)]
+    p = spark.createDataFrame([(*r, i, 0, 0) for i, r in enumerate(rows)], "x double, y double, z double, r int, g int, b int")
+    clash = p
+    for name in ("octavo_box", "search", "deep_key", "stays", "n", "level", "node_key", "partition_id", "region"):
+        clash = clash.withColumn(name, F.lit(name))
+    tree = octree.Split((0.0, 0.0, 0.0), 8.0, 1, 3)
+    parts = octree.leaves(clash, tree)
+    assert parts.agg(F.sum("n")).first()[0] == 3
+    held = octree.assign_partitions(clash, parts, tree)
+    assert sorted(r.r for r in held.collect()) == [0, 1, 2] and {"search", "stays", "region"} <= set(held.columns)
+    halo = octree.replicate_halo(clash.drop("octavo_box"), parts, tree, 0.5)
+    assert {r.r for r in halo.where("is_local").collect()} == {0, 1, 2}
+    assert sorted((r.r, r.level) for r in lod.grid_lod(clash, (0.0, 0.0, 0.0), 8.0, 2, 3, 1).collect())[-1][0] == 2
+    assert {(r.x, r.n_neighbors) for r in neighbors.neighbour_counts(clash, 1.0).collect()} == {(1.0, 2), (2.0, 1)}
+    assert octree.kdb_leaves(clash, (0, 0, 0, 8, 8, 8), 1, 3).agg(F.sum("n")).first()[0] == 3
+    alone = p.where("r < 2")
+    flat = octree.Split((1.0, 2.0, 3.0), 0.0, 1, 2)
+    assert octree.replicate_halo(alone, octree.leaves(alone, flat), flat, 1.0).count() > 0
+    assert lod.grid_lod(alone, (1.0, 2.0, 3.0), 0.0, 2, 2, 1).count() == 2
+    assert octree.leaves(p.limit(0), tree).count() == 1 and octree.assign_partitions(p.limit(0), parts, tree).count() == 0
+    assert neighbors.normals(p.limit(0), 1.0).count() == 0 and lod.grid_lod(p.limit(0), (0.0, 0.0, 0.0), 8.0).count() == 0
+
+
+def test_boxes_of_all_sizes_find_their_leaves(spark, random_cloud):
+    """Every leaf that a box touches, by comparing all; the join has no nested loop."""
+    tree = octree.Split((0.0, 0.0, 0.0), 8.0, 40, 5)
+    parts = octree.leaves(random_cloud, tree)
+    rng = np.random.default_rng(3)
+    low = np.round(rng.uniform(-1, 9, size=(200, 3)), 1)
+    side = np.round(rng.choice([0.0, 0.1, 0.5, 1.0, 4.0, 9.0], size=(200, 1)) * rng.uniform(0.5, 1, size=(200, 3)) * 4) / 4
+    rows = [(i, *map(float, a), *map(float, a + s)) for i, (a, s) in enumerate(zip(low, side, strict=True))] + [(200, 0.0, 0.0, 0.0, 4.0, 4.0, 4.0), (201, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0)]
+    objects = spark.createDataFrame(rows, "i int, " + ", ".join(f"{f} double" for f in boxes.FIELDS))
+    objects = objects.select("i", boxes.box(*[F.col(f) for f in boxes.FIELDS]).alias("box"))
+    found = octree.lookup_partitions(objects, parts, tree)
+    leaves = parts.collect()
+    assert len(leaves) > 50 and len({r.level for r in leaves}) > 1
+    want = {(i, p.partition_id) for i, *b in rows for p in leaves if all(p.region[k] <= b[k + 3] and p.region[k + 3] >= b[k] for k in range(3))}
+    got = [(r.i, r.partition_id) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    halo = octree.replicate_halo(random_cloud, parts, tree, 0.5)
+    for df in (found, halo):
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_repeat_in_runs(spark):
+    from octavo.plans.tables import repeat_rows
+
+    df = spark.createDataFrame([("a", 1), ("b", 10), ("c", 11), ("d", 0)], "k string, n long")
+    assert {r.k: r["count"] for r in repeat_rows(df, "n", run=5).groupBy("k").count().collect()} == {"a": 1, "b": 10, "c": 11}
+
+
 SAMPLE_MASKS = {"r": 66, "r1": 4, "r2": 18}
 
 
@@ -185,8 +255,46 @@ def test_records_decode_within_the_scale(random_cloud):
     assert len(a) == len(b) and np.abs(np.sort(a, axis=0) - np.sort(b, axis=0)).max() < 0.0011
 
 
-def test_hot_node_is_dealt_to_parts(random_cloud):
+def test_hot_node_is_dealt_to_parts(spark, random_cloud):
+    """Parts are bounded, also where one point fills a node, and the order of the rows does not matter."""
     c = cloud.measure(random_cloud)
-    keyed = lod.with_node_keys(random_cloud.withColumn("level", F.lit(0)), c.corner, c.side, 1)
-    blobs = store.node_blobs(store.encode_points(keyed, c.corner, c.side, 0.001), lod.node_counts(keyed), part_points=500).collect()
-    assert len(blobs) == 5 and sum(b.n for b in blobs) == random_cloud.count() and max(b.n for b in blobs) < 800
+    same = spark.range(2000).select(*[F.lit(v).alias(a) for v, a in zip((1.0, 1.0, 1.0), "xyz", strict=True)], *[F.lit(5).alias(a) for a in "rgb"])
+    points = random_cloud.select("x", "y", "z", "r", "g", "b").union(same)
+
+    def dealt(rows):
+        keyed = lod.with_node_keys(rows.withColumn("level", F.lit(0)), c.corner, c.side, 1)
+        found = store.node_blobs(store.encode_points(keyed, c.corner, c.side, 0.001), lod.node_counts(keyed), part_points=500)
+        return sorted((b.part, b.n, b.payload) for b in found.collect())
+
+    blobs = dealt(points)
+    n = points.count()
+    assert len(blobs) == -(-n // 500) and sum(b[1] for b in blobs) == n and max(b[1] for b in blobs) <= 2000
+    assert blobs == dealt(points.orderBy(F.rand(3)).repartition(13))
+    got = sorted(p for b in blobs for p in encoding.decode_records(bytes.fromhex(b[2]), c.corner, 0.001))
+    assert len(got) == n and sum(p[3:] == (5, 5, 5) for p in got) >= 2000
+
+
+def test_records_with_normals(spark):
+    rows = [(1.0, 2.0, 3.0, 1, 2, 3, "r", 0.5, -0.25, 0.0), (0.0, 0.0, 0.0, 9, 9, 9, "r", -1.0, 1.0, 0.001)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, r int, g int, b int, node_key string, u double, v double, w double")
+    found = store.encode_points(df, (0.0, 0.0, 0.0), 4.0, 0.001, normal=("u", "v", "w")).collect()
+    got = sorted(encoding.decode_records(bytes.fromhex("".join(r.record for r in found)), (0.0, 0.0, 0.0), 0.001, normals=True))
+    assert np.allclose(got, sorted((*r[:6], *r[7:]) for r in rows), atol=0.0011)
+
+
+def test_partitions_of_a_sample(random_cloud):
+    c = cloud.measure(random_cloud)
+    corner, side = c.grown()
+    sample, tree = octree.sampled_split(random_cloud, corner, side, 8, fraction=0.2, seed=3)
+    parts = octree.sampled_leaves(random_cloud, corner, side, 8, fraction=0.2, seed=3)
+    assert parts.agg(F.sum("n")).first()[0] == sample.count() < random_cloud.count() / 3 and parts.count() >= 8
+    assigned = octree.assign_partitions(random_cloud, parts, tree)
+    assert assigned.count() == random_cloud.count()
+    dealt = octree.repartition_points(assigned, 5).withColumn("task", F.spark_partition_id())
+    assert dealt.groupBy("partition_id").agg(F.countDistinct("task").alias("n")).where("n > 1").count() == 0
+
+
+def test_load_order_within_partitions(random_cloud):
+    ordered = neighbors.load_order(random_cloud, (0.0, 0.0, 0.0, 8.0, 8.0, 8.0), 2.0).withColumn("part", F.col("load_order") % 3)
+    for rows in neighbors.in_load_order(ordered, "part").select("part", "load_order").rdd.glom().collect():
+        assert rows == sorted(rows)

@@ -70,7 +70,7 @@ def table(spark, tmp_path):
         for k in ("r", "r0", "r7", "r00", "r05", "r06", "r70", "r051")
     ] + [("r", "hrc", 0, "", 0, None, bytearray(b"\1"))]
     df = spark.createDataFrame(rows, "row_key string, qualifier string, level int, node_key string, part int, n long, value binary")
-    store.write_table(df, str(tmp_path / "t"), 2)
+    store.write_table(df, str(tmp_path / "t"))
     return store.BlobTable(spark, str(tmp_path / "t"))
 
 
