@@ -7,6 +7,7 @@ knows by its address.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,26 @@ def list_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return read.load(path).select("path", "length")
 
 
+def write_interim(points: DataFrame, folder: str) -> int:
+    """Writes interim records of x, y, z, r, g, b, a file for each batch; the number of files."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = open_fs(folder)
+        fs.create_dir(at, recursive=True)
+        for batch in batches:
+            rows = np.empty(batch.num_rows, dtype=INTERIM)
+            rows["p"] = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            rows["c"] = np.column_stack([batch.column(i).to_numpy() for i in range(3, 6)])
+            name = f"{uuid.uuid4().hex}.bin"
+            with fs.open_output_stream(f"{at}/_{name}", compression=None) as out:
+                out.write(rows.tobytes())
+            fs.move(f"{at}/_{name}", f"{at}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    written = points.select("x", "y", "z", "r", "g", "b").dropna().mapInArrow(save, "name string")
+    return written.count()
+
+
 def read_interim(spark: SparkSession, path: str) -> DataFrame:
     """x, y, z, r, g, b of files of interim records."""
 

@@ -35,12 +35,14 @@ def encode_points(keyed: DataFrame, corner, side: float, scale: float, normal: t
     normal names three columns that the record ends with, as whole numbers of scale; see encoding.normal_hex.
     """
     b = keys.node_box(F.col("node_key"), corner, side)
-    placed = keyed.withColumn("octavo_box", b)
+    # Nulls are dropped here, not by the record, which a filter on it would work out anew.
+    needed = [*boxes.AXES, "r", "g", "b", "node_key", *(normal or ())]
+    placed = keyed.dropna(subset=needed).withColumn("octavo_box", b)
     q = [encoding.quantise(F.col(a), F.col(f"octavo_box.l{a}"), scale) for a in boxes.AXES]
     record = encoding.record_hex(*q, F.col("r"), F.col("g"), F.col("b"))
     if normal:
         record = F.concat(record, *[encoding.normal_hex(F.col(c), scale) for c in normal])
-    return placed.select("node_key", record.alias("record")).where("record IS NOT NULL AND node_key IS NOT NULL")
+    return placed.select("node_key", record.alias("record"))
 
 
 def node_blobs(records: DataFrame, counts: DataFrame, part_points: int = PART_POINTS) -> DataFrame:

@@ -1,18 +1,19 @@
 import pytest
 
 from compare import same
-from octavo.plans import catalog, oracle
+from octavo.plans import catalog, oracle, round_trips
 
-SQL = oracle.oracle_sql()
+SQL = oracle.oracle_sql() | round_trips.oracle_sql()
+QUERIES = catalog.queries() | round_trips.queries()
 
 
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(SQL)
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf, name):
-    same(catalog.queries()[name](spark, sf), SQL[name], sf)
+    same(QUERIES[name](spark, sf), SQL[name], sf)
 
 
 def test_entry(spark):
