@@ -95,6 +95,44 @@ def test_frames():
             frames.parse_request(bad)
 
 
+def test_messages(spark):
+    assert frames.parse_message('{"dataType":"bin","tableName":"t","dataName":"1r2"}') == ("t", "bin", "1r2", "")
+    assert frames.parse_message('{"dataType":"bin","tableName":"t","parentNodeKey":"r0","childNodeFilterStr":"12345"}') == ("t", "bin", "r0", "12345")
+
+
+def test_answers(spark):
+    """Gets, messages for a row and for children; what is unknown, null or not there has no answer."""
+    rows = spark.createDataFrame(
+        [("0r", "bin", 0, bytearray(b"root")), ("1r0", "bin", 0, bytearray(b"a")), ("1r0", "bin", 1, bytearray(b"b")), ("1r5", "bin", 0, bytearray(b"c")), ("r", "hrc", 0, bytearray(b"h"))],
+        "row_key string, qualifier string, part int, value binary",
+    )
+    asked = [
+        "/pointCloudData/t?hrcName=r&binName=0r", "/pointCloudData/t?binName=0r", "/pointCloudData/t?binName=7r", "/other/t?binName=0r", "/pointCloudData/t?x=1",
+        '{"dataType":"bin","tableName":"t","dataName":"1r0"}', '{"dataType":"bin","tableName":"t","parentNodeKey":"r","childNodeFilterStr":"0559"}', "{broken", None,
+    ]
+    found = frames.answer(rows, spark.createDataFrame([(a,) for a in asked], "request string")).collect()
+    got = sorted((asked.index(r.request), r.name, r.part, bytes(r.payload)) for r in found)
+    assert got == [
+        (0, "0r.bin", 0, b"root"), (1, "0r.bin", 0, b"root"), (5, "1r0.bin", 0, b"a"), (5, "1r0.bin", 1, b"b"),
+        (6, "1r0.bin", 0, b"a"), (6, "1r0.bin", 1, b"b"), (6, "1r5.bin", 0, b"c"),
+    ]
+    assert all(frames.unframe(bytes(r.frame)) == (r.name, bytes(r.payload)) if r.framed else r.frame is None for r in found)
+
+
+def test_little_endian(spark):
+    import struct
+
+    golden = bytes([111, 123, 256 - 4, 256 - 98]).hex()
+    numbers = [0, 1, -1, 255, -32768, 2**31 - 1, -(2**31), 2**63 - 1, -(2**63)]
+    row = one(spark, encoding.from_little_endian(F.lit(golden), 4), *[encoding.to_little_endian(F.lit(n), 8) for n in numbers])
+    assert row[0] == -1627620497 and [bytes.fromhex(x) for x in row[1:]] == [struct.pack("<q", n) for n in numbers]
+    back = one(spark, *[encoding.from_little_endian(F.lit(struct.pack("<q", n).hex()), 8) for n in numbers], encoding.from_little_endian(F.lit("ff80"), 2, signed=False))
+    assert list(back) == [*numbers, 0x80FF]
+    doubles = [0.0, 1.5, -2.25, 1e300, -1e-300, 5e-324, 0.1, 2.0**1023, -1.7976931348623157e308]
+    assert list(one(spark, *[encoding.double_from_little_endian(F.lit(struct.pack("<d", x).hex())) for x in doubles])) == doubles
+    assert one(spark, encoding.double_from_little_endian(F.lit(struct.pack("<d", float("inf")).hex())))[0] is None
+
+
 def test_split_dimension(spark):
     s = lambda *v: [F.lit(float(x)) for x in v]
     row = one(spark, keys.split_dimension(*s(9, 9, 2), 3), keys.split_dimension(*s(9, 9, 3), 3), keys.split_dimension(*s(9, 9, 0.8), 10))

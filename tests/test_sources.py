@@ -98,6 +98,60 @@ def test_table_changes(table, spark):
     assert not table.exists()
 
 
+def test_scan_filters_and_families(table):
+    assert [r.name for r in table.scan(qualifier="bin", where=F.col("level") == 1).orderBy("name").collect()] == ["1r0-data-bin", "1r7-data-bin"]
+    assert table.scan(family="other").count() == 0
+
+
+def test_a_crash_between_renames_loses_nothing(table, spark):
+    """What is set aside is put back; a failed replacement leaves the old table."""
+    import os
+
+    before = table.rows().count()
+    os.rename(table.path, table.path + store.ASIDE)
+    assert table.rows().count() == before and not os.path.exists(table.path + store.ASIDE)
+    table.delete_row("1r0")
+    assert table.rows().count() == before - 1
+    new = store.BlobTable(spark, table.path + "2")
+    assert new.rows().count() == 0 and not new.exists()
+    new.create()
+    new.create()
+    assert new.exists() and new.rows().count() == 0
+    assert store.list_tables(spark, os.path.dirname(table.path)) == ["t", "t2"]
+    assert store.list_tables(spark, "/no/such/folder") == []
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from octavo.plans import tables
+
+    def session(master, named=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named, set=lambda *_: None), sparkContext=context)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.shared_dir(session(master))
+        assert tables.shared_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert tables.shared_dir(session("local[2]")) and tables.shared_dir(session("local"))
+
+
+def test_a_folder_left_behind_is_no_subpackage(tmp_path):
+    """With the corpus modules deleted and their caches left, the rest imports and has its queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/octavo", tmp_path / "octavo", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    (tmp_path / "octavo" / "llm" / "__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) == set(q) and len(q) > 50 and not [n for n in q if n.startswith('op1_')]"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
 def test_files_in_and_out(table, spark, tmp_path):
     (tmp_path / "out").mkdir()
     assert store.write_node_files(table.rows(), str(tmp_path / "out")) == 9
