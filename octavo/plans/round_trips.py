@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from octavo.functions import boxes, encoding, frames, keys
-from octavo.operators import cloud, hierarchy, lod, neighbors, octree
+from octavo.operators import cloud, hierarchy, neighbors, octree
 from octavo.plans import catalog, oracle
 from octavo.plans.catalog import _keyed, _points, _table, _tree
 from octavo.plans.tables import materialize, new_path
