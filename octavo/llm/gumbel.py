@@ -39,15 +39,16 @@ from pyspark.sql import functions as F
 
 from octavo.llm.shingles import mix
 from octavo.llm.tokens import default_path
+from octavo.plans.tables import tidy
 
 SPACE = "▁"
 #: Stands for a SPACE that the text itself holds; a lone surrogate, which no text can hold.
 LITERAL = "\ud800"
 #: Chunks up to so many characters are remembered; nodes after which all are forgotten.
 CACHED_LENGTH = 40
-CACHED_NODES = 2_500_000
+CACHED_NODES = 1_200_000
 #: Characters of a batch's texts that are sampled together.
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 18
 
 #: Underscores, carriage returns and a raised 2 are in the runs of other characters, since pieces join them to these.
 _CHUNK = re.compile(f"{SPACE}*[^\\W\\d_²]+|{SPACE}*(?:[^\\w\\s{SPACE}]|[_\\r²])+|{SPACE}*\\d|{SPACE}+|.", re.S)
@@ -78,6 +79,12 @@ class Lattice:
         for p in self.pieces:
             lengths.setdefault(p[:2], set()).add(len(p))
         self.lengths = {p: sorted(x, reverse=True) for p, x in lengths.items()}
+        #: The same for pieces of three characters or more, by their first three.
+        longer: dict[str, set[int]] = {}
+        for p in self.pieces:
+            if len(p) > 2:
+                longer.setdefault(p[:3], set()).add(len(p))
+        self.longer = {p: sorted(x, reverse=True) for p, x in longer.items()}
         self.byte_weight = -alpha * math.log(2 + n)
         #: Arcs' output: rows of flat; one for each piece, later one for each spelled character.
         self.out_start, self.out_size = list(range(n)), [1] * n
@@ -156,7 +163,7 @@ class Lattice:
 
     def _grow(self, chunks: list[str]) -> None:
         """Adds the nodes of many chunks together, shorter suffixes first, with their sums in numpy."""
-        known, pieces, lengths = self.node_of, self.pieces, self.lengths
+        known, piece_of, longer = self.node_of, self.pieces.get, self.longer.get
         fresh = []
         for chunk in chunks:
             for i in range(len(chunk)):
@@ -169,16 +176,22 @@ class Lattice:
         base = len(self.log_z)
         known.update(zip(fresh, range(base, base + len(fresh)), strict=True))
         outs, nexts, ends = [], [], []
+        out_add, next_add, end_add = outs.append, nexts.append, ends.append
         for rest in fresh:
-            head, n = rest[0], len(rest)
-            for i in lengths.get(rest[:2], ()):
-                if 1 < i <= n and (piece := pieces.get(rest[:i])) is not None:
-                    outs.append(piece)
-                    nexts.append(known[rest[i:]])
-            piece = pieces.get(head)
-            outs.append(self._spell(SPACE if head == LITERAL else head) if piece is None else piece)
-            nexts.append(known[rest[1:]])
-            ends.append(len(outs))
+            n = len(rest)
+            if n > 1:
+                for i in longer(rest[:3], ()):
+                    if i <= n and (piece := piece_of(rest[:i])) is not None:
+                        out_add(piece)
+                        next_add(known[rest[i:]])
+                if (piece := piece_of(rest[:2])) is not None:
+                    out_add(piece)
+                    next_add(known[rest[2:]])
+            head = rest[0]
+            piece = piece_of(head)
+            out_add(self._spell(SPACE if head == LITERAL else head) if piece is None else piece)
+            next_add(known[rest[1:]])
+            end_add(len(outs))
         out, after, end = np.array(outs, dtype=np.int32), np.array(nexts, dtype=np.int32), np.array(ends, dtype=np.int64)
         size = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh))
         log, z = np.array(self.out_weight)[out], np.concatenate([np.array(self.log_z), np.zeros(len(fresh))])
@@ -401,13 +414,16 @@ def sample_segmentations(
     text: str = "text",
     model: str | None = None,
     verify: bool = False,
+    packed: bool = False,
 ) -> DataFrame:
     """One row per document and sample: doc_id, sample, ids, log_prob, perturbed, inclusion.
 
-    With verify there is a column decoded: whether the ids decode to the text.
+    With packed the ids are bytes, little-endian unsigned 32-bit numbers, which are cheaper to write. With verify
+    there is a column decoded: whether the ids decode to the text.
     """
     path = model or default_path("piece_bpe_32k.model")
-    schema = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double" + ", decoded boolean" * verify
+    kind = "binary" if packed else "array<int>"
+    schema = f"doc_id long, sample int, ids {kind}, log_prob double, perturbed double, inclusion double" + ", decoded boolean" * verify
     names = [x.split()[0] for x in schema.split(", ")]
 
     def runs(batch: pa.RecordBatch):
@@ -435,16 +451,21 @@ def sample_segmentations(
                     for number, found in enumerate(samples)
                 ]
                 pieces = [r[3] for r in rows]
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
+                if packed:
+                    column = pa.array([p.astype("<u4").tobytes() for p in pieces], pa.binary())
+                else:
+                    ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
+                    column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces).astype(np.int32)))
                 out = [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces).astype(np.int32))),
+                    column,
                     *[pa.array([r[j] for r in rows], pa.float64()) for j in (4, 5, 6)],
                 ]
                 if verify:
                     out.append(pa.array([lattice.spells(r[3], r[2]) for r in rows], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        tidy()
 
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return slim.mapInArrow(sampled, schema)

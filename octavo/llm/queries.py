@@ -44,7 +44,7 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gumbel.sample_segmentations(_read(spark, sf_dir, "documents"), k=2)
+    return gumbel.sample_segmentations(_read(spark, sf_dir, "documents"), k=2, packed=True)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

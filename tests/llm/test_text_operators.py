@@ -283,6 +283,9 @@ def test_samples_decode_and_do_not_depend_on_batches(spark, edge, empty):
     assert one(found) == one(gumbel.sample_segmentations(edge.coalesce(1), k=2))
     verified = gumbel.sample_segmentations(edge, k=2, verify=True).collect()
     assert all(r.decoded for r in verified)
+    packed = gumbel.sample_segmentations(edge, k=2, packed=True).collect()
+    of = lambda rows, ids: sorted((r.doc_id or 0, r["sample"], tuple(ids(r)), r.perturbed) for r in rows)
+    assert of(packed, lambda r: np.frombuffer(r.ids, dtype="<u4").tolist()) == of(verified, lambda r: r.ids)
     blank = [r for r in verified if r.doc_id == 4]
     assert [(r.ids, r.log_prob, r.inclusion) for r in blank] == [([], 0.0, 1.0)]
     assert gumbel.sample_segmentations(empty).count() == 0
