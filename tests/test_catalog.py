@@ -38,7 +38,7 @@ def large_node(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["child_scan", "blob_scan", "composite_key_split", "node_files", "serve_requests"])
+@pytest.mark.parametrize("name", ["child_scan", "blob_scan", "composite_key_split", "node_files", "serve_requests", "table_changes"])
 def test_large_node_equals_sql(spark, large_node, name):
     """A node of more points than a part holds is one row of the table, of a scan, of files and of answers."""
     assert same(QUERIES[name](spark, large_node), SQL[name], large_node) > 0
