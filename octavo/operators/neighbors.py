@@ -1,4 +1,4 @@
-"""Neighbourhoods of points in cubes, by a join on grid cells, and what is computed from them.
+"""Neighbourhoods of points in cubes, by a join on grid cells or sums over tiles, and what is computed from them.
 
 Cases: points with a null or NaN coordinate have no place and are left out, here and as neighbours; points of
 one place are one row with a multiplicity; a search cube without extent is refused; no points give no
@@ -9,13 +9,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from octavo.operators import boxsums
 from octavo.operators.octree import placed
 from octavo.plans.tables import repeat_rows
 
 AXES = ("x", "y", "z")
+#: Pairs that the join would look at for each point, on average, from which sums over tiles take its place.
+DENSE = 1000
+#: Sides of a tile in search cubes, and places of a tile and its rim that a task may hold; the first side that fits is taken.
+TILES, GROUP = (3.0, 1.0, 0.25), 2_000_000
 
 
 def neighbour_pairs(points: DataFrame, side: float) -> DataFrame:
@@ -46,8 +53,56 @@ def neighbour_pairs(points: DataFrame, side: float) -> DataFrame:
     return here.join(there, ["cx", "cy", "cz"]).where(within).drop("cx", "cy", "cz")
 
 
+def tile_width(points: DataFrame, side: float) -> float | None:
+    """Width of the tiles for sums without pairs, or None where the points are so thin that the join is cheap."""
+    if side <= 0:
+        raise ValueError("the search cube has no extent")
+    cells = placed(points).groupBy(*[F.floor(F.col(a) / F.lit(side)).alias(f"c{a}") for a in AXES]).agg(F.count("*").cast("double").alias("n"))
+    held = cells.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    if not held.n or 8 * held.pairs / held.n < DENSE:
+        return None
+    return side * next((k for k in TILES if (k + 1) ** 3 * held.most <= GROUP), TILES[-1])
+
+
+def _tiled(points: DataFrame, side: float, width: float, moments: bool) -> DataFrame:
+    """x, y, z, m, n and with moments the sums sx..szz of each place, a tile a task.
+
+    A tile has copies of the places within half a search cube of it. Work is in proportion to the places times
+    the square of the logarithm of a tile's places, whatever the number of neighbours.
+    """
+    half = side / 2
+    tile = lambda c: F.floor(c / F.lit(width)).cast("long")
+    finite = [F.abs(F.col(a)) < F.lit(math.inf) for a in AXES]  # an infinite coordinate is near nothing, itself included
+    rows = placed(points).where(finite[0] & finite[1] & finite[2]).groupBy(*AXES).agg(F.count("*").alias("m"))
+    own = [tile(F.col(a)) for a in AXES]
+    for a in AXES:
+        slack = F.abs(F.col(a)) * 1e-15 + half * (1 + 1e-12)
+        rows = rows.withColumn(f"t{a}", F.explode(F.sequence(tile(F.col(a) - slack), tile(F.col(a) + slack))))
+    rows = rows.withColumn("own", (F.col("tx") == own[0]) & (F.col("ty") == own[1]) & (F.col("tz") == own[2]))
+    named = [f"s{a}" for a in AXES] + [f"s{AXES[a]}{AXES[b]}" for a, b in boxsums.PAIRS] if moments else []
+
+    def summed(table: pa.Table) -> pa.Table:
+        places = np.column_stack([table.column(a).to_numpy() for a in AXES])
+        m, asked = table.column("m").to_numpy(), np.flatnonzero(table.column("own").to_numpy())
+        out = [*places[asked].T, m[asked]]
+        if not len(asked):
+            out += [np.empty(0, np.int64), *[np.empty(0)] * len(named)]
+        elif moments:
+            n, sums = boxsums.moments(places, m, asked, half)
+            out += [n, *sums.T]
+        else:
+            out.append(boxsums.counts(places, m, asked, half))
+        return pa.table([pa.array(np.ascontiguousarray(c)) for c in out], names=[*AXES, "m", "n", *named])
+
+    kinds = ", ".join(f"{c} double" for c in named)
+    return rows.groupBy("tx", "ty", "tz").applyInArrow(summed, "x double, y double, z double, m long, n long" + (f", {kinds}" if kinds else ""))
+
+
 def neighbour_counts(points: DataFrame, side: float) -> DataFrame:
     """x, y, z, m, n_neighbors for each place, itself included."""
+    width = tile_width(points, side)
+    if width:
+        return _tiled(points, side, width, moments=False).withColumnRenamed("n", "n_neighbors")
     return neighbour_pairs(points, side).groupBy(*AXES, "m").agg(F.sum("nm").alias("n_neighbors"))
 
 

@@ -1,4 +1,5 @@
 import itertools
+import math
 from collections import Counter
 
 import numpy as np
@@ -145,6 +146,25 @@ def test_neighbours_against_brute_force(random_cloud):
             assert np.allclose([r.cxx, r.cxy, r.cxz, r.cyy, r.cyz, r.czz], cov[np.triu_indices(3)], atol=1e-9)
 
 
+def _dense_cloud(spark):
+    """Whole numbers, equal places, edges at exactly half a cube, a place alone, places without coordinates."""
+    rng = np.random.default_rng(5)
+    p = [(float(rng.integers(-4, 5)), round(float(rng.uniform(-5, 5)), 1), float(rng.normal())) for _ in range(1500)]
+    odd = [(90.0, 90.0, 90.0)] * 4 + [(math.nan, 0.0, 0.0)]
+    return spark.createDataFrame(p + p[:200] + odd, "x double, y double, z double")
+
+
+def test_dense_neighbour_counts_without_pairs(spark, monkeypatch):
+    p = _dense_cloud(spark)
+    want = sorted(map(tuple, neighbors.neighbour_counts(p, 2.0).collect()))
+    monkeypatch.setattr(neighbors, "DENSE", 1)
+    monkeypatch.setattr(neighbors, "neighbour_pairs", None)  # no pairs from here on
+    for group in (2_000_000, 1):  # the widest and the narrowest tiles
+        monkeypatch.setattr(neighbors, "GROUP", group)
+        found = neighbors.neighbour_counts(p, 2.0)
+        assert sorted(map(tuple, found.select("x", "y", "z", "m", "n_neighbors").collect())) == want
+
+
 def test_normals_of_a_plane(spark):
     plane = make(spark, [(i, j, 0.5 * i) for i, j in itertools.product(range(8), repeat=2)])
     n = np.array([0.5, 0, -1]) / np.sqrt(1.25)
