@@ -113,11 +113,15 @@ def covariances(points: DataFrame, side: float) -> DataFrame:
     """
     d = {a: F.col(f"n{a}") - F.col(a) for a in AXES}
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
-    sums = neighbour_pairs(points, side).groupBy(*AXES, "m").agg(
-        F.sum("nm").alias("n"),
-        *[F.sum(F.col("nm") * d[a]).alias(f"s{a}") for a in AXES],
-        *[F.sum(F.col("nm") * d[a] * d[b]).alias(f"s{a}{b}") for a, b in pairs],
-    )
+    width = tile_width(points, side)
+    if width:
+        sums = _tiled(points, side, width, moments=True)
+    else:
+        sums = neighbour_pairs(points, side).groupBy(*AXES, "m").agg(
+            F.sum("nm").alias("n"),
+            *[F.sum(F.col("nm") * d[a]).alias(f"s{a}") for a in AXES],
+            *[F.sum(F.col("nm") * d[a] * d[b]).alias(f"s{a}{b}") for a, b in pairs],
+        )
     n = F.col("n")
     cov = lambda a, b: F.when(n > 1, (F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / n) / (n - 1))
     return sums.select(*AXES, "m", "n", *[cov(a, b).alias(f"c{a}{b}") for a, b in pairs])

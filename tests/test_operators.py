@@ -165,6 +165,18 @@ def test_dense_neighbour_counts_without_pairs(spark, monkeypatch):
         assert sorted(map(tuple, found.select("x", "y", "z", "m", "n_neighbors").collect())) == want
 
 
+def test_dense_covariances_without_pairs(spark, monkeypatch):
+    p = _dense_cloud(spark)
+    want = sorted(map(tuple, neighbors.covariances(p, 2.0).collect()))
+    monkeypatch.setattr(neighbors, "DENSE", 1)
+    monkeypatch.setattr(neighbors, "neighbour_pairs", None)
+    found = sorted(map(tuple, neighbors.covariances(p, 2.0).collect()))
+    assert [r[:5] for r in found] == [r[:5] for r in want]
+    for a, b in zip(found, want, strict=True):
+        assert all(u == v if v is None else abs(u - v) < 1e-12 for u, v in zip(a[5:], b[5:], strict=True))
+    assert [r[5:] for r in found if r[0] == 90.0] == [(0.0,) * 6]
+
+
 def test_normals_of_a_plane(spark):
     plane = make(spark, [(i, j, 0.5 * i) for i, j in itertools.product(range(8), repeat=2)])
     n = np.array([0.5, 0, -1]) / np.sqrt(1.25)
