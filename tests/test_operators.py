@@ -177,6 +177,16 @@ def test_dense_covariances_without_pairs(spark, monkeypatch):
     assert [r[5:] for r in found if r[0] == 90.0] == [(0.0,) * 6]
 
 
+def test_dense_normals_without_pairs(spark, monkeypatch):
+    p = _dense_cloud(spark)
+    want = sorted(map(tuple, neighbors.normals(p, 2.0, 1e-3).collect()))
+    monkeypatch.setattr(neighbors, "DENSE", 1)
+    monkeypatch.setattr(neighbors, "neighbour_pairs", None)
+    found = sorted(map(tuple, neighbors.normals(p, 2.0, 1e-3).collect()))
+    assert [r[:5] for r in found] == [r[:5] for r in want]
+    assert np.abs(np.array([r[5:] for r in found]) - np.array([r[5:] for r in want])).max() < 1e-8
+
+
 def test_normals_of_a_plane(spark):
     plane = make(spark, [(i, j, 0.5 * i) for i, j in itertools.product(range(8), repeat=2)])
     n = np.array([0.5, 0, -1]) / np.sqrt(1.25)
