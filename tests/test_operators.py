@@ -187,6 +187,15 @@ def test_dense_normals_without_pairs(spark, monkeypatch):
     assert np.abs(np.array([r[5:] for r in found]) - np.array([r[5:] for r in want])).max() < 1e-8
 
 
+def test_dense_normal_lines_without_pairs(spark, monkeypatch):
+    p = _dense_cloud(spark)
+    lines = lambda: sorted(r.value for r in neighbors.normal_lines(neighbors.normals(p, 2.0, 1e-3), digits=3).collect())
+    want = lines()
+    monkeypatch.setattr(neighbors, "DENSE", 1)
+    monkeypatch.setattr(neighbors, "neighbour_pairs", None)
+    assert lines() == want and len(want) == 1704
+
+
 def test_normals_of_a_plane(spark):
     plane = make(spark, [(i, j, 0.5 * i) for i, j in itertools.product(range(8), repeat=2)])
     n = np.array([0.5, 0, -1]) / np.sqrt(1.25)
