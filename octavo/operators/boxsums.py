@@ -3,8 +3,8 @@
 One axis is the leaves of a segment tree, so that a range of it is few nodes; each level of the tree is sorted by node
 and second axis, so that a node's share of a range is a run of rows; the runs of all queries then go down a wavelet
 matrix of the third axis, whose prefix sums give what lies in a range of that. For n places that is
-n log(n)**2 steps at most, and fewer where axes have few distinct values. Prefix sums are of 80-bit floats where the
-machine has them: a sum is right to some 1e-15 of what the whole group adds up to.
+n log(n)**2 steps at most, and fewer where axes have few distinct values. Prefix sums are of whole numbers of 64 bits, so
+they add no error: a sum is off by what its terms were rounded by, some 1e-18 each of what the fullest cubes add up to.
 """
 
 from __future__ import annotations
@@ -17,6 +17,13 @@ AXES = 3
 PAIRS = [(a, b) for a in range(AXES) for b in range(a, AXES)]
 
 
+def counted(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and how often each is there."""
+    points = points[np.lexsort(points.T)]
+    first = np.concatenate([[0], 1 + np.flatnonzero((points[1:] != points[:-1]).any(axis=1))])
+    return points[first], np.diff(first, append=len(points))
+
+
 def window(values: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
     """For each of sorted distinct values, the first and past the last that differ by at most half, as differences round."""
     n = len(values)
@@ -91,17 +98,31 @@ def counts(places: np.ndarray, m: np.ndarray, asked: np.ndarray, half: float) ->
     return box_sums(places, m[:, None].astype(np.int64), asked, half)[:, 0]
 
 
+def _whole(values: np.ndarray, places: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """Columns as whole numbers of a power of two each, as fine as lets the sums of a cube stay in 64 bits, and the powers.
+
+    A cube touches at most 8 cells of its own width. Prefix sums may leave 64 bits, but they wrap, so that differences hold.
+    """
+    cells = np.minimum((places - places.min(axis=0)) / (2 * half * (1 + 1e-9)), (1 << 20) - 1).astype(np.int64)
+    _, cell = np.unique(cells @ np.array([1 << 40, 1 << 20, 1]), return_inverse=True)
+    most = [np.bincount(cell, weights=c).max() for c in np.abs(values).T.astype(np.float64)]
+    power = 62 - np.frexp(8 * np.array(most))[1]
+    return np.rint(np.ldexp(values, power)).astype(np.int64), power
+
+
 def moments(places: np.ndarray, m: np.ndarray, asked: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
     """The number of points in each cube, and the sums of their differences from its place, singly (x, y, z) and as
     products (xx, xy, xz, yy, yz, zz). Where the cube has one place they are exactly zero."""
-    centre = places[asked].mean(axis=0)
-    off = places.astype(np.longdouble) - centre
-    w = m.astype(np.longdouble)
-    made = [np.ones(len(m), np.longdouble), w, *[w * off[:, a] for a in range(AXES)], *[w * off[:, a] * off[:, b] for a, b in PAIRS]]
-    found = box_sums(places, np.column_stack(made), asked, half)
-    at, n, single, double = off[asked], found[:, 1], found[:, 2:5], found[:, 5:]
+    # A centre of few bits: coordinates of few bits stay so, and nothing of them is rounded.
+    step = np.exp2(np.frexp(np.ptp(places, axis=0).max())[1] - 4.0)
+    off = places.astype(np.longdouble) - np.rint(places[asked].mean(axis=0) / step) * step
+    weighted = m[:, None] * off
+    whole, power = _whole(np.column_stack([weighted, *[weighted[:, a] * off[:, b] for a, b in PAIRS]]), places, half)
+    found = box_sums(places, np.column_stack([m, whole]), asked, half)
+    at, n, sums = off[asked], found[:, 0], np.ldexp(found[:, 1:].astype(np.longdouble), -power)
+    single, double = sums[:, :3], sums[:, 3:]
     first = single - n[:, None] * at
     second = [double[:, i] - at[:, a] * single[:, b] - at[:, b] * single[:, a] + n * at[:, a] * at[:, b] for i, (a, b) in enumerate(PAIRS)]
     out = np.column_stack([first, *second]).astype(np.float64)
-    out[found[:, 0] < 1.5] = 0.0
-    return np.rint(n).astype(np.int64), out
+    out[n == m[asked]] = 0.0
+    return n, out

@@ -8,6 +8,7 @@ rows; columns other than the coordinates are not read, but by load_order, which
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ AXES = ("x", "y", "z")
 DENSE = 1000
 #: Sides of a tile in search cubes, and places of a tile and its rim that a task may hold; the first side that fits is taken.
 TILES, GROUP = (3.0, 1.0, 0.25), 2_000_000
+#: Points for each of the partitions that tiles are dealt to.
+DEALT = 250_000
 
 
 def neighbour_pairs(points: DataFrame, side: float) -> DataFrame:
@@ -53,37 +56,47 @@ def neighbour_pairs(points: DataFrame, side: float) -> DataFrame:
     return here.join(there, ["cx", "cy", "cz"]).where(within).drop("cx", "cy", "cz")
 
 
-def tile_width(points: DataFrame, side: float) -> float | None:
-    """Width of the tiles for sums without pairs, or None where the points are so thin that the join is cheap."""
+def tiling(points: DataFrame, side: float) -> tuple[float, int, bool] | None:
+    """Width of the tiles for sums without pairs, partitions that they are dealt to, and whether a tile's points are few
+    enough for its task, equal ones included. None where the points are so thin that the join is cheap."""
     if side <= 0:
         raise ValueError("the search cube has no extent")
     cells = placed(points).groupBy(*[F.floor(F.col(a) / F.lit(side)).alias(f"c{a}") for a in AXES]).agg(F.count("*").cast("double").alias("n"))
     held = cells.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
     if not held.n or 8 * held.pairs / held.n < DENSE:
         return None
-    return side * next((k for k in TILES if (k + 1) ** 3 * held.most <= GROUP), TILES[-1])
+    width = next((k for k in TILES if (k + 1) ** 3 * held.most <= GROUP), None)
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(held.n / DEALT))
+    return side * (width or TILES[-1]), parts, width is not None
 
 
-def _tiled(points: DataFrame, side: float, width: float, moments: bool) -> DataFrame:
+def _tiled(points: DataFrame, side: float, width: float, parts: int, few: bool, moments: bool) -> DataFrame:
     """x, y, z, m, n and with moments the sums sx..szz of each place, a tile a task.
 
     A tile has copies of the places within half a search cube of it. Work is in proportion to the places times
-    the square of the logarithm of a tile's places, whatever the number of neighbours.
+    the square of the logarithm of a tile's places, whatever the number of neighbours. Equal points are counted before they
+    are dealt, or where a tile's points are few, once its task has them, which saves a shuffle of all points.
     """
     half = side / 2
     tile = lambda c: F.floor(c / F.lit(width)).cast("long")
     finite = [F.abs(F.col(a)) < F.lit(math.inf) for a in AXES]  # an infinite coordinate is near nothing, itself included
-    rows = placed(points).where(finite[0] & finite[1] & finite[2]).groupBy(*AXES).agg(F.count("*").alias("m"))
-    own = [tile(F.col(a)) for a in AXES]
+    rows = placed(points).where(finite[0] & finite[1] & finite[2]).select(*AXES)
+    if not few:
+        rows = rows.groupBy(*AXES).agg(F.count("*").alias("m"))
     for a in AXES:
         slack = F.abs(F.col(a)) * 1e-15 + half * (1 + 1e-12)
         rows = rows.withColumn(f"t{a}", F.explode(F.sequence(tile(F.col(a) - slack), tile(F.col(a) + slack))))
-    rows = rows.withColumn("own", (F.col("tx") == own[0]) & (F.col("ty") == own[1]) & (F.col("tz") == own[2]))
+    rows = rows.repartition(parts, "tx", "ty", "tz")
     named = [f"s{a}" for a in AXES] + [f"s{AXES[a]}{AXES[b]}" for a, b in boxsums.PAIRS] if moments else []
 
     def summed(table: pa.Table) -> pa.Table:
-        places = np.column_stack([table.column(a).to_numpy() for a in AXES])
-        m, asked = table.column("m").to_numpy(), np.flatnonzero(table.column("own").to_numpy())
+        places = np.column_stack([table.column(a).to_numpy() for a in AXES]) + 0.0  # no negative zeros
+        at = [table.column(f"t{a}")[0].as_py() for a in AXES]
+        if few:
+            places, m = boxsums.counted(places)
+        else:
+            m = table.column("m").to_numpy()
+        asked = np.flatnonzero((np.floor(places / width) == at).all(axis=1))
         out = [*places[asked].T, m[asked]]
         if not len(asked):
             out += [np.empty(0, np.int64), *[np.empty(0)] * len(named)]
@@ -100,9 +113,9 @@ def _tiled(points: DataFrame, side: float, width: float, moments: bool) -> DataF
 
 def neighbour_counts(points: DataFrame, side: float) -> DataFrame:
     """x, y, z, m, n_neighbors for each place, itself included."""
-    width = tile_width(points, side)
-    if width:
-        return _tiled(points, side, width, moments=False).withColumnRenamed("n", "n_neighbors")
+    tiles = tiling(points, side)
+    if tiles:
+        return _tiled(points, side, *tiles, moments=False).withColumnRenamed("n", "n_neighbors")
     return neighbour_pairs(points, side).groupBy(*AXES, "m").agg(F.sum("nm").alias("n_neighbors"))
 
 
@@ -113,9 +126,9 @@ def covariances(points: DataFrame, side: float) -> DataFrame:
     """
     d = {a: F.col(f"n{a}") - F.col(a) for a in AXES}
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
-    width = tile_width(points, side)
-    if width:
-        sums = _tiled(points, side, width, moments=True)
+    tiles = tiling(points, side)
+    if tiles:
+        sums = _tiled(points, side, *tiles, moments=True)
     else:
         sums = neighbour_pairs(points, side).groupBy(*AXES, "m").agg(
             F.sum("nm").alias("n"),
@@ -137,40 +150,54 @@ def normals(points: DataFrame, side: float, least_gap: float = 1e-9) -> DataFram
     All neighbours count. The first of the largest components is positive. spread_gap is how far the least
     eigenvalue lies below the next, as a share of the largest: the smaller it is, the less certain is the
     direction. Below three points, or where the gap is not over least_gap (places on a line, or as wide in
-    two directions), the normal is (0, 0, 0). Eigenvalues come in closed form, so all is one expression a row.
+    two directions), the normal is (0, 0, 0). Eigenvalues come in closed form, a batch of rows at a time: as one Spark
+    expression the code is too long for the JVM to compile.
     """
-    found = covariances(points, side).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")})
-    a, b, c, d, e, f = (F.col(x) for x in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz"))
-    mean = (a + d + f) / 3
-    found = found.withColumn("octavo_mean", mean)
-    q = F.col("octavo_mean")
-    off = b * b + c * c + e * e
-    found = found.withColumn("octavo_p", F.sqrt(((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2 * off) / 6))
-    p = F.col("octavo_p")
-    det = (a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)
-    ratio = F.greatest(F.least(F.try_divide(det, 2 * p * p * p), F.lit(1.0)), F.lit(-1.0))
-    found = found.withColumn("octavo_angle", F.when(p > 0, F.acos(ratio) / 3).otherwise(0.0))
-    high = q + 2 * p * F.cos(F.col("octavo_angle"))
-    low = q + 2 * p * F.cos(F.col("octavo_angle") + F.lit(2 * math.pi / 3))
-    found = found.withColumns({"octavo_high": high, "octavo_low": low})
-    root = F.col("octavo_low")
-    gap = F.coalesce(F.try_divide(3 * q - F.col("octavo_high") - 2 * root, F.col("octavo_high")), F.lit(0.0))
-    rows = ((a - root, b, c), (b, d - root, e), (c, e, f - root))
-    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
-    made = []
-    for i, j in ((0, 1), (0, 2), (1, 2)):
-        v = cross(rows[i], rows[j])
-        made.append(F.struct((v[0] * v[0] + v[1] * v[1] + v[2] * v[2]).alias("s"), *[x.alias(k) for x, k in zip(v, AXES, strict=True)]))
-    found = found.withColumn("spread_gap", gap).withColumn("octavo_v", F.greatest(*made))
-    v = F.col("octavo_v")
-    sized = [F.try_divide(v[k], F.sqrt(v["s"])) for k in AXES]
-    found = found.withColumn("octavo_u", F.struct(*[x.alias(k) for x, k in zip(sized, AXES, strict=True)]))
-    u = F.col("octavo_u")
-    most = F.greatest(*[F.abs(u[k]) for k in AXES]) - ALIKE
-    lead = F.when(F.abs(u["x"]) >= most, u["x"]).when(F.abs(u["y"]) >= most, u["y"]).otherwise(u["z"])
-    known = (F.col("n") >= 3) & (F.col("spread_gap") > least_gap) & (v["s"] > 0)
-    normal = [F.when(known, F.when(lead < 0, -u[k]).otherwise(u[k])).otherwise(0.0).alias(f"normal_{k}") for k in AXES]
-    return found.select(*AXES, "m", "n", *normal, "spread_gap")
+    spreads = ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")
+
+    def directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [batch.column(c) for c in (*AXES, "m", "n")]
+            found = _least_spread([batch.column(c).to_numpy() for c in spreads], kept[-1].to_numpy(), least_gap)
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, found)], names=names)
+
+    schema = "x double, y double, z double, m long, n long, normal_x double, normal_y double, normal_z double, spread_gap double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    found = covariances(points, side).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in spreads})
+    return found.select(*AXES, "m", "n", *spreads).mapInArrow(directed, schema)
+
+
+def _least_spread(spreads: list[np.ndarray], n: np.ndarray, least_gap: float) -> list[np.ndarray]:
+    """normal_x, normal_y, normal_z and spread_gap of covariances xx, xy, xz, yy, yz, zz of n points."""
+    a, b, c, d, e, f = spreads
+    with np.errstate(all="ignore"):
+        q = (a + d + f) / 3
+        off = b * b + c * c + e * e
+        p = np.sqrt(((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2 * off) / 6)
+        det = (a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)
+        cube = 2 * p * p * p
+        ratio = np.fmax(np.fmin(np.where(cube != 0, det / cube, 1.0), 1.0), -1.0)
+        angle = np.where(p > 0, np.arccos(ratio) / 3, 0.0)
+        high, root = q + 2 * p * np.cos(angle), q + 2 * p * np.cos(angle + 2 * math.pi / 3)
+        gap = np.where(high != 0, (3 * q - high - 2 * root) / high, 0.0)
+        rows = ((a - root, b, c), (b, d - root, e), (c, e, f - root))
+        cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+        best = None
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            v = cross(rows[i], rows[j])
+            v = (v[0] * v[0] + v[1] * v[1] + v[2] * v[2], *v)
+            if best is None:
+                best = v
+                continue
+            more = v[3] > best[3]  # of equal lengths the greater by x, y and z
+            for now, then in zip(v[2::-1], best[2::-1], strict=True):
+                more = (now > then) | ((now == then) & more)
+            best = tuple(np.where(more, now, then) for now, then in zip(v, best, strict=True))
+        u = [k / np.sqrt(best[0]) for k in best[1:]]
+        most = np.maximum(np.maximum(np.abs(u[0]), np.abs(u[1])), np.abs(u[2])) - ALIKE
+        lead = np.where(np.abs(u[0]) >= most, u[0], np.where(np.abs(u[1]) >= most, u[1], u[2]))
+        known = (n >= 3) & (gap > least_gap) & (best[0] > 0)
+        return [*[np.where(known, np.where(lead < 0, -k, k), 0.0) for k in u], gap]
 
 
 def normal_lines(found: DataFrame, digits: int | None = None) -> DataFrame:

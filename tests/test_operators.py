@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from octavo.functions import boxes, encoding
-from octavo.operators import cloud, hierarchy, lod, neighbors, octree
+from octavo.operators import boxsums, cloud, hierarchy, lod, neighbors, octree
 from octavo.sources import store
 
 POINT = "x double, y double, z double, r int, g int, b int"
@@ -196,6 +196,31 @@ def test_dense_normal_lines_without_pairs(spark, monkeypatch):
     assert lines() == want and len(want) == 1704
 
 
+def _steps(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("Initial Plan")[0]
+
+
+def test_dense_normals_take_one_shuffle_and_compiled_code(spark, monkeypatch):
+    """Points are dealt to tiles once, equal ones too; the closed form is no Spark expression, which would not be compiled."""
+    monkeypatch.setattr(neighbors, "DENSE", 1)
+    steps = _steps(neighbors.normals(_dense_cloud(spark), 2.0, 1e-3))
+    assert steps.count("Exchange ") == 1 and "ACOS" not in steps.upper() and "MapInArrow" in steps
+
+
+def test_box_sums_hold_where_prefix_sums_wrap():
+    """Many groups far apart: each cube's sums are near 64 bits, sums over all are far beyond."""
+    rng = np.random.default_rng(2)
+    places = np.unique(np.concatenate([rng.uniform(0, 1, (40, 3)) + [4.0 * k, 0.0, 0.0] for k in range(200)]), axis=0)
+    m = rng.integers(1, 1000, len(places))
+    n, sums = boxsums.moments(places, m, np.arange(len(places)), 1.0)
+    for i in range(0, len(places), 97):
+        near = (np.abs(places - places[i]) <= 1.0).all(axis=1)
+        d, w = places[near].astype(np.longdouble) - places[i], m[near]
+        want = [*(w[:, None] * d).sum(axis=0), *[(w * d[:, a] * d[:, b]).sum() for a, b in boxsums.PAIRS]]
+        assert n[i] == w.sum() and np.abs(np.array(want) - sums[i]).max() < 1e-6  # of 3e9 from the middle
+
+
 def test_normals_of_a_plane(spark):
     plane = make(spark, [(i, j, 0.5 * i) for i, j in itertools.product(range(8), repeat=2)])
     n = np.array([0.5, 0, -1]) / np.sqrt(1.25)
