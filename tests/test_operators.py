@@ -208,6 +208,12 @@ def test_dense_normals_take_one_shuffle_and_compiled_code(spark, monkeypatch):
     assert steps.count("Exchange ") == 1 and "ACOS" not in steps.upper() and "MapInArrow" in steps
 
 
+def test_dense_normal_lines_take_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "DENSE", 1)
+    lines = neighbors.normal_lines(neighbors.normals(_dense_cloud(spark), 2.0, 1e-3), digits=3)
+    assert _steps(lines).count("Exchange ") == 1 and lines.count() == 1704
+
+
 def test_box_sums_hold_where_prefix_sums_wrap():
     """Many groups far apart: each cube's sums are near 64 bits, sums over all are far beyond."""
     rng = np.random.default_rng(2)
