@@ -232,6 +232,7 @@ def fit_order(docs: DataFrame, width: int, num: int) -> tuple[np.ndarray, int]:
                 [pa.array([len(t) for t in sets], pa.int64()), pa.array(sums, pa.int64()), _lists(sets, pa.int64())],
                 names=["n", "s1", "t"],
             )
+        tidy()
 
     sample = materialize(
         picked.mapInArrow(tokens, "n long, s1 long, t array<long>").dropDuplicates(["n", "s1"]), "jaccard-sample"
@@ -258,6 +259,7 @@ def _marked(lists: DataFrame, late: np.ndarray) -> DataFrame:
         for batch in batches:
             is_late = np.isin(batch.column(0).to_numpy().view(np.uint64), late)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(is_late)], names=["t", "count", "late"])
+        tidy()
 
     return lists.select("t", "count").mapInArrow(marked, "t long, count long, late boolean")
 
@@ -296,7 +298,7 @@ def _list_pairs(postings: DataFrame, num: int) -> DataFrame:
                 continue
             i, j = np.triu_indices(size, 1)
             first = starts[sizes == size]
-            step = max(1, 2_000_000 // len(i))
+            step = max(1, 500_000 // len(i))
             for k in range(0, len(first), step):
                 a = (first[k : k + step, None] + i).ravel()
                 b = (first[k : k + step, None] + j).ravel()
@@ -333,6 +335,7 @@ def _list_pairs(postings: DataFrame, num: int) -> DataFrame:
         if held is not None and len(held[0]):
             out = pairs_of(*held)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+        tidy()
 
     dealt = postings.select("t", "id", "n", "pos", "mini", "heads").repartition("t").sortWithinPartitions("t")
     return dealt.mapInArrow(paired, "a long, b long").distinct()
@@ -352,7 +355,7 @@ def _near_enough(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
             ok = np.zeros(len(na), dtype=bool)
             for ka, kb in np.unique(shape, axis=0):
                 at = np.flatnonzero((shape[:, 0] == ka) & (shape[:, 1] == kb))
-                for part in np.array_split(at, -(-len(at) * int(max(ka, kb)) // (4 << 20))):
+                for part in np.array_split(at, -(-len(at) * int(max(ka, kb)) // (1 << 20))):
                     x, y = (
                         np.frombuffer(b"".join([r[i] for i in part]), dtype=np.uint8).reshape(len(part), -1).astype(np.int64)
                         for r in raw
@@ -361,6 +364,7 @@ def _near_enough(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
                     far = np.abs(_folded(x, k) - _folded(y, k)).sum(axis=1)
                     ok[part] = far <= na[part] + nb[part] - 2 * least_overlap(na[part], nb[part], num)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
+        tidy()
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb")
     return joined.mapInArrow(bounded, "a long, b long")
@@ -396,6 +400,7 @@ def _resolve(docs: DataFrame, clusters: DataFrame, width: int, num: int) -> Data
                         yield batch_of(rows)
                         rows, size = [], 0
             yield batch_of(rows)
+        tidy()
 
     def forest(ids, own, tokens, i, j):
         """What the links between the blocks (or within the one block) join, as edges to the first of each group."""
@@ -407,7 +412,7 @@ def _resolve(docs: DataFrame, clusters: DataFrame, width: int, num: int) -> Data
         order = np.argsort(index, kind="stable")
         row, index = row[order], index[order]
         common = np.zeros((len(tokens), len(tokens)), dtype=np.float32)
-        width = max(1, 8_000_000 // len(tokens))
+        width = max(1, 4_000_000 // len(tokens))
         top = int(index[-1]) + 1 if len(index) else 0
         for at in range(0, top, width):
             a, b = np.searchsorted(index, [at, at + width])
@@ -450,6 +455,8 @@ def _resolve(docs: DataFrame, clusters: DataFrame, width: int, num: int) -> Data
                     held.append((doc, own, np.frombuffer(raw, dtype=np.uint64), raw))
             yield batch_of(edges)
         yield batch_of(out())
+        held = []
+        tidy()
 
     rows = read.mapInArrow(dealt, "c long, i int, j int, own int, id long, t binary")
     return (

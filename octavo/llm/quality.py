@@ -138,6 +138,7 @@ def fit(
         for batch in batches:
             x = pa.array([features(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["y", "x"])
+        tidy()
 
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = slim.join(sample, "id").select("y", "text").mapInArrow(measured, "y int, x array<double>").toArrow()

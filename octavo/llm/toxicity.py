@@ -161,6 +161,7 @@ def word_sets(rows: DataFrame) -> DataFrame:
                 ],
                 names=["row", "y", "words", "slots"],
             )
+        tidy()
 
     return rows.select("row", "y", "text").mapInArrow(folded, "row long, y int, words array<string>, slots array<long>")
 
@@ -270,6 +271,7 @@ def fit(
         for batch in batches:
             x = pa.array([features(*hits(t.as_py(), lexicon)) for t in batch.column(2)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x], names=["row", "y", "x"])
+        tidy()
 
     # Rows that share an id are all read, so the sample's bound is on its ids.
     rows = read.mapInArrow(measured, "row long, y int, x array<double>").orderBy("row", "x").toArrow()

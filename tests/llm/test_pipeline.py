@@ -1,8 +1,10 @@
+import ast
+import inspect
 import math
 
 import corpus_pipeline
 
-from octavo.llm import quality, toxicity
+from octavo.llm import jaccard, packing, quality, toxicity
 from test_jaccard import brute
 from test_text_operators import brute_spans, check_packing, plain_posteriors
 
@@ -96,3 +98,14 @@ def test_run_is_the_stages_in_order(spark):
 def test_run_packs_what_is_kept(spark):
     found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 0 < found.select("doc_id").distinct().count() < 200
+
+
+def test_python_stages_give_memory_back():
+    """Workers stay for later stages, so every function of batches ends by giving back what it has freed."""
+    checked = 0
+    for module in (quality, toxicity, jaccard, packing):
+        for f in ast.walk(ast.parse(inspect.getsource(module))):
+            if isinstance(f, ast.FunctionDef) and [a.arg for a in f.args.args] == ["batches"]:
+                assert ast.unparse(f.body[-1]) == "tidy()", (module.__name__, f.name)
+                checked += 1
+    assert checked >= 12
