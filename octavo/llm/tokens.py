@@ -13,13 +13,14 @@ import re
 
 import numpy as np
 
-#: Words up to so many characters are kept; the cache is emptied when it holds so many.
+#: Words up to so many characters are kept, and so many words: where half of them are new, those not seen since go.
 CACHED_LENGTH = 48
-CACHED_WORDS = 450_000
+CACHED_WORDS = 400_000
 #: Above these characters lower case and composition do not depend on one another's order.
 _BEYOND = re.compile("[\u0130\u0300-\U0010ffff]|<\\|")
-#: A full stop or comma that stands alone between a letter and white space is a word of its own.
-_STOP = re.compile("[.,](?=[ \n\t\r]|$)(?<=[a-z\u00df-\u00f6\u00f8-\u00ff].)")
+#: Marks between a letter and white space are a word of their own.
+_MARK = r"[!-/:-@\[-`{-~]"
+_STOP = re.compile(_MARK + "(?<=[a-z\u00df-\u00f6\u00f8-\u00ff].)" + _MARK + "*(?=[ \n\t\r]|$)")
 
 _loaded: dict[str, WordTokenizer] = {}
 _sizes: dict[str, int] = {}
@@ -43,7 +44,7 @@ def default_path(name: str) -> str:
 def forget() -> None:
     """Empties the caches of this worker process, for tasks that do not tokenize."""
     for tokenizer in _loaded.values():
-        tokenizer.known = {"": b""}
+        tokenizer.known, tokenizer.older = {"": b""}, {}
 
 
 class WordTokenizer:
@@ -53,6 +54,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -66,16 +68,18 @@ class WordTokenizer:
 
     def _ids(self, words: list[str]) -> dict[str, bytes]:
         """A word of letters alone ends with the first id that ends a word, so many share one text."""
-        plain = [w for w in words if w.isalpha()]
-        out: dict[str, bytes] = {}
-        if plain:
-            ids = np.array(self._encode([" ".join(plain)])[0].ids, dtype="<u4")
-            cuts = ((np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1) * 4).tolist()
-            if len(cuts) == len(plain):
-                raw = ids.tobytes()
-                out = {w: raw[a:b] for w, a, b in zip(plain, [0, *cuts], cuts, strict=False)}
-        rest = [w for w in words if w not in out]
-        out.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, self._encode(rest), strict=True))
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() else rest).append(w)
+        found = self._encode([" ".join(plain), *rest])
+        out = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(rest, found[1:], strict=True)}
+        ids = np.array(found[0].ids, dtype="<u4")
+        cuts = ((np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1) * 4).tolist()
+        if len(cuts) == len(plain):
+            raw = ids.tobytes()
+            out.update((w, raw[a:b]) for w, a, b in zip(plain, [0, *cuts], cuts, strict=False))
+        else:
+            out.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(plain, self._encode(plain), strict=True))
         return out
 
     def _encode(self, texts: list[str]):
@@ -87,15 +91,21 @@ class WordTokenizer:
             text = _STOP.sub(r" \g<0>", text.lower())
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self.known
-        fresh = list(set(words).difference(known))
+        fresh = set(words).difference(known)
         if not fresh:
             return b"".join(map(known.__getitem__, words))
-        if len(known) + len(fresh) > CACHED_WORDS:
-            known.clear()
-            known[""] = b""
-            fresh = list(set(words).difference(known))
-        here = self._ids(fresh)
-        known.update((w, x) for w, x in here.items() if len(w) <= CACHED_LENGTH)
-        if len(here) == len(fresh) and max(map(len, fresh)) <= CACHED_LENGTH:
+        if len(known) + len(fresh) > CACHED_WORDS // 2:
+            self.older, known = known, {"": b""}
+            self.known = known
+            fresh = set(words).difference(known)
+        older = self.older
+        back = {w: older[w] for w in fresh if w in older}
+        known.update(back)
+        if len(back) == len(fresh):
+            return b"".join(map(known.__getitem__, words))
+        here = self._ids([w for w in fresh if w not in back])
+        if max(map(len, here)) <= CACHED_LENGTH:
+            known.update(here)
             return b"".join(map(known.__getitem__, words))
+        known.update((w, x) for w, x in here.items() if len(w) <= CACHED_LENGTH)
         return b"".join([known[w] if w in known else here[w] for w in words])

@@ -103,6 +103,18 @@ def test_secret_scan_has_no_python_in_its_plan(spark, sf):
     assert not re.search("Python|Pandas|Arrow", plan) and "Exchange" not in plan
 
 
+def test_word_tokenizer_keeps_words_that_come_again(monkeypatch):
+    """A full cache loses words not seen since it was half full, and marks after a word are no part of it."""
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 40)
+    ours, encoded = tokens.WordTokenizer(tokens.default_path("word_bpe_49k.json")), []
+    inner = ours._ids
+    monkeypatch.setattr(ours, "_ids", lambda words: encoded.extend(words) or inner(words))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for i in range(500):
+        ours.encode(f"always{letters[i % 2]}&&& often. z{letters[i // 26]}{letters[i % 26]} always")
+    assert sorted(w for w in encoded if not w.startswith("z")) == ["&&&", ".", "always", "alwaysa", "alwaysb", "often"]
+
+
 def test_word_tokenizer_equals_the_tokenizer(edge, monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_WORDS", 50)
     ours, theirs = tokens.WordTokenizer(tokens.default_path("word_bpe_49k.json")), hf()
