@@ -46,7 +46,7 @@ SPACE = "▁"
 LITERAL = "\ud800"
 #: Chunks up to so many characters are remembered; nodes after which all are forgotten.
 CACHED_LENGTH = 40
-CACHED_NODES = 1_200_000
+CACHED_NODES = 1_700_000
 #: Characters of a batch's texts that are sampled together.
 BATCH_CHARS = 1 << 18
 
@@ -93,6 +93,7 @@ class Lattice:
             self.out_weight[i] = self.weight[p]
         self.out_ids = list(range(n))
         self.spelled: dict[str, int] = {}
+        self.columns = (np.empty(0),)
         self.text_of = [b""] * n
         for p, i in self.pieces.items():
             self.text_of[i] = p.replace(SPACE, " ").encode()
@@ -109,6 +110,8 @@ class Lattice:
 
     def _reset(self) -> None:
         self.node_of = {"": 0}
+        #: For what rests begin with: the outputs of one and two characters, and the sizes of longer pieces.
+        self.begun: dict[str, tuple] = {}
         self.log_z = array("d", [0.0])
         self.first = array("q", [0, 0])
         self.arcs = (array("i"), array("i"), array("d"))
@@ -163,7 +166,7 @@ class Lattice:
 
     def _grow(self, chunks: list[str]) -> None:
         """Adds the nodes of many chunks together, shorter suffixes first, with their sums in numpy."""
-        known, piece_of, longer = self.node_of, self.pieces.get, self.longer.get
+        known, piece_of, longer, begun_by = self.node_of, self.pieces.get, self.longer.get, self.begun.get
         fresh = []
         for chunk in chunks:
             for i in range(len(chunk)):
@@ -178,23 +181,31 @@ class Lattice:
         outs, nexts, ends = [], [], []
         out_add, next_add, end_add = outs.append, nexts.append, ends.append
         for rest in fresh:
-            n = len(rest)
-            if n > 1:
-                for i in longer(rest[:3], ()):
+            start = rest[:3]
+            begun = begun_by(start)
+            if begun is None:
+                head = rest[0]
+                one, two = piece_of(head), piece_of(rest[:2]) if len(rest) > 1 else None
+                one = self._spell(SPACE if head == LITERAL else head) if one is None else one
+                begun = self.begun[start] = one, two, longer(start, ())
+            one, two, sizes = begun
+            if sizes:
+                n = len(rest)
+                for i in sizes:
                     if i <= n and (piece := piece_of(rest[:i])) is not None:
                         out_add(piece)
                         next_add(known[rest[i:]])
-                if (piece := piece_of(rest[:2])) is not None:
-                    out_add(piece)
-                    next_add(known[rest[2:]])
-            head = rest[0]
-            piece = piece_of(head)
-            out_add(self._spell(SPACE if head == LITERAL else head) if piece is None else piece)
+            if two is not None:
+                out_add(two)
+                next_add(known[rest[2:]])
+            out_add(one)
             next_add(known[rest[1:]])
             end_add(len(outs))
         out, after, end = np.array(outs, dtype=np.int32), np.array(nexts, dtype=np.int32), np.array(ends, dtype=np.int64)
         size = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh))
-        log, z = np.array(self.out_weight)[out], np.concatenate([np.array(self.log_z), np.zeros(len(fresh))])
+        # The column grows in place: a batch's work is not to depend on how many nodes there are.
+        self.log_z.frombytes(bytes(8 * len(fresh)))
+        log, z = self.outputs()[0][out], np.frombuffer(self.log_z)
         start = np.concatenate([[0], end[:-1]])
         cuts = np.flatnonzero(np.diff(size, prepend=0, append=1 << 40))
         for first, last in zip(cuts[:-1], cuts[1:], strict=True):
@@ -205,7 +216,6 @@ class Lattice:
             total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, counts)), segments))
             z[base + first : base + last] = total
             log[a:b] = v - np.repeat(total, counts)
-        self.log_z.frombytes(z[base:].tobytes())
         self.first.frombytes((len(self.arcs[0]) + end).tobytes())
         for column, values in zip(self.arcs, (out, after, log), strict=True):
             column.frombytes(values.tobytes())
@@ -229,6 +239,12 @@ class Lattice:
             out = [self._long_chunk(c) if node is None else node for c, node in zip(chunks, out, strict=True)]
         return out
 
+    def outputs(self):
+        """Weights, first ids and numbers of ids of the outputs, and all ids."""
+        if len(self.columns[0]) < len(self.out_size):
+            self.columns = tuple(np.array(x) for x in (self.out_weight, self.out_start, self.out_size, self.out_ids))
+        return self.columns
+
     def tables(self):
         """first arc of each node, arcs' outputs, next nodes and log probabilities, as views of the columns.
 
@@ -348,7 +364,6 @@ def _sample(lattice, texts, seeds, k):
             waiting[d] = sorted(waiting[d] + options, key=lambda x: -x[0])[: k + 1]
 
     settle(arcs, np.bincount(doc, steps, n).astype(np.int64), np.arange(n), gumbel, np.zeros(n, dtype=np.int64), [None] * n, 0)
-    arc_node = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for rank in range(1, k):
         which = np.array([d for d in range(n) if waiting[d]], dtype=np.int64)
         if not len(which):
@@ -357,7 +372,7 @@ def _sample(lattice, texts, seeds, k):
         for d in which:
             value, of, t, taken = waiting[d].pop(0)
             elder = found[d][of][0]
-            node = int(arc_node[elder[t]])
+            node = int(np.searchsorted(first, elder[t], "right")) - 1
             a, b = int(first[node]), int(first[node + 1])
             options = [x for x in range(a, b) if x not in taken]
             p = np.exp(log_p[options] - np.logaddexp.reduce(log_p[options]))
@@ -389,8 +404,7 @@ def _sample(lattice, texts, seeds, k):
         path[(at + heads + 1)[spread[0](tails)] + spread[1](tails)] = arcs
         settle(path, sizes, which, np.array(values), np.array(begins), barred, rank)
 
-    out_start, out_size = np.array(lattice.out_start), np.array(lattice.out_size)
-    flat = np.array(lattice.out_ids, dtype=np.int64)
+    _, out_start, out_size, flat = lattice.outputs()
     result = []
     for d in range(n):
         threshold = waiting[d][0][0] if waiting[d] else -math.inf

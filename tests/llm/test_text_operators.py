@@ -4,6 +4,7 @@ import io
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -103,6 +104,20 @@ def test_secret_scan_has_no_python_in_its_plan(spark, sf):
     assert not re.search("Python|Pandas|Arrow", plan) and "Exchange" not in plan
 
 
+def test_sampling_a_short_text_does_not_copy_the_lattice():
+    """A batch's work depends on its texts, not on the nodes that are remembered."""
+    lattice = gumbel.Lattice(tokens.default_path("piece_bpe_32k.model"), 1.0)
+    rng = np.random.default_rng(4)
+    lattice.roots(["".join(w) for w in rng.choice(list("abcdefghijklmnopqrst"), (30_000, 8))])
+    seeds = np.array([5], dtype=np.uint64)
+    gumbel.sample(lattice, ["first"], seeds, 3)
+    tracemalloc.start()
+    found = gumbel.sample(lattice, ["second text"], seeds, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(lattice.log_z) > 100_000 and len(found[0]) == 3 and peak < 500_000
+
+
 def test_word_tokenizer_keeps_words_that_come_again(monkeypatch):
     """A full cache loses words not seen since it was half full, and marks after a word are no part of it."""
     monkeypatch.setattr(tokens, "CACHED_WORDS", 40)
