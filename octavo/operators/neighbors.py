@@ -7,8 +7,10 @@ rows; columns other than the coordinates are not read, but by load_order, which
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,16 @@ from pyspark.sql import functions as F
 
 from octavo.operators import boxsums
 from octavo.operators.octree import placed
-from octavo.plans.tables import repeat_rows
+from octavo.plans.tables import repeat_rows, tidy
 
 AXES = ("x", "y", "z")
 #: Pairs that the join would look at for each point, on average, from which sums over tiles take its place.
 DENSE = 1000
 #: Sides of a tile in search cubes, and places of a tile and its rim that a task may hold; the first side that fits is taken.
-TILES, GROUP = (3.0, 1.0, 0.25), 2_000_000
-#: Points for each of the partitions that tiles are dealt to.
+TILES, GROUP = (5.0, 3.0, 1.0, 0.25), 2_000_000
+#: One of so many places is looked at for how often points share a place, and the number from which equal points are counted first.
+LOOKED, SHARED = 1024, 1.5
+#: Points, or places where equal points are counted first, for each of the partitions that tiles are dealt to.
 DEALT = 250_000
 
 
@@ -56,66 +60,110 @@ def neighbour_pairs(points: DataFrame, side: float) -> DataFrame:
     return here.join(there, ["cx", "cy", "cz"]).where(within).drop("cx", "cy", "cz")
 
 
-def tiling(points: DataFrame, side: float) -> tuple[float, int, bool] | None:
-    """Width of the tiles for sums without pairs, partitions that they are dealt to, and whether a tile's points are few
-    enough for its task, equal ones included. None where the points are so thin that the join is cheap."""
+class Tiling(NamedTuple):
+    """Width of the tiles for sums without pairs, partitions that they are dealt to, whether a tile's task counts equal points,
+    and the first tile and number of tiles of each axis where one number of 63 bits tells all tiles apart."""
+
+    width: float
+    parts: int
+    few: bool
+    grid: list[tuple[int, int]] | None
+
+
+def tiling(points: DataFrame, side: float) -> Tiling | None:
+    """How to deal points to tiles; None where the points are so thin that the join is cheap."""
     if side <= 0:
         raise ValueError("the search cube has no extent")
-    cells = placed(points).groupBy(*[F.floor(F.col(a) / F.lit(side)).alias(f"c{a}") for a in AXES]).agg(F.count("*").cast("double").alias("n"))
-    held = cells.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    hashed = F.xxhash64(*[F.col(a) + F.lit(0.0) for a in AXES])
+    looked = F.when(F.pmod(hashed, F.lit(LOOKED)) == 0, hashed).alias("place")
+    cells = placed(points).groupBy(*[F.floor(F.col(a) / F.lit(side)).alias(f"c{a}") for a in AXES], looked).agg(F.count("*").cast("double").alias("n"))
+    shared = F.sum(F.when(F.col("place").isNotNull(), F.col("n"))).alias("of"), F.count("place").alias("places")
+    cells = cells.groupBy(*[f"c{a}" for a in AXES]).agg(F.sum("n").alias("n"), *shared)
+    ends = [f(f"c{a}").alias(f"{n}{a}") for a in AXES for f, n in ((F.min, "low"), (F.max, "high"))]
+    held = cells.agg(
+        F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n"), F.max("n").alias("most"),
+        F.sum("of").alias("of"), F.sum("places").alias("places"), *ends,
+    ).first()
     if not held.n or 8 * held.pairs / held.n < DENSE:
         return None
     width = next((k for k in TILES if (k + 1) ** 3 * held.most <= GROUP), None)
-    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(held.n / DEALT))
-    return side * (width or TILES[-1]), parts, width is not None
+    shared = held.of / held.places if held.places else 1.0  # points of a place
+    few = width is not None and shared <= SHARED
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(held.n / (1.0 if few else shared) / DEALT))
+    width = width or TILES[-1]
+    # Tiles that the fullest reach of the outermost cells touches, and one more for what rounding may do.
+    grid = [(math.floor((held[f"low{a}"] - 1) / width) - 1, math.floor((held[f"high{a}"] + 2) / width) + 1) for a in AXES]
+    grid = [(low, high - low + 1) for low, high in grid]
+    return Tiling(side * width, parts, few, grid if math.prod(n for _, n in grid) < 1 << 62 else None)
 
 
-def _tiled(points: DataFrame, side: float, width: float, parts: int, few: bool, moments: bool) -> DataFrame:
-    """x, y, z, m, n and with moments the sums sx..szz of each place, a tile a task.
+def _tiled(points: DataFrame, side: float, tiles: Tiling, asks: Callable[[np.ndarray, np.ndarray, np.ndarray, float], list[np.ndarray]], columns: str) -> DataFrame:
+    """x, y, z, m and the columns that asks gives for places, multiplicities, the rows asked for and half the side, a tile a task.
 
     A tile has copies of the places within half a search cube of it. Work is in proportion to the places times
     the square of the logarithm of a tile's places, whatever the number of neighbours. Equal points are counted before they
-    are dealt, or where a tile's points are few, once its task has them, which saves a shuffle of all points.
+    are dealt, or where a tile's points are few and mostly unlike, once its task has them, which saves a shuffle of all points.
     """
-    half = side / 2
-    tile = lambda c: F.floor(c / F.lit(width)).cast("long")
+    half, few = side / 2, tiles.few
+    tile = lambda c: F.floor(c / F.lit(tiles.width)).cast("long")
     finite = [F.abs(F.col(a)) < F.lit(math.inf) for a in AXES]  # an infinite coordinate is near nothing, itself included
-    rows = placed(points).where(finite[0] & finite[1] & finite[2]).select(*AXES)
+    rows = placed(points).where(finite[0] & finite[1] & finite[2]).select(*[(F.col(a) + F.lit(0.0)).alias(a) for a in AXES])  # no negative zeros
     if not few:
         rows = rows.groupBy(*AXES).agg(F.count("*").alias("m"))
     for a in AXES:
         slack = F.abs(F.col(a)) * 1e-15 + half * (1 + 1e-12)
         rows = rows.withColumn(f"t{a}", F.explode(F.sequence(tile(F.col(a) - slack), tile(F.col(a) + slack))))
-    rows = rows.repartition(parts, "tx", "ty", "tz")
-    named = [f"s{a}" for a in AXES] + [f"s{AXES[a]}{AXES[b]}" for a, b in boxsums.PAIRS] if moments else []
+    own = [F.col(f"t{a}") == tile(F.col(a)) for a in AXES]
+    keys = {f"t{a}": F.col(f"t{a}") for a in AXES}
+    if tiles.grid:  # one number sorts without comparing rows
+        at = [F.col(f"t{a}") - F.lit(low) for a, (low, _) in zip(AXES, tiles.grid, strict=True)]
+        keys = {"tile": (at[0] * F.lit(tiles.grid[1][1]) + at[1]) * F.lit(tiles.grid[2][1]) + at[2]}
+    kept = [*AXES] if few else [*AXES, "m"]
+    rows = rows.select(*kept, (own[0] & own[1] & own[2]).alias("own"), *[k.alias(n) for n, k in keys.items()])
+    rows, keys = rows.repartition(tiles.parts, *keys), list(keys)
+    schema = f"x double, y double, z double, m long, {columns}"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def summed(table: pa.Table) -> pa.Table:
-        places = np.column_stack([table.column(a).to_numpy() for a in AXES]) + 0.0  # no negative zeros
-        at = [table.column(f"t{a}")[0].as_py() for a in AXES]
+    def tile_of(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        places, own = np.column_stack([table.column(a).to_numpy() for a in AXES]), table.column("own").to_numpy()
         if few:
-            places, m = boxsums.counted(places)
+            places, m, at = boxsums.counted(places)
+            own = own[at]
         else:
             m = table.column("m").to_numpy()
-        asked = np.flatnonzero((np.floor(places / width) == at).all(axis=1))
-        out = [*places[asked].T, m[asked]]
-        if not len(asked):
-            out += [np.empty(0, np.int64), *[np.empty(0)] * len(named)]
-        elif moments:
-            n, sums = boxsums.moments(places, m, asked, half)
-            out += [n, *sums.T]
-        else:
-            out.append(boxsums.counts(places, m, asked, half))
-        return pa.table([pa.array(np.ascontiguousarray(c)) for c in out], names=[*AXES, "m", "n", *named])
-
-    kinds = ", ".join(f"{c} double" for c in named)
-    return rows.groupBy("tx", "ty", "tz").applyInArrow(summed, "x double, y double, z double, m long, n long" + (f", {kinds}" if kinds else ""))
+        asked = np.flatnonzero(own)
+        if len(asked):
+            out = [*places[asked].T, m[asked], *asks(places, m, asked, half)]
+            out = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out], names=names)
+            yield from (out.slice(i, 1 << 16) for i in range(0, len(out), 1 << 16))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            number = [batch.column(k).to_numpy() for k in keys]
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in number], axis=0)) + 1
+            for begin, end in itertools.pairwise([0, *cuts.tolist(), len(batch)]):
+                now = [k[begin] for k in number]
+                if held and now != at:
+                    yield from tile_of(held)
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+                at = now
+        if held:
+            yield from tile_of(held)
+        tidy()
+
+    return rows.sortWithinPartitions(*keys).mapInArrow(summed, schema)
 
 
 def neighbour_counts(points: DataFrame, side: float) -> DataFrame:
     """x, y, z, m, n_neighbors for each place, itself included."""
     tiles = tiling(points, side)
     if tiles:
-        return _tiled(points, side, *tiles, moments=False).withColumnRenamed("n", "n_neighbors")
+        return _tiled(points, side, tiles, lambda *asked: [boxsums.counts(*asked)], "n_neighbors long")
     return neighbour_pairs(points, side).groupBy(*AXES, "m").agg(F.sum("nm").alias("n_neighbors"))
 
 
@@ -124,11 +172,20 @@ def covariances(points: DataFrame, side: float) -> DataFrame:
 
     Sums are taken relative to the place, which keeps digits where coordinates are large.
     """
+    return _covariances(points, side, tiling(points, side))
+
+
+def _covariances(points: DataFrame, side: float, tiles: Tiling | None) -> DataFrame:
     d = {a: F.col(f"n{a}") - F.col(a) for a in AXES}
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
-    tiles = tiling(points, side)
     if tiles:
-        sums = _tiled(points, side, *tiles, moments=True)
+        named = [f"s{a}" for a in AXES] + [f"s{a}{b}" for a, b in pairs]
+
+        def asked(places, m, asked, half):
+            n, sums = boxsums.moments(places, m, asked, half)
+            return [n, *sums.T]
+
+        sums = _tiled(points, side, tiles, asked, ", ".join(["n long", *[f"{c} double" for c in named]]))
     else:
         sums = neighbour_pairs(points, side).groupBy(*AXES, "m").agg(
             F.sum("nm").alias("n"),
@@ -154,6 +211,17 @@ def normals(points: DataFrame, side: float, least_gap: float = 1e-9) -> DataFram
     expression the code is too long for the JVM to compile.
     """
     spreads = ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")
+    schema = "x double, y double, z double, m long, n long, normal_x double, normal_y double, normal_z double, spread_gap double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    if tiles := tiling(points, side):
+
+        def asked(places, m, asked, half):
+            n, sums = boxsums.moments(places, m, asked, half)
+            below = np.where(n > 1, n - 1, np.inf)  # no spread of a single point
+            sums = sums.T
+            return [n, *_least_spread([(sums[3 + i] - sums[a] * sums[b] / n) / below for i, (a, b) in enumerate(boxsums.PAIRS)], n, least_gap)]
+
+        return _tiled(points, side, tiles, asked, schema.split(", ", 4)[4])
 
     def directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +229,7 @@ def normals(points: DataFrame, side: float, least_gap: float = 1e-9) -> DataFram
             found = _least_spread([batch.column(c).to_numpy() for c in spreads], kept[-1].to_numpy(), least_gap)
             yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, found)], names=names)
 
-    schema = "x double, y double, z double, m long, n long, normal_x double, normal_y double, normal_z double, spread_gap double"
-    names = [c.split()[0] for c in schema.split(", ")]
-    found = covariances(points, side).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in spreads})
+    found = _covariances(points, side, None).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in spreads})
     return found.select(*AXES, "m", "n", *spreads).mapInArrow(directed, schema)
 
 

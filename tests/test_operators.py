@@ -214,6 +214,46 @@ def test_dense_normal_lines_take_one_shuffle(spark, monkeypatch):
     assert _steps(lines).count("Exchange ") == 1 and lines.count() == 1704
 
 
+def test_dense_normals_are_one_python_stage(spark, monkeypatch):
+    """Rows go to Python once, and are sorted by one number."""
+    monkeypatch.setattr(neighbors, "DENSE", 1)
+    steps = _steps(neighbors.normals(_dense_cloud(spark), 2.0, 1e-3))
+    assert "FlatMapGroups" not in steps and steps.count("MapInArrow") == 1 and steps.count("Sort [") == steps.count("Sort [tile") == 1
+
+
+def test_places_that_many_points_share_are_counted_first(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "LOOKED", 4)
+    monkeypatch.setattr(neighbors, "DENSE", 1)
+    p = _dense_cloud(spark)
+    shared = p.crossJoin(spark.range(20)).drop("id")
+    assert neighbors.tiling(p, 2.0).few and not neighbors.tiling(shared, 2.0).few
+    lines = lambda c: sorted(r.value for r in neighbors.normal_lines(neighbors.normals(c, 2.0, 1e-3), digits=3).collect())
+    counts = lambda c: sorted(map(tuple, neighbors.neighbour_counts(c, 2.0).collect()))
+    assert [(*r[:3], 20 * r[3], 20 * r[4]) for r in counts(p)] == counts(shared)
+    found = lines(shared)
+    monkeypatch.setattr(neighbors, "DENSE", 10**9)  # pairs
+    assert found == lines(shared) and len(found) == 20 * 1704
+
+
+def test_tiles_too_far_apart_for_one_number(spark, monkeypatch):
+    far = spark.createDataFrame([(1e12, -1e12, 1e12), (-1e12, 1e12, 3e18)], "x double, y double, z double")
+    p = _dense_cloud(spark).union(far)
+    want = sorted(map(tuple, neighbors.neighbour_counts(p, 2.0).collect()))
+    monkeypatch.setattr(neighbors, "DENSE", 1)
+    assert neighbors.tiling(p, 2.0).grid is None
+    assert sorted(map(tuple, neighbors.neighbour_counts(p, 2.0).select("x", "y", "z", "m", "n_neighbors").collect())) == want
+
+
+def test_box_sums_by_runs_equal_those_by_a_tree(monkeypatch):
+    rng = np.random.default_rng(4)
+    places = np.unique(np.column_stack([rng.integers(0, 9, 3000) * 1.0, rng.uniform(0, 8, 3000), rng.integers(0, 300, 3000) / 50]), axis=0)
+    m, asked = rng.integers(1, 5, len(places)), np.arange(0, len(places), 3)
+    n, sums = boxsums.moments(places, m, asked, 1.0)
+    monkeypatch.setattr(boxsums, "SPANS", 0)
+    for found, want in zip((n, sums), boxsums.moments(places, m, asked, 1.0), strict=True):
+        assert (found == want).all()
+
+
 def test_box_sums_hold_where_prefix_sums_wrap():
     """Many groups far apart: each cube's sums are near 64 bits, sums over all are far beyond."""
     rng = np.random.default_rng(2)
