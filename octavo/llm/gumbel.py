@@ -5,9 +5,9 @@ product of its pieces' weights, normalised; the weight of a piece falls with its
 vocabulary (Zipf), to the power alpha. A character without a piece is spelled in byte pieces.
 
 No piece joins two words or a letter to another kind of character, which is checked when the model is
-loaded, so the lattice is a chain of the lattices of short chunks, and a chunk's nodes are its
-suffixes, which many chunks share. Backward sums over a node's arcs give exact probabilities of what
-follows.
+loaded, so the lattice is a chain of the lattices of short chunks, which texts share; a chunk's nodes
+are its places. New chunks' pieces are found by one walk down a trie from all places at once. Backward
+sums over a node's arcs give exact probabilities of what follows.
 
 The search draws k paths without replacement. The root carries a Gumbel value; the best path below it
 is drawn arc by arc and keeps that value. What the path left aside is one subtree for each of its
@@ -31,6 +31,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ SPACE = "▁"
 LITERAL = "\ud800"
 #: Chunks up to so many characters are remembered; nodes after which all are forgotten.
 CACHED_LENGTH = 40
-CACHED_NODES = 1_700_000
+CACHED_NODES = 4_000_000
 #: Characters of a batch's texts that are sampled together.
 BATCH_CHARS = 1 << 18
 
@@ -56,6 +57,55 @@ _CHUNK = re.compile(f"{SPACE}*[^\\W\\d_²]+|{SPACE}*(?:[^\\w\\s{SPACE}]|[_\\r²]
 _loaded: dict[tuple[str, float], Lattice] = {}
 
 
+class Trie:
+    """Pieces by their characters, walked by many texts at a time. State 0 is the start; a hash table has each state's next ones."""
+
+    EMPTY = -1
+
+    def __init__(self, pieces: dict[str, int]):
+        letters = sorted(set("".join(pieces)))
+        #: Numbers of characters; 0 for those in no piece.
+        self.kind_of = np.zeros(0x110000, dtype=np.uint16 if len(letters) < 1 << 16 else np.int32)
+        self.kind_of[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.kinds = len(letters) + 1
+        state_of, keys = {"": 0}, []
+        for p in pieces:
+            for i in range(1, len(p) + 1):
+                if p[:i] not in state_of:
+                    state_of[p[:i]] = len(state_of)
+                    keys.append(state_of[p[: i - 1]] * self.kinds + int(self.kind_of[ord(p[i - 1])]))
+        self.piece = np.full(len(state_of), -1, dtype=np.int32)
+        for p, i in pieces.items():
+            self.piece[state_of[p]] = i
+        keys = np.array(keys, dtype=np.int64)
+        self.goes_on = np.zeros(len(state_of), dtype=bool)
+        self.goes_on[keys // self.kinds] = True
+        self.bits = (4 * len(keys)).bit_length()
+        self.key, self.next = np.full(1 << self.bits, self.EMPTY), np.zeros(1 << self.bits, dtype=np.int32)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            free = left[self.key[slot[left]] == self.EMPTY]
+            self.key[slot[free]] = keys[free]  # of several the last stays
+            put = free[self.key[slot[free]] == keys[free]]
+            self.next[slot[put]] = put + 1
+            left = np.setdiff1d(left, put, assume_unique=True)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The states that follow, 0 where there is none."""
+        keys = state.astype(np.int64) * self.kinds + kind
+        slot = self._slot(keys)
+        held = self.key[slot]
+        while len(other := np.flatnonzero((held != keys) & (held != self.EMPTY))):
+            slot[other] = (slot[other] + 1) & ((1 << self.bits) - 1)
+            held[other] = self.key[slot[other]]
+        return np.where(held == keys, self.next[slot], 0)
+
+
 class Lattice:
     """Nodes and arcs of chunks; node 0 is the end of a chunk."""
 
@@ -79,12 +129,6 @@ class Lattice:
         for p in self.pieces:
             lengths.setdefault(p[:2], set()).add(len(p))
         self.lengths = {p: sorted(x, reverse=True) for p, x in lengths.items()}
-        #: The same for pieces of three characters or more, by their first three.
-        longer: dict[str, set[int]] = {}
-        for p in self.pieces:
-            if len(p) > 2:
-                longer.setdefault(p[:3], set()).add(len(p))
-        self.longer = {p: sorted(x, reverse=True) for p, x in longer.items()}
         self.byte_weight = -alpha * math.log(2 + n)
         #: Arcs' output: rows of flat; one for each piece, later one for each spelled character.
         self.out_start, self.out_size = list(range(n)), [1] * n
@@ -93,6 +137,9 @@ class Lattice:
             self.out_weight[i] = self.weight[p]
         self.out_ids = list(range(n))
         self.spelled: dict[str, int] = {}
+        self.trie = Trie(self.pieces)
+        #: The output of each character by itself, -1 where it is not known yet.
+        self.single = np.full(0x110000, -1, dtype=np.int32)
         self.columns = (np.empty(0),)
         self.text_of = [b""] * n
         for p, i in self.pieces.items():
@@ -110,8 +157,6 @@ class Lattice:
 
     def _reset(self) -> None:
         self.node_of = {"": 0}
-        #: For what rests begin with: the outputs of one and two characters, and the sizes of longer pieces.
-        self.begun: dict[str, tuple] = {}
         self.log_z = array("d", [0.0])
         self.first = array("q", [0, 0])
         self.arcs = (array("i"), array("i"), array("d"))
@@ -165,60 +210,56 @@ class Lattice:
         return at[0]
 
     def _grow(self, chunks: list[str]) -> None:
-        """Adds the nodes of many chunks together, shorter suffixes first, with their sums in numpy."""
-        known, piece_of, longer, begun_by = self.node_of, self.pieces.get, self.longer.get, self.begun.get
-        fresh = []
-        for chunk in chunks:
-            for i in range(len(chunk)):
-                rest = chunk[i:]
-                if rest in known:
-                    break
-                known[rest] = -1
-                fresh.append(rest)
-        fresh.sort(key=len)
-        base = len(self.log_z)
-        known.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-        outs, nexts, ends = [], [], []
-        out_add, next_add, end_add = outs.append, nexts.append, ends.append
-        for rest in fresh:
-            start = rest[:3]
-            begun = begun_by(start)
-            if begun is None:
-                head = rest[0]
-                one, two = piece_of(head), piece_of(rest[:2]) if len(rest) > 1 else None
-                one = self._spell(SPACE if head == LITERAL else head) if one is None else one
-                begun = self.begun[start] = one, two, longer(start, ())
-            one, two, sizes = begun
-            if sizes:
-                n = len(rest)
-                for i in sizes:
-                    if i <= n and (piece := piece_of(rest[:i])) is not None:
-                        out_add(piece)
-                        next_add(known[rest[i:]])
-            if two is not None:
-                out_add(two)
-                next_add(known[rest[2:]])
-            out_add(one)
-            next_add(known[rest[1:]])
-            end_add(len(outs))
-        out, after, end = np.array(outs, dtype=np.int32), np.array(nexts, dtype=np.int32), np.array(ends, dtype=np.int64)
-        size = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh))
+        """Adds the nodes of many chunks together, one for each place in them: places by what is left of their chunk, and
+        of each the arcs of its pieces, longest first. The pieces are found by a walk down the trie from all places at once."""
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+        at = np.argsort(left.astype(np.uint8), kind="stable")  # a chunk is shorter than 256
+        left, base, n = left[at], len(self.log_z), len(codes)
+        node = np.empty(n + 1, dtype=np.int32)
+        node[at] = np.arange(base, base + n)
+        single = self.single[codes]
+        for code in np.unique(codes[single < 0]).tolist():
+            c = chr(code)
+            self.single[code] = self.pieces[c] if c in self.pieces else self._spell(SPACE if c == LITERAL else c)
+        kinds, trie = self.trie.kind_of[codes], self.trie
+        found = [(np.arange(n), self.single[codes[at]])]
+        state, live = trie.step(np.zeros(n, dtype=np.int64), kinds[at]), np.arange(n)
+        for size in range(2, self.longest + 1):
+            on = np.flatnonzero(trie.goes_on[state] & (state > 0) & (left[live] >= size))
+            live = live[on]
+            state = trie.step(state[on], kinds[at[live] + size - 1])
+            piece = trie.piece[state]
+            ends = np.flatnonzero((state > 0) & (piece >= 0))
+            found.append((live[ends], piece[ends]))
+        counts = np.zeros(n, dtype=np.int64)
+        for who, _ in found:
+            counts[who] += 1
+        end = np.cumsum(counts)
+        start, to = end - counts, end.copy()
+        out, after = np.empty(end[-1], dtype=np.int32), np.empty(end[-1], dtype=np.int32)
+        for size, (who, piece) in enumerate(found, 1):
+            to[who] -= 1
+            put = to[who]
+            out[put] = piece
+            after[put] = np.where(left[who] > size, node[at[who] + size], 0)
         # The column grows in place: a batch's work is not to depend on how many nodes there are.
-        self.log_z.frombytes(bytes(8 * len(fresh)))
+        self.log_z.frombytes(bytes(8 * n))
         log, z = self.outputs()[0][out], np.frombuffer(self.log_z)
-        start = np.concatenate([[0], end[:-1]])
-        cuts = np.flatnonzero(np.diff(size, prepend=0, append=1 << 40))
+        cuts = np.flatnonzero(np.diff(left, prepend=0, append=1 << 40))
         for first, last in zip(cuts[:-1], cuts[1:], strict=True):
             a, b = start[first], end[last - 1]
             v = log[a:b] + z[after[a:b]]
-            segments, counts = start[first:last] - a, end[first:last] - start[first:last]
+            segments, many = start[first:last] - a, counts[first:last]
             top = np.maximum.reduceat(v, segments)
-            total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, counts)), segments))
+            total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, many)), segments))
             z[base + first : base + last] = total
-            log[a:b] = v - np.repeat(total, counts)
+            log[a:b] = v - np.repeat(total, many)
         self.first.frombytes((len(self.arcs[0]) + end).tobytes())
         for column, values in zip(self.arcs, (out, after, log), strict=True):
             column.frombytes(values.tobytes())
+        self.node_of.update(zip(chunks, node[np.cumsum(sizes) - sizes].tolist(), strict=True))
 
     def chunks(self, text: str) -> list[str]:
         if not text:
@@ -231,12 +272,15 @@ class Lattice:
         if len(self.log_z) > CACHED_NODES:
             self._reset()
         known = self.node_of
-        fresh = [c for c in set(chunks).difference(known) if len(c) <= CACHED_LENGTH]
-        if fresh:
-            self._grow(fresh)
         out = list(map(known.get, chunks))
-        if len(chunks) and max(map(len, chunks)) > CACHED_LENGTH:
-            out = [self._long_chunk(c) if node is None else node for c, node in zip(chunks, out, strict=True)]
+        missing = [i for i, node in enumerate(out) if node is None]
+        if missing:
+            fresh = [c for c in {chunks[i] for i in missing} if len(c) <= CACHED_LENGTH]
+            if fresh:
+                self._grow(fresh)
+            for i in missing:
+                node = known.get(chunks[i])
+                out[i] = self._long_chunk(chunks[i]) if node is None else node
         return out
 
     def outputs(self):
@@ -313,7 +357,7 @@ def _sample(lattice, texts, seeds, k):
     n = len(texts)
     chunks = [lattice.chunks(t) for t in texts]
     counts = np.array([len(c) for c in chunks])
-    roots = np.array(lattice.roots([c for cs in chunks for c in cs]), dtype=np.int64)
+    roots = np.array(lattice.roots(list(chain.from_iterable(chunks))), dtype=np.int64)
     tables = lattice.tables()
     first, outs, after, log_p = tables
     doc = np.repeat(np.arange(n), counts)

@@ -4,6 +4,7 @@ import io
 import math
 import re
 import time
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
@@ -118,6 +119,48 @@ def test_sampling_a_short_text_does_not_copy_the_lattice():
     assert len(lattice.log_z) > 100_000 and len(found[0]) == 3 and peak < 500_000
 
 
+def _fresh_words(n):
+    rng = np.random.default_rng(6)
+    return ["▁" + "".join(w[: 1 + i % 12]) for i, w in enumerate(rng.choice(list("etaoinshrdluéß日本 😀\ud800_"), (n, 12)))]
+
+
+def test_new_words_take_few_calls():
+    """New words are looked up in the trie together: no calls of Python's for each place of each word."""
+    lattice, words, calls = gumbel.Lattice(tokens.default_path("piece_bpe_32k.model"), 1.0), _fresh_words(10_000), Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        lattice.roots(words)
+    finally:
+        sys.setprofile(None)
+    assert len(lattice.node_of) > 8_000 and sum(calls.values()) < 5 * len(words)
+
+
+def test_arcs_of_new_words_are_all_their_pieces():
+    """As the rule that long chunks are read by, a place at a time: the same arcs in the same order, with the same weights."""
+    lattice = gumbel.Lattice(tokens.default_path("piece_bpe_32k.model"), 1.0)
+    words = _fresh_words(2_000)
+
+    def arcs(node, seen):
+        first, out, after, log = lattice.tables()
+        for i in range(first[node], first[node + 1]):
+            seen.append((int(out[i]), round(float(log[i]), 9)))
+        return [int(after[i]) for i in range(first[node], first[node + 1])]
+
+    def every(root):
+        seen, todo = [], [root]
+        for node in todo:
+            if node:
+                seen.append(())
+                todo += [x for x in arcs(node, seen) if x not in todo]
+        return seen
+
+    roots = lattice.roots(words)
+    for word, root in list(zip(words, roots, strict=True))[::20]:
+        long = lattice._long_chunk(word)
+        one, other = every(root), every(long)
+        assert sorted(one) == sorted(other) and len(one) > len(word)
+
+
 def test_word_tokenizer_keeps_words_that_come_again(monkeypatch):
     """A full cache loses words not seen since it was half full, and marks after a word are no part of it."""
     monkeypatch.setattr(tokens, "CACHED_WORDS", 40)
