@@ -29,7 +29,7 @@ TILES, GROUP = (5.0, 3.0, 1.0, 0.25), 2_000_000
 #: One of so many places is looked at for how often points share a place, and the number from which equal points are counted first.
 LOOKED, SHARED = 1024, 1.5
 #: Points, or places where equal points are counted first, for each of the partitions that tiles are dealt to.
-DEALT = 250_000
+DEALT = 500_000
 
 
 def neighbour_pairs(points: DataFrame, side: float) -> DataFrame:
