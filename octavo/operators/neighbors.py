@@ -23,7 +23,7 @@ from octavo.plans.tables import repeat_rows, tidy
 
 AXES = ("x", "y", "z")
 #: Pairs that the join would look at for each point, on average, from which sums over tiles take its place.
-DENSE = 1000
+DENSE = 256
 #: Sides of a tile in search cubes, and places of a tile and its rim that a task may hold; the first side that fits is taken.
 TILES, GROUP = (5.0, 3.0, 1.0, 0.25), 2_000_000
 #: One of so many places is looked at for how often points share a place, and the number from which equal points are counted first.

@@ -244,6 +244,13 @@ def test_tiles_too_far_apart_for_one_number(spark, monkeypatch):
     assert sorted(map(tuple, neighbors.neighbour_counts(p, 2.0).select("x", "y", "z", "m", "n_neighbors").collect())) == want
 
 
+def test_some_hundred_pairs_a_point_are_not_made(spark):
+    """The join is slower than sums over tiles from there on: 40 places in a cube of the search, as in lineitem of sf0.1."""
+    p = np.random.default_rng(8).uniform(0, 8, (2560, 3))
+    cloud = spark.createDataFrame([tuple(map(float, r)) for r in p], "x double, y double, z double")
+    assert neighbors.tiling(cloud, 2.0) and not neighbors.tiling(cloud.limit(500), 2.0)
+
+
 def test_box_sums_by_runs_equal_those_by_a_tree(monkeypatch):
     rng = np.random.default_rng(4)
     places = np.unique(np.column_stack([rng.integers(0, 9, 3000) * 1.0, rng.uniform(0, 8, 3000), rng.integers(0, 300, 3000) / 50]), axis=0)
